@@ -677,3 +677,7 @@ def q_encode_fixed(spark, sf_dir):
     as_text = lambda col: F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
     return enc.select("doc_id", "n_tokens", as_text(F.col("input_ids")).alias("input_ids"),
                       as_text(F.col("attention_mask")).alias("attention_mask"))
+
+
+# Model-backed queries register themselves into the same registry.
+from credence.plans import ml_queries as _ml_queries  # noqa: E402,F401
