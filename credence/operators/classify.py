@@ -181,7 +181,8 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
 
 
 def classify_with(encoded: DataFrame, make_predict_fn, num_labels: int = SEQ_NUM_LABELS,
-                  batch_size: int = 8, input_col: str = "input_ids") -> DataFrame:
+                  batch_size: int = 8, input_col: str = "input_ids",
+                  max_length: int = SEQ_MAX_LENGTH) -> DataFrame:
     """Score fixed-length encodings with a user batch model.
 
     ``make_predict_fn()`` returns ``f(ndarray[batch, max_length]) ->
@@ -189,6 +190,6 @@ def classify_with(encoded: DataFrame, make_predict_fn, num_labels: int = SEQ_NUM
     Adds logits, probabilities, prediction (first max) and class_confidence.
     """
     udf = predict_batch_udf(make_predict_fn, return_type=T.ArrayType(T.DoubleType()),
-                            batch_size=batch_size, input_tensor_shapes=[[-1]])
+                            batch_size=batch_size, input_tensor_shapes=[[max_length]])
     out = encoded.withColumn("logits", udf(F.col(input_col).cast("array<double>")))
     return V.with_softmax(out, "logits")

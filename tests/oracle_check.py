@@ -8,12 +8,13 @@ rounded to 6 digits).  Prints one line per query and a summary.
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from credence.session import local_session  # noqa: E402
 from credence.sources.tables import TABLES  # noqa: E402
