@@ -43,7 +43,11 @@ def detector_terms(articles: DataFrame, keep: tuple[str, ...] = ("is_fake",),
     """(doc_id, *keep, terms): cleaned unigrams + bigrams of ``title title text``."""
     doc = weighted_text(title_col, text_col, title_weight=title_weight, null_as=null_as)
     keep = tuple(k for k in keep if k in articles.columns)
-    return articles.select("doc_id", *keep, ngrams_1_2(clean_words(doc)).alias("terms"))
+    # Two projections: the cleaned words are computed once and the n-gram
+    # expression refers to them as a column (Catalyst does not inline a
+    # costly expression that is referenced several times).
+    words = articles.select("doc_id", *keep, clean_words(doc).alias("_w"))
+    return words.select("doc_id", *keep, ngrams_1_2(F.col("_w")).alias("terms"))
 
 
 def token_terms(articles: DataFrame, text_col: str = "text",
@@ -56,7 +60,11 @@ def token_terms(articles: DataFrame, text_col: str = "text",
 def term_frequencies(terms: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, term, tf): one row per distinct term of each document."""
     keep = tuple(k for k in keep if k in terms.columns)
-    return (terms.select("doc_id", *keep, F.explode("terms").alias("term"))
+    # explode_outer + a filter on its output: a plain explode makes the
+    # optimizer infer ``size(terms) > 0`` and push it below the projection,
+    # which would evaluate the whole tokenizer twice.
+    return (terms.select("doc_id", *keep, F.explode_outer("terms").alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy("doc_id", *keep, "term")
             .agg(F.count(F.lit(1)).alias("tf")))
 

@@ -24,6 +24,7 @@ from credence.operators import profile as P
 from credence.operators import sampling as M
 from credence.operators import tfidf as X
 from credence.plans import sql as S
+from credence.session import materialize
 from credence.sources.tables import CORPUS_SQL, corpus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -304,8 +305,11 @@ def q_bigram_counts(spark, sf_dir):
 
 
 def _detector_tf(spark, sf_dir, fit_langs=None):
+    """Corpus, its term counts (checkpointed: every later fitting action and
+    the final query reuse them), the rows to fit on and their count."""
     c = corpus(spark, sf_dir)
-    tf = X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")), keep=("is_fake", "lang"))
+    tf = materialize(X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")),
+                                        keep=("is_fake", "lang")))
     fit = c if fit_langs is None else c.filter(F.col("lang").isin(*fit_langs))
     fit_tf = tf if fit_langs is None else tf.filter(F.col("lang").isin(*fit_langs))
     return c, tf, fit_tf, fit.count()
@@ -314,7 +318,7 @@ def _detector_tf(spark, sf_dir, fit_langs=None):
 def _fitted(spark, sf_dir, fit_langs=None):
     c, tf, fit_tf, n = _detector_tf(spark, sf_dir, fit_langs)
     vocab = X.fit_vocabulary(fit_tf, n, X.DETECTOR_MAX_FEATURES, X.DETECTOR_MIN_DF)
-    weights = X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",))
+    weights = materialize(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
     return c, vocab, weights, n
 
 
@@ -391,7 +395,7 @@ def _class_mean_chain(spark, sf_dir):
     docs = c.select("doc_id", "is_fake")
     cent = C.fit_class_mean_centroids(scaled, docs, len(vocab))
     d2 = C.squared_distances(scaled, docs, cent, keep=("is_fake",))
-    return c, scaled, docs, C.assign_nearest(d2)
+    return c, scaled, docs, materialize(C.assign_nearest(d2))
 
 
 _SCORING = "WITH " + S.detector_ctes().strip() + "," + S.scoring_ctes().strip() + "\n"

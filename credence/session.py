@@ -53,7 +53,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError(
                 f"{CHECKPOINT_CONF} is not set; a cluster run needs a shared checkpoint folder")
         configured = tempfile.mkdtemp(prefix="credence-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -30,11 +30,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """articles(doc_id, title, text, lang, source, is_fake, label, dataset).
 
-    Plain inner join: Spark sizes both sides from file statistics and picks a
-    broadcast only when ``labels`` is under the broadcast threshold; on large
-    inputs it is a sort-merge join on ``doc_id``.
+    The documents are hash-partitioned by ``doc_id`` before the join.  On
+    large inputs that is the shuffle the sort-merge join with ``labels``
+    needs anyway; on small ones the labels are broadcast and the documents
+    keep the partitioning.  Either way the result is partitioned by
+    ``doc_id``, so every later per-document aggregation (term counts, norms,
+    distances) runs without another exchange, and the raw text -- smaller
+    than its uni+bigram term table -- is the only thing shuffled.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = (table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+            .repartition("doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return (docs.join(labels, "doc_id")
             .select("doc_id",
