@@ -120,7 +120,10 @@ def fit_forest(train: DataFrame, label_col: str = "label_id", title_col: str | N
     feats = PipelineModel(stages=stages).transform(docs)
     rf = RandomForestClassifier(numTrees=trees, seed=seed, featureSubsetStrategy=FOREST_SUBSET,
                                 maxDepth=max_depth, labelCol=label_col, featuresCol="features",
-                                impurity="gini", bootstrap=True)
+                                impurity="gini", bootstrap=True,
+                                # deep trees: keep node ids with the rows (checkpointed every
+                                # 10 levels) and split more nodes per pass over the data
+                                cacheNodeIds=True, maxMemoryInMB=1024)
     model = rf.fit(feats.select("features", F.col(label_col).cast("double").alias(label_col)))
     return TextClassifier(PipelineModel(stages=stages + [model]), title_col, text_col, "forest")
 

@@ -69,5 +69,5 @@ def q_stream_scores(spark, sf_dir):
     stream = ST.article_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema)
     stream = stream.withColumn("title", synth_title("text"))
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    ST.run_to_table(ST.score_stream(model, stream), f"{base}/out", f"{base}/ckpt")
+    ST.score_stream_to_table(model, stream, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select(*SCORE_COLUMNS)

@@ -136,3 +136,7 @@ def test_streaming_equals_batch(spark, tmpdir_path):
     assert set(got) == set(batch)
     for d, r in batch.items():
         assert got[d]["cluster"] == r["cluster"] and abs(got[d]["distance"] - r["distance"]) < 1e-6
+    ST.score_stream_to_table(model, stream, f"{tmpdir_path}/out2", f"{tmpdir_path}/ck2")
+    got2 = {r["doc_id"]: r for r in spark.read.parquet(f"{tmpdir_path}/out2").collect()}
+    assert set(got2) == set(batch)
+    assert all(got2[d]["cluster"] == r["cluster"] for d, r in batch.items())
