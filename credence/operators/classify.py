@@ -138,10 +138,13 @@ def forest_trees(clf: TextClassifier, spark: SparkSession) -> DataFrame:
 def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_col: str = "label_id",
                         title_col: str | None = None, text_col: str = "text",
                         epochs: int = SEQ_EPOCHS, iters_per_epoch: int = 10,
-                        max_length: int = SEQ_MAX_LENGTH, max_features: int = SEQ_VOCAB,
+                        max_tokens: int | None = None, max_features: int = SEQ_VOCAB,
                         reg: float = 1e-3) -> tuple[TextClassifier, DataFrame]:
     """Train with a validation set (given, or the seeded 10 % split).
 
+    The whole text of every article is used; ``max_tokens`` optionally keeps
+    only the first tokens, as a fixed-length sequence model would.
+
     Epoch e is the model after ``e * iters_per_epoch`` optimiser iterations;
     each epoch is evaluated on the validation rows.  Returns the last model
     and the per-epoch history (epoch, n, accuracy, precision, recall, f1,
@@ -150,8 +153,8 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
     if val is None:
         train, val = M.split_exact(train)
     train_docs = _document(train, title_col, text_col)
-    vocab = _fit_token_vocab(train_docs, max_length - 2, max_features, 1)
-    stages = [token_stage("_document", "terms", max_length - 2),
+    vocab = _fit_token_vocab(train_docs, max_tokens, max_features, 1)
+    stages = [token_stage("_document", "terms", max_tokens),
               *VF.tfidf_stages(vocab, "terms", "features")]
     prep = PipelineModel(stages=stages)
     feats = prep.transform(train_docs).select(

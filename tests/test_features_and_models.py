@@ -91,6 +91,9 @@ def test_detector_fit_score_save_load(spark, tmpdir_path):
         assert r["cluster"] == s2[d]["cluster"] == s3[d]["cluster"]
         assert abs(r["distance"] - s3[d]["distance"]) < 1e-6
         assert r["predicted_fake"] == s3[d]["predicted_fake"]
+    one = model.score(c.limit(1).select("doc_id", "title", "text")).collect()   # K8: one article
+    assert len(one) == 1 and set(one[0].asDict()) >= {"cluster", "predicted_fake", "z_score",
+                                                        "fake_score", "margin_confidence"}
     model.save(tmpdir_path, spark)
     back = ClusterDetector.load(spark, tmpdir_path)
     assert back.k == model.k and back.vocab == model.vocab
