@@ -20,7 +20,11 @@ from credence.session import materialize
 def global_positions(df: DataFrame, order_cols: list[str], group_col: str | None = None,
                      name: str = "position") -> DataFrame:
     """Adds ``name``: 0-based rank of each row in ``order_cols`` order (ties must
-    not exist), restarting for every value of ``group_col``."""
+    not exist), restarting for every value of ``group_col``.
+
+    ``group_col`` must have few values (e.g. an epoch): the broadcast offset
+    table has one row per (partition, group).
+    """
     keys = ([group_col] if group_col else []) + list(order_cols)
     grp = [group_col] if group_col else []
     numbered = materialize(

@@ -36,14 +36,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared folder used to cut lineage.
 
     The cluster names it in ``spark.checkpoint.dir``; that setting always wins.
     Only a local-mode session without the setting (tests, bench) gets a fresh
-    scratch folder of its own.
+    scratch folder of its own.  A session without a driver-side context
+    (Spark Connect) uses the server's setting as it is.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return spark.conf.get(CHECKPOINT_CONF, None)
     current = sc.getCheckpointDir()
     if current:
         return current
