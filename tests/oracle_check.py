@@ -20,6 +20,10 @@ from credence.session import local_session  # noqa: E402
 from credence.sources.tables import TABLES  # noqa: E402
 
 
+TYPE_MAP = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+            "BOOLEAN": "boolean", "STRING": "string", "NUMBER": "double"}
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
@@ -74,6 +78,12 @@ def main(argv):
             print(f"FAIL {name}: columns {sorted(cols)} vs {sorted(dcols)}")
             bad += 1
             continue
+        stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        dtypes = {c: TYPE_MAP.get(str(t), str(t)) for c, t in
+                  zip(dcols, [d[1] for d in res.description])}
+        if stypes != dtypes:
+            diff = {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)}
+            print(f"TYPE {name}: {diff}")
         a, b = rows_of(cols, srows), rows_of(dcols, drows)
         if a != b:
             diff = [x for x in a if x not in set(b)][:3] if len(a) < 200000 else a[:1]

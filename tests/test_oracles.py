@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from conftest import SF001
-from oracle_check import rows_of
+from oracle_check import TYPE_MAP, rows_of
 from __spark_entry__ import entry, oracle_sql, queries
 from credence.sources.tables import TABLES
 
@@ -23,6 +23,8 @@ def test_query_matches_oracle(spark, con, name):
     res = con.execute(oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(dcols)
+    stypes = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert stypes == {c: TYPE_MAP.get(str(t), str(t)) for c, t in zip(dcols, [d[1] for d in res.description])}
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(dcols, res.fetchall())
 
 
