@@ -24,7 +24,7 @@ from credence.operators import profile as P
 from credence.operators import sampling as M
 from credence.operators import tfidf as X
 from credence.plans import sql as S
-from credence.session import materialize
+from credence.session import materialize, reuse
 from credence.sources.tables import CORPUS_SQL, corpus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -305,11 +305,11 @@ def q_bigram_counts(spark, sf_dir):
 
 
 def _detector_tf(spark, sf_dir, fit_langs=None):
-    """Corpus, its term counts (checkpointed: every later fitting action and
-    the final query reuse them), the rows to fit on and their count."""
+    """Corpus, its term counts (kept for reuse by every later fitting action
+    and the final query), the rows to fit on and their count."""
     c = corpus(spark, sf_dir)
-    tf = materialize(X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")),
-                                        keep=("is_fake", "lang")))
+    tf = reuse(X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")),
+                                  keep=("is_fake", "lang")))
     fit = c if fit_langs is None else c.filter(F.col("lang").isin(*fit_langs))
     fit_tf = tf if fit_langs is None else tf.filter(F.col("lang").isin(*fit_langs))
     return c, tf, fit_tf, fit.count()
@@ -318,7 +318,7 @@ def _detector_tf(spark, sf_dir, fit_langs=None):
 def _fitted(spark, sf_dir, fit_langs=None):
     c, tf, fit_tf, n = _detector_tf(spark, sf_dir, fit_langs)
     vocab = X.fit_vocabulary(fit_tf, n, X.DETECTOR_MAX_FEATURES, X.DETECTOR_MIN_DF)
-    weights = materialize(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
+    weights = reuse(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
     return c, vocab, weights, n
 
 
@@ -343,7 +343,7 @@ SELECT term_id, term, df, n, round(idf, 6) AS idf FROM vocab
 """)
 def q_vocabulary_topk(spark, sf_dir):
     _, _, fit_tf, n = _detector_tf(spark, sf_dir)
-    v = X.vocabulary_df(fit_tf, n, X.DETECTOR_MAX_FEATURES, X.DETECTOR_MIN_DF)
+    v = X.fit_vocabulary(fit_tf, n, X.DETECTOR_MAX_FEATURES, X.DETECTOR_MIN_DF).to_df(spark)
     return v.select("term_id", "term", "df", "n", r6("idf").alias("idf"))
 
 

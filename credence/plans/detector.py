@@ -1,6 +1,6 @@
 """The unsupervised cluster detector end to end.
 
-fit:   articles -> cleaned uni+bigram terms -> term counts (checkpointed)
+fit:   articles -> cleaned uni+bigram terms -> term counts (cached)
        -> top-K vocabulary (collected, K rows) -> L2 TF-IDF -> population
        scaler (K rows) -> k-means on the sparse uncentred vectors
        -> distance statistics and fake ratio per cluster (k rows)
@@ -26,7 +26,7 @@ from credence.functions.text import NULL_TEXT, clean_words, ngrams_1_2, weighted
 from credence.operators import clusters as C
 from credence.operators import tfidf as X
 from credence.operators import vectors as VF
-from credence.session import materialize
+from credence.session import materialize, reuse
 
 # K-means settings (seed, iteration cap, tolerance).
 KMEANS_SEED = 42
@@ -71,9 +71,9 @@ class ClusterDetector:
             raise ValueError("no articles to fit on")
         k = k or C.choose_k(n_docs)
         terms = X.detector_terms(docs, keep=("is_fake",), title_weight=title_weight, null_as=null_as)
-        tf = materialize(X.term_frequencies(terms, keep=("is_fake",)))
+        tf = reuse(X.term_frequencies(terms, keep=("is_fake",)))
         vocab = X.fit_vocabulary(tf, n_docs, max_features, min_df)
-        weights = materialize(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
+        weights = reuse(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
         scaler = X.fit_scaler(weights, n_docs, len(vocab))
 
         vec = VF.tfidf_vectors(vocab, "terms", "features", scaler)
@@ -86,6 +86,8 @@ class ClusterDetector:
         assigned = materialize(C.assign_nearest(C.squared_distances(
             scaled, docs.select("doc_id", "is_fake"), centroids, keep=("is_fake",))))
         stats = [r.asDict() for r in C.cluster_distance_stats(assigned).collect()]   # k rows
+        weights.unpersist()
+        tf.unpersist()
         model = cls(vocab, scaler, centroids, stats, max_features, min_df, title_weight, null_as)
         return model, model._score_assigned(assigned)
 

@@ -71,3 +71,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep ``df`` on the executors (memory, spilling to disk) for the next steps.
+
+    Unlike a reliable checkpoint, a cached relation keeps its known output
+    partitioning, so a table hash-partitioned by ``doc_id`` feeds later
+    per-document windows and aggregations without another exchange.  Lost
+    blocks are recomputed from the preceding shuffle output.
+    """
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

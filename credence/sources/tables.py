@@ -38,8 +38,12 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     distances) runs without another exchange, and the raw text -- smaller
     than its uni+bigram term table -- is the only thing shuffled.
     """
+    # An explicit partition count (the session's shuffle width) keeps this a
+    # plain hash partitioning: adaptive execution does not coalesce it, so
+    # checkpoints downstream still report ``hashpartitioning(doc_id)``.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = (table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-            .repartition("doc_id"))
+            .repartition(n, "doc_id"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return (docs.join(labels, "doc_id")
             .select("doc_id",

@@ -143,3 +143,19 @@ def test_streaming_equals_batch(spark, tmpdir_path):
     got2 = {r["doc_id"]: r for r in spark.read.parquet(f"{tmpdir_path}/out2").collect()}
     assert set(got2) == set(batch)
     assert all(got2[d]["cluster"] == r["cluster"] for d, r in batch.items())
+
+
+def test_per_document_steps_need_no_exchange(spark):
+    """The corpus is hash-partitioned by doc_id once; term counts and the
+    per-document L2 norm then plan without another shuffle."""
+    from credence.session import reuse
+    c = corpus(spark, SF001)
+    tf = X.term_frequencies(X.detector_terms(c, keep=("is_fake",)), keep=("is_fake",))
+    plan = tf._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1      # the corpus repartition only
+    assert "Exchange hashpartitioning(doc_id#" in plan and plan.count("Exchange") == 2  # + label broadcast
+    tfm = reuse(tf)
+    vocab = X.fit_vocabulary(tfm, c.count(), 2000, 2)
+    w = X.tfidf_weights(tfm, vocab.to_df(spark))
+    wplan = w._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in wplan       # only the cached corpus repartition remains
