@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions import labels as L
+from credence.session import check_broadcast_size
 
 # Cluster-count rule k = min(8, max(3, n // 1000)).
 K_MIN, K_MAX, ROWS_PER_CLUSTER = 3, 8, 1000
@@ -46,6 +47,10 @@ class Centroids:
 
     values: tuple[tuple[float, ...], ...]   # values[cluster][term_id]
 
+    def __post_init__(self):
+        n_features = len(self.values[0]) if self.values else 0
+        check_broadcast_size(self.k * n_features, "centroid table")
+
     @property
     def k(self) -> int:
         return len(self.values)

@@ -91,3 +91,16 @@ def describe_schema(df: DataFrame, spark: SparkSession | None = None) -> DataFra
     spark = spark or df.sparkSession
     rows = [(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema.fields)]
     return spark.createDataFrame(rows, "column_name string, data_type string, position int")
+
+
+def column_profile(df: DataFrame) -> DataFrame:
+    """(column_name, data_type, position, non_null): the schema plus the number
+    of non-NULL values of every column, from one aggregation pass.
+
+    The one-row count result is unpivoted and joined with the schema
+    relation (one row per column, broadcast).
+    """
+    names = df.columns
+    counts = df.agg(*[F.count(F.col(c)).cast("bigint").alias(c) for c in names])
+    long = counts.unpivot([], names, "column_name", "non_null")
+    return describe_schema(df).join(F.broadcast(long), "column_name")

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from credence.session import check_broadcast_size
 from credence.functions.text import (NULL_TEXT, clean_words, ngrams_1_2, unicode_tokens,
                                      weighted_text)
 
@@ -112,6 +113,7 @@ def top_terms(tf: DataFrame, max_features: int, min_df: int) -> DataFrame:
     """
     if not max_features or max_features <= 0:
         raise ValueError("max_features must be a positive bound: the vocabulary is broadcast")
+    check_broadcast_size(max_features, "vocabulary")
     stats = document_frequencies(tf, min_df)
     return stats.orderBy(F.desc("n"), F.asc("term")).limit(max_features)
 

@@ -236,14 +236,24 @@ _TYPE_MAP_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' T
        ELSE lower(column_type) END"""
 
 
+_PROFILE_COLS = ("doc_id", "title", "text", "lang", "source", "is_fake")
+
+
 @register("schema_profile", f"""
-SELECT column_name, {_TYPE_MAP_SQL} AS data_type,
-       CAST(row_number() OVER () - 1 AS INTEGER) AS position
-FROM (DESCRIBE {WITH_CORPUS} SELECT doc_id, title, text, lang, source, is_fake FROM corpus)
+WITH corpus AS ({CORPUS_SQL}),
+schema AS (
+  SELECT column_name, {_TYPE_MAP_SQL} AS data_type,
+         CAST(row_number() OVER () - 1 AS INTEGER) AS position
+  FROM (DESCRIBE SELECT {", ".join(_PROFILE_COLS)} FROM corpus)),
+counts AS (
+  {" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(count({c}) AS BIGINT) AS non_null FROM corpus"
+                      for c in _PROFILE_COLS)})
+SELECT s.column_name, s.data_type, s.position, c.non_null
+FROM schema s JOIN counts c ON s.column_name = c.column_name
 """)
 def q_schema_profile(spark, sf_dir):
-    c = corpus(spark, sf_dir).select(*A.ARTICLE_COLUMNS)
-    return P.describe_schema(c)
+    c = corpus(spark, sf_dir).select(*_PROFILE_COLS)
+    return P.column_profile(c)
 
 
 # ---------------------------------------------------------------------------

@@ -83,3 +83,16 @@ def reuse(df: DataFrame) -> DataFrame:
     """
     from pyspark import StorageLevel
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+# Largest model tables the library broadcasts to every task (rows).  Fitted
+# state (vocabulary, moments, centroid values, cluster statistics) is checked
+# against it when it is created, so a broadcast can never grow with the data.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def check_broadcast_size(rows: int, what: str, limit: int = MAX_BROADCAST_ROWS) -> int:
+    if rows > limit:
+        raise ValueError(f"{what} has {rows} rows; more than {limit} would not be broadcast "
+                         f"safely -- lower the bound (e.g. max_features or k)")
+    return rows
