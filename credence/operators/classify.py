@@ -17,7 +17,6 @@ A user's own batch model (e.g. a neural network) plugs in through
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from credence.functions import labels as L
 from credence.functions.text import NULL_TEXT, clean_words, ngrams_1_2, weighted_text

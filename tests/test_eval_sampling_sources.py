@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+
 from credence.operators import classify as K
 from credence.operators import encode as E
 from credence.operators import evaluate as V
@@ -122,6 +122,10 @@ def test_forest_on_examples_and_roundtrip(spark, tmpdir_path):
     assert all(0.0 <= r["class_confidence"] <= 1.0 and r["confidence_text"].endswith("%") for r in out)
     acc = np.mean([r["prediction"] == r["label_id"] for r in out])
     assert acc >= 0.9
+    one = clf.classify(spark.createDataFrame([(99, "", "SHOCK: moon made of cheese!")],
+                                             "doc_id bigint, title string, text string")).collect()
+    assert len(one) == 1 and len(one[0]["probabilities"]) == 2            # X5: one text
+    assert one[0]["class_confidence"] == max(one[0]["probabilities"])
     clf.save(tmpdir_path, spark)
     back = K.TextClassifier.load(spark, tmpdir_path)
     again = {r["doc_id"]: r["prediction"] for r in back.classify(ex).collect()}

@@ -3,7 +3,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from credence.functions import text as T
 
