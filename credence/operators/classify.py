@@ -138,7 +138,7 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
                         title_col: str | None = None, text_col: str = "text",
                         epochs: int = SEQ_EPOCHS, iters_per_epoch: int = 10,
                         max_tokens: int | None = None, max_features: int = SEQ_VOCAB,
-                        reg: float = 1e-3) -> tuple[TextClassifier, DataFrame]:
+                        reg: float = 1e-3, history: bool = True) -> tuple[TextClassifier, DataFrame]:
     """Train with a validation set (given, or the seeded 10 % split).
 
     The whole text of every article is used; ``max_tokens`` optionally keeps
@@ -147,7 +147,8 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
     Epoch e is the model after ``e * iters_per_epoch`` optimiser iterations;
     each epoch is evaluated on the validation rows.  Returns the last model
     and the per-epoch history (epoch, n, accuracy, precision, recall, f1,
-    log_loss, train_loss).
+    log_loss, train_loss).  With ``history=False`` only the last epoch is
+    fitted and evaluated (the returned model is the same).
     """
     if val is None:
         train, val = M.split_exact(train)
@@ -158,9 +159,9 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
     prep = PipelineModel(stages=stages)
     feats = prep.transform(train_docs).select(
         "features", F.col(label_col).cast("double").alias(label_col)).persist()
-    history, model = [], None
+    rows, model = [], None
     try:
-        for e in range(1, epochs + 1):
+        for e in range(1 if history else epochs, epochs + 1):
             lr = LogisticRegression(maxIter=e * iters_per_epoch, regParam=reg, labelCol=label_col,
                                     featuresCol="features", family="binomial")
             model = lr.fit(feats)
@@ -172,13 +173,13 @@ def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_co
             m.update(V.log_loss(scored).collect()[0].asDict())
             scored.unpersist()
             m.update(epoch=e, train_loss=float(model.summary.objectiveHistory[-1]))
-            history.append(m)
+            rows.append(m)
     finally:
         feats.unpersist()
     spark = train.sparkSession
     hist = spark.createDataFrame(
         [(h["epoch"], h["n"], h["accuracy"], h["precision"], h["recall"], h["f1"],
-          h["log_loss"], h["train_loss"]) for h in history],
+          h["log_loss"], h["train_loss"]) for h in rows],
         "epoch int, n bigint, accuracy double, precision double, recall double, f1 double, "
         "log_loss double, train_loss double")
     return TextClassifier(PipelineModel(stages=stages + [model]), title_col, text_col,

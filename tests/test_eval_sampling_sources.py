@@ -139,6 +139,11 @@ def test_text_classifier_history(spark):
     clf, hist = K.fit_text_classifier(train, val, epochs=2)
     h = hist.orderBy("epoch").collect()
     assert [r["epoch"] for r in h] == [1, 2] and all(r["n"] == 4 for r in h)
+    last, h2 = K.fit_text_classifier(train, val, epochs=2, history=False)
+    assert [r["epoch"] for r in h2.collect()] == [2]
+    assert h2.collect()[0]["accuracy"] == h[-1]["accuracy"]
+    p1 = {r["doc_id"]: r["prediction"] for r in clf.classify(ex).collect()}
+    assert p1 == {r["doc_id"]: r["prediction"] for r in last.classify(ex).collect()}
 
 
 def test_user_batch_model(spark):
