@@ -521,11 +521,12 @@ def _epoch_predictions(spark, sf_dir) -> DataFrame:
             .select("vec_id", "epoch", "truth", logits.alias("logits")))
 
 
-_EPOCH_SQL = f"""WITH ep AS (
+_EPOCH_SQL = f"""WITH ex AS (
+  SELECT vec_id, label, embedding, CAST(unnest(range(1, {EPOCHS + 1})) AS INTEGER) AS epoch FROM embeddings),
+ep AS (
   SELECT vec_id, epoch, CAST(label % 2 AS INTEGER) AS truth,
          CAST(embedding[2 * epoch - 1] AS DOUBLE) AS l0, CAST(embedding[2 * epoch] AS DOUBLE) AS l1
-  FROM embeddings CROSS JOIN (SELECT CAST(e AS INTEGER) AS epoch
-                              FROM (SELECT unnest(range(1, {EPOCHS + 1})) AS e))),
+  FROM ex),
 sm AS (
   SELECT *, exp(l0 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p0,
             exp(l1 - greatest(l0, l1)) / (exp(l0 - greatest(l0, l1)) + exp(l1 - greatest(l0, l1))) AS p1,

@@ -73,10 +73,11 @@ cc AS (SELECT cluster, sum(value * value) AS cc FROM centroids GROUP BY cluster)
 vv AS (SELECT doc_id, sum(v * v) AS vv FROM scaled GROUP BY doc_id),
 dots AS (SELECT s.doc_id, c.cluster, sum(s.v * c.value) AS dot
          FROM scaled s JOIN centroids c ON s.term_id = c.term_id GROUP BY s.doc_id, c.cluster),
+pairs AS (SELECT doc_id, is_fake, unnest([0, 1]) AS cluster FROM corpus),
 d2raw AS (SELECT a.doc_id, a.is_fake, k.cluster,
                  coalesce(vv.vv, 0) - 2 * coalesce(dots.dot, 0) + k.cc AS raw,
                  coalesce(vv.vv, 0) + k.cc AS mag
-          FROM corpus a CROSS JOIN cc k
+          FROM pairs a JOIN cc k ON a.cluster = k.cluster
           LEFT JOIN vv ON vv.doc_id = a.doc_id
           LEFT JOIN dots ON dots.doc_id = a.doc_id AND dots.cluster = k.cluster),
 d2 AS (SELECT doc_id, is_fake, cluster,
