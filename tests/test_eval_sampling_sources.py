@@ -161,3 +161,33 @@ def test_user_batch_model(spark):
 
     out = K.classify_with(enc, make_predict_fn, max_length=16).collect()
     assert len(out) == 20 and all(len(r["probabilities"]) == 2 for r in out)
+
+
+def test_profile_sources(spark, tmpdir_path):
+    from credence.plans.profiling import LabelledSource, profile_sources, summary
+    with open(f"{tmpdir_path}/fake.csv", "w") as f:
+        f.write("title,text\na,b\nc,d\ne,f\n")
+    with open(f"{tmpdir_path}/true.csv", "w") as f:
+        f.write("title,text\ng,h\n")
+    with open(f"{tmpdir_path}/fr.csv", "w") as f:
+        f.write("post;label\nx;FAKE\ny;REAL\nz;REAL\n")
+    with open(f"{tmpdir_path}/nolabel.csv", "w") as f:
+        f.write("post;fake\nq;1\n")
+    sources = [
+        LabelledSource("fake_en", (f"{tmpdir_path}/fake.csv",), implied_label="FAKE"),
+        LabelledSource("true_en", (f"{tmpdir_path}/missing.csv", f"{tmpdir_path}/true.csv"),
+                       implied_label="REAL"),
+        LabelledSource("train_fr", (f"{tmpdir_path}/fr.csv",), sep=";"),
+        LabelledSource("test_fr", (f"{tmpdir_path}/absent.csv",), sep=";"),       # optional, missing
+        LabelledSource("other_fr", (f"{tmpdir_path}/nolabel.csv",), sep=";"),     # no label column
+    ]
+    r = {(x["dataset"], x["is_total"]): x for x in profile_sources(spark, sources).collect()}
+    assert (r[("fake_en", 0)]["fake"], r[("fake_en", 0)]["true"]) == (3, 0)
+    assert (r[("true_en", 0)]["fake"], r[("true_en", 0)]["true"]) == (0, 1)
+    assert (r[("train_fr", 0)]["fake"], r[("train_fr", 0)]["true"]) == (1, 2)
+    assert r[("other_fr", 0)]["articles"] == 1 and r[("other_fr", 0)]["fake"] is None
+    assert ("test_fr", 0) not in r
+    tot = r[(None, 1)]
+    assert (tot["articles"], tot["fake"], tot["true"]) == (8, 4, 3)
+    s = summary(profile_sources(spark, sources)).collect()[0]
+    assert s["fake_pct"] == 50.0 and s["true_pct"] == 37.5
