@@ -149,12 +149,14 @@ def score_assigned(assigned: DataFrame, stats: DataFrame,
                    center: float = L.PENALTY_CENTER) -> DataFrame:
     """Anomaly-adjusted score per document.
 
-    ``stats`` has one row per cluster (k rows) and is broadcast.
+    ``stats`` has one row per cluster (k rows) and is broadcast.  The join is
+    a left join: an article whose nearest centroid had no training members
+    keeps its row, with NULL statistics and score.
     """
     s = F.broadcast(stats.select("cluster", F.col("mean").alias("_mean"),
                                  F.col("std").alias("_std"),
                                  F.col("fake_ratio").alias("cluster_fake_ratio")))
-    j = assigned.join(s, "cluster")
+    j = assigned.join(s, "cluster", "left")
     z = L.zscore("distance", "_mean", "_std")
     out = j.withColumn("z_score", z)
     out = out.withColumn("fake_score", L.fake_score("cluster_fake_ratio",

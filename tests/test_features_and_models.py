@@ -159,3 +159,10 @@ def test_per_document_steps_need_no_exchange(spark):
     w = X.tfidf_weights(tfm, vocab.to_df(spark))
     wplan = w._jdf.queryExecution().executedPlan().toString()
     assert "ENSURE_REQUIREMENTS" not in wplan       # only the cached corpus repartition remains
+
+
+def test_scores_keep_articles_of_memberless_clusters(spark):
+    assigned = spark.createDataFrame([(1, 0, 1.0), (2, 5, 2.0)], "doc_id int, cluster int, distance double")
+    stats = spark.createDataFrame([(0, 1.0, 0.5, 0.25)], "cluster int, mean double, std double, fake_ratio double")
+    out = {r["doc_id"]: r for r in C.score_assigned(assigned, stats).collect()}
+    assert set(out) == {1, 2} and out[2]["fake_score"] is None and out[1]["z_score"] == 0.0
