@@ -93,6 +93,14 @@ class TextClassifier:
                 ("terms", "features", "features_tf", "features_raw", "rawPrediction", "probability")]
         return out.drop(*drop)
 
+    def predict_one(self, spark: SparkSession, text: str, title: str | None = None) -> dict:
+        """Classify one text -> {is_fake, confidence, probabilities, verdict, confidence_text}."""
+        one = spark.createDataFrame([(0, title or "", text)], "doc_id bigint, title string, text string")
+        r = self.classify(one).collect()[0]
+        return {"is_fake": bool(r["prediction"]), "confidence": r["class_confidence"],
+                "probabilities": list(r["probabilities"]), "verdict": r["verdict"],
+                "confidence_text": r["confidence_text"]}
+
     def save(self, path: str, spark: SparkSession) -> None:
         """Pipeline via the ML writer, metadata as a one-row parquet table."""
         self.pipeline.write().overwrite().save(f"{path}/model")

@@ -131,6 +131,15 @@ class ClusterDetector:
                                   self.center)
         return scored
 
+    def predict_one(self, spark: SparkSession, title: str | None, text: str | None) -> dict:
+        """Score one article -> {cluster, is_fake, confidence, z_score, fake_score,
+        cluster_fake_ratio} (the same scorer on a one-row frame)."""
+        one = spark.createDataFrame([(0, title, text)], "doc_id bigint, title string, text string")
+        r = self.score(one).collect()[0]
+        return {"cluster": r["cluster"], "is_fake": r["predicted_fake"],
+                "confidence": r["margin_confidence"], "z_score": r["z_score"],
+                "fake_score": r["fake_score"], "cluster_fake_ratio": r["cluster_fake_ratio"]}
+
     # ----------------------------------------------------------- persistence
     def save(self, path: str, spark: SparkSession) -> None:
         w = lambda df, name: df.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")

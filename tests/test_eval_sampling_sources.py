@@ -126,6 +126,8 @@ def test_forest_on_examples_and_roundtrip(spark, tmpdir_path):
                                              "doc_id bigint, title string, text string")).collect()
     assert len(one) == 1 and len(one[0]["probabilities"]) == 2            # X5: one text
     assert one[0]["class_confidence"] == max(one[0]["probabilities"])
+    rec = clf.predict_one(spark, "URGENT: cats can fly!")
+    assert rec["confidence"] == max(rec["probabilities"]) and rec["confidence_text"].endswith("%")
     clf.save(tmpdir_path, spark)
     back = K.TextClassifier.load(spark, tmpdir_path)
     again = {r["doc_id"]: r["prediction"] for r in back.classify(ex).collect()}

@@ -94,6 +94,9 @@ def test_detector_fit_score_save_load(spark, tmpdir_path):
     one = model.score(c.limit(1).select("doc_id", "title", "text")).collect()   # K8: one article
     assert len(one) == 1 and set(one[0].asDict()) >= {"cluster", "predicted_fake", "z_score",
                                                         "fake_score", "margin_confidence"}
+    rec = model.predict_one(spark, "A title", "Some article text about markets and elections")
+    assert set(rec) == {"cluster", "is_fake", "confidence", "z_score", "fake_score", "cluster_fake_ratio"}
+    assert rec["cluster"] in range(model.k) and isinstance(rec["is_fake"], bool)
     model.save(tmpdir_path, spark)
     back = ClusterDetector.load(spark, tmpdir_path)
     assert back.k == model.k and back.vocab == model.vocab
