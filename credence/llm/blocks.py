@@ -39,3 +39,17 @@ def import_on_workers(spark: SparkSession) -> None:
     paths = [p for p in (env.get("PYTHONPATH") or "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+BROADCAST_IDS = 250_000     # at most 2 MB of ids
+
+
+def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi", column: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose ``column`` is (``left_semi``) or is not (``left_anti``) among ``ids``.
+
+    The ids are counted first; few are broadcast, so the texts stay where they
+    are, more are joined by a shuffle.  The result is the same.
+    """
+    ids = materialize(ids.select(column).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, column, how)

@@ -38,3 +38,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.bwt import remove_repeated_bytes
     return (remove_repeated_bytes(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
+
+
+@query("op8_setsketch", sql.SETSKETCH)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.setsketch import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))

@@ -40,3 +40,18 @@ SELECT n.doc_id, n.n::BIGINT AS n_bytes, coalesce(cnt.r, 0)::BIGINT AS n_removed
        sha256(unhex(kept.x)) AS kept_sha256
 FROM n LEFT JOIN cnt ON cnt.doc_id = n.doc_id LEFT JOIN kept ON kept.doc_id = n.doc_id
 """
+
+SETSKETCH = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORD}) AS w FROM documents),
+sh AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+              ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s FROM d),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM sh),
+one AS (SELECT doc_id, hash(unnest(s)) AS g FROM sh),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, a AS r FROM sym UNION SELECT reach.doc_id, sym.b FROM reach JOIN sym ON sym.a = reach.r),
+comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c, n.doc_id) AS component_id, n.doc_id = coalesce(c, n.doc_id) AS kept
+FROM n LEFT JOIN comp ON comp.doc_id = n.doc_id
+"""
