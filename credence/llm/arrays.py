@@ -100,7 +100,7 @@ class Words:
     (one more entry than texts); ``symbol``: a 64-bit hash of each word.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, split: tuple[np.ndarray, np.ndarray] | None = None):
         n = len(data)
         solid = np.empty(n + 2, dtype=bool)
         solid[0] = solid[-1] = False
@@ -113,6 +113,10 @@ class Words:
             joined = solid[cut] & solid[cut + 1]     # bytes cut-1 and cut
             ends[cut[joined] - 1] = True
             begins[cut[joined]] = True
+        if split is not None and n:                  # also between a byte of split[0] and one of split[1]
+            at = np.flatnonzero(split[0][data[:-1]] & split[1][data[1:]])
+            ends[at] = True
+            begins[at + 1] = True
         self.data, self.offsets = data, offsets
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1

@@ -44,3 +44,32 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.setsketch import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_two_tier_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from credence.llm.bpe import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                            ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+@query("op10_best_two_fit")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from credence.llm.packing import pack, token_pieces
+    return pack(token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+@query("op3_iblt")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.iblt import fingerprint_versions
+    return fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pseudo_likelihood")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.lm import score_documents
+    return score_documents(table(spark, sf_dir, "documents"))
