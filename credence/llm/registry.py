@@ -73,3 +73,24 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.lm import score_documents
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op1_js_divergence", sql.QUALITY)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.quality import quality_rules
+    return (quality_rules(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+@query("op9_range_join", sql.RANGE_JOIN)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.urls import RULES, judge_urls, rule_table
+    return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, RULES))
+
+
+@query("op4_derivatives")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.warc import derive, page_responses
+    records = derive(page_responses(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "source_content_type", "source_digest", "block_digest", "n_links", "title",
+                          F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))

@@ -55,3 +55,53 @@ comp AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(c, n.doc_id) AS component_id, n.doc_id = coalesce(c, n.doc_id) AS kept
 FROM n LEFT JOIN comp ON comp.doc_id = n.doc_id
 """
+
+
+def _quality() -> str:
+    from credence.llm.quality import CLASS_LIMIT, WORD_GUARD, WORD_LIMIT, WORD_LIST
+
+    words = "[" + ", ".join(f"'{w}'" for w in WORD_LIST) + "]"
+
+    def distance(p: str, q: str) -> str:
+        part = "CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0 END"
+        p_, q_ = f"{p}[i]", f"{q}[i]"
+        return f"sqrt(greatest(list_sum([({part.format(a=p_, b=q_)} + {part.format(a=q_, b=p_)}) / 2 FOR i IN range(1, len({p}) + 1)]), 0))"
+
+    def mean(x: str, n: int) -> str:
+        return "[" + ", ".join(f"avg({x}[{i}])" for i in range(1, n + 1)) + "]"
+
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {WORD}) AS w FROM documents),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS x(i)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM twice, unnest([0, 1, 2]) AS x(j) GROUP BY doc_id),
+ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, d.lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(t) AS chars,
+             length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS up, length(regexp_replace(t, '[^0-9]+', '', 'g')) AS dg,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^.,;:!?''"()-]+', '', 'g')) AS mk,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             [len(list_filter(w, lambda x: lower(x) = c)) FOR c IN {words}] AS common
+      FROM d JOIN ln ON ln.doc_id = d.doc_id LEFT JOIN rep ON rep.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             [up, dg, n_symbols, mk, chars - word_chars, word_chars - up - dg - n_symbols - mk] AS c6,
+             list_append(common, n_words - list_sum(common)) AS cw FROM m),
+s AS (SELECT *, [x / greatest(list_sum(c6), 1) FOR x IN c6] AS c, [x / greatest(list_sum(cw), 1) FOR x IN cw] AS v FROM b),
+r AS (SELECT lang, {mean('c', 6)} AS rc, {mean('v', len(WORD_LIST) + 1)} AS rv FROM s WHERE NOT base_failed GROUP BY lang),
+j AS (SELECT s.*, {distance('c', 'rc')} AS dc, {distance('v', 'rv')} AS dv FROM s LEFT JOIN r ON s.lang IS NOT DISTINCT FROM r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(dc > {CLASS_LIMIT} OR (n_words >= {WORD_GUARD} AND dv > {WORD_LIMIT}), false) AS kept
+FROM j
+"""
+
+
+QUALITY = _quality()
+
+RANGE_JOIN = r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rule, rhost, rpath, verdict) AS (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                                          ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict
+        FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+SELECT p.page_id, host, path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id
+"""
