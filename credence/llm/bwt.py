@@ -1,13 +1,13 @@
 """Byte-level de-duplication by merging Burrows-Wheeler transforms (operator 5).
 
 The segments of a bucket are cut into shards.  Each shard gets its own suffix
-order and its own transform, here of order two: the two bytes before a suffix
-are one symbol, so one pass moves two bytes.  The shards are then merged by
+order and its own transform, here of order three: the three bytes before a
+suffix are one symbol, so one pass moves three bytes.  The shards are then merged by
 refining an interleave (which shard does the i-th suffix come from): reading
 the symbols in the present order and dealing the entries out by symbol gives
-the order by two more bytes, and no suffixes are sorted again.  Two
+the order by three more bytes, and no suffixes are sorted again.  Two
 neighbours stay in one interval only while they had the same symbol and came
-from one interval, so after window / 2 passes the intervals are exactly the
+from one interval, so after the passes that make up ``window`` bytes the intervals are exactly the
 suffixes that share ``window`` bytes: their common prefix is at least that
 long.  The smallest doc_id of an interval answers all its windows.
 """
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from credence.llm import arrays as A
 from credence.llm.repeats import LAST_ID, Units, binary_column, count_by_text, repeated_windows
 
-WINDOW, GRAM = 50, 22
+WINDOW, GRAM = 50, 18
+STEPS = 3                                # bytes moved by one pass
 SHARD_BYTES = 1 << 18
 
 
@@ -29,77 +30,109 @@ def suffix_order(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes of a shard in order; equal ones by position.
 
     ``codes``: symbols from 1, 0 for the pads; ``left``: symbols from each
-    position to the end of its segment (0 or less at pads).
+    position to the end of its segment (0 or less at pads).  Prefix doubling:
+    each round sorts only the suffixes that still share their rank.
     """
     n = len(codes)
     packed = np.zeros(n, dtype=np.int64)
     for j in range(7):
-        digit = np.zeros(n, dtype=np.int64)
-        digit[: n - j] = np.where(left[: n - j] > j, codes[j:], 0)
-        packed = (packed << 9) | digit
+        packed <<= 9
+        packed[: n - j] |= np.where(left[: n - j] > j, codes[j:], 0)
+    order = np.argsort(packed)
+    rank = np.empty(n, dtype=np.int64)                  # first place of the suffixes that share it
+    start, end = A.runs_of(packed[order])
+    rank[order] = np.repeat(start, end - start)
     h = 7
     while True:
-        order = np.argsort(packed, kind="stable")
-        s = packed[order]
-        rank_sorted = np.concatenate([[1], 1 + np.cumsum(s[1:] != s[:-1])])
-        if h >= left.max(initial=0):
+        tied = np.repeat(end - start > 1, end - start)
+        slots = np.flatnonzero(tied)
+        if not len(slots):
             return order
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = rank_sorted
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - h] = np.where(left[: n - h] > h, rank[h:], 0)
-        packed = rank * (n + 1) + after
+        at = order[slots]
+        done = h >= left[at].max()
+        after = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)] + 1, 0)
+        by = np.lexsort((at, rank[at])) if done else np.lexsort((after, rank[at]))
+        at, after = at[by], after[by]
+        order[slots] = at
+        if done:
+            return order
+        s, e = A.runs_of(rank[at], after)
+        rank[at] = np.repeat(slots[s], e - s)
+        start, end = _place_runs(n, slots, s, e)
         h *= 2
 
 
+def _place_runs(n: int, slots: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs over all places: those of the sorted slots, every other place alone."""
+    alone = np.ones(n + 1, dtype=bool)
+    alone[slots] = False
+    alone[slots[s]] = True
+    start = np.flatnonzero(alone[:n])
+    return start, np.append(start[1:], n)
+
+
+def _transforms(codes: np.ndarray, place: np.ndarray, order: np.ndarray, steps: int) -> np.ndarray:
+    """The ``steps`` symbols before each suffix as one symbol, in the shards' orders; the largest: none."""
+    radix = int(codes.max(initial=0)) + 1
+    before = np.full(len(codes), radix ** steps, dtype=np.int64)
+    value = np.zeros(len(codes) - steps, dtype=np.int64)
+    for j in range(steps):
+        value = value * radix + codes[j: len(codes) - steps + j]
+    before[steps:] = np.where(place[steps:] >= steps, value, radix ** steps)
+    if radix ** steps >= 1 << 16:                       # dense numbers: few of the possible symbols occur
+        present = np.unique(np.append(before, radix ** steps))
+        before = np.searchsorted(present, before)
+        top = len(present)
+    else:
+        top = radix ** steps
+    return before[order].astype(np.uint16 if top < 1 << 16 else np.uint32)
+
+
 def merged_intervals(codes: np.ndarray, left: np.ndarray, place: np.ndarray, cuts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffixes in merged order, interval number of each) to a depth of ``window`` symbols.
 
     ``place``: position of each symbol in its segment; ``cuts``: shard bounds.
-    Segments end in two pads.
+    Segments end in ``STEPS`` pads.
     """
-    n, radix = len(codes), int(codes.max(initial=0)) + 1
+    n = len(codes)
     order = np.concatenate([a + suffix_order(codes[a:b], left[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)
-    none = radix * radix
-    kind = np.uint16 if none < 1 << 16 else np.uint32
-    pair = np.full(n, none, dtype=np.int64)
-    pair[2:] = np.where(place[2:] >= 2, codes[:-2].astype(np.int64) * radix + codes[1:-1], none)
-    transform = pair[order].astype(kind)                    # shard after shard, each in its own order
-    pads = left <= 0
-    fixed = shard[pads]                                     # the empty suffixes come first and stay
-    z, interval, n_pads = shard, np.zeros(n, dtype=np.int32), len(fixed)
-    symbol = np.empty(n, dtype=kind)
-    for _ in range((window + 1) // 2):
-        symbol[np.argsort(z, kind="stable")] = transform
-        dealt = np.argsort(symbol, kind="stable")[: n - n_pads]
-        s, i = symbol[dealt], interval[dealt]
-        new = np.ones(n - n_pads, dtype=np.int32)
-        new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
-        z = np.concatenate([fixed, z[dealt]])
-        interval = np.concatenate([np.zeros(n_pads, np.int32), np.cumsum(new, dtype=np.int32)])
+    z = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)
+    interval = np.zeros(n, dtype=np.int32)
+    rest = window % STEPS
+    for steps, passes in ((rest, 1 if rest else 0), (STEPS, window // STEPS)):
+        if not passes:
+            continue
+        transform = _transforms(codes, place, order, steps)
+        fixed = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)[left <= steps - STEPS]
+        moving = n - len(fixed)
+        symbol = np.empty(n, dtype=transform.dtype)
+        new = np.ones(moving, dtype=np.int32)
+        for _ in range(passes):
+            symbol[np.argsort(z, kind="stable")] = transform
+            dealt = np.argsort(symbol, kind="stable")[:moving]
+            s, i = symbol[dealt], interval[dealt]
+            new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
+            z = np.concatenate([fixed, z[dealt]])
+            interval = np.concatenate([np.zeros(n - moving, np.int32), np.cumsum(new, dtype=np.int32)])
     merged = np.empty(n, dtype=np.int64)
     merged[np.argsort(z, kind="stable")] = order
     return merged, interval
 
 
 def match_by_merge(window: int, shard_bytes: int = SHARD_BYTES):
-    if window % 2:
-        raise ValueError("the window must have an even number of bytes")
-
-    def match(body: np.ndarray, offsets: np.ndarray, key: np.ndarray, low: np.ndarray):
+    def match(body: np.ndarray, offsets: np.ndarray, low: np.ndarray):
         size = np.diff(offsets)
         windows = size - window + 1
         of = np.repeat(np.arange(len(size)), windows)
-        # each segment followed by two pads
-        padded = np.cumsum(size + 2) - (size + 2)
-        n = int((size + 2).sum())
+        # each segment followed by its pads
+        padded = np.cumsum(size + STEPS) - (size + STEPS)
+        n = int((size + STEPS).sum())
         used = np.unique(body)
         code = np.zeros(256, dtype=np.int16)
         code[used] = np.arange(1, len(used) + 1)
         codes = np.zeros(n, dtype=np.int16)
         codes[A.ranges(padded, size)] = code[body]
-        seg = np.repeat(np.arange(len(size)), size + 2)
+        seg = np.repeat(np.arange(len(size)), size + STEPS)
         place = np.arange(n) - padded[seg]
         left = size[seg] - place
         bounds = np.append(padded, n)

@@ -113,7 +113,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
                      keep: tuple[str, ...] = ()) -> DataFrame:
     """Run the five steps.
 
-    ``match(body, offsets, key, low)`` gets the distinct segments of a bucket
+    ``match(body, offsets, low)`` gets the distinct segments of a bucket
     (their bytes) and returns, for all windows of all segments in order, the
     smallest doc_id holding the window.  ``finish(units, offsets, removed)``
     gets some texts and the mask of removed units and returns the result
@@ -121,7 +121,8 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-                       *[F.col(c).alias(f"keep_{c}") for c in keep])
+                       *[F.col(c).alias(f"keep_{c}") for c in keep if c != text_col])
+    held = {c: "text" if c == text_col else f"keep_{c}" for c in keep}
     n = block_count(base)
     base = base.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
     blocks = base.groupBy(BLOCK)
@@ -166,10 +167,10 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         return pa.table({BLOCK: table.column(BLOCK).cast(pa.int32()), "key": pa.array(found, pa.binary())}).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
 
     def distinct_segments(docs_: pa.Table, shared: pa.Table) -> pa.Table:
-        names = (BUCKET, BLOCK, "seg", "key", "low", "high", "size", "body")
+        names = (BUCKET, BLOCK, "low", "high", "size", "body")
         wanted = np.unique(_join(shared.column("key"), U)) if shared.num_rows else np.zeros(0, U)
         if not docs_.num_rows or not len(wanted):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 6)], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 4)], names=names)
         block = docs_.column(BLOCK)[0].as_py()
         data, offsets, ids = _sorted_text(docs_)
         got = []
@@ -179,7 +180,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             pick = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
             text, first, windows, key = text[pick], first[pick], windows[pick], key[pick]
             end = first + windows + window - 1
-            seg = segment_id(u, first, end, key)
+            seg = A.SpanHash(u.symbol)(first, end)
             s, e = u.byte_span(first, end)
             got.append((seg, key, ids[a + text], s + offsets[a], e + offsets[a]))
         seg, key, owner, s, e = (np.concatenate(x) for x in zip(*got))
@@ -197,14 +198,15 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         bs, _ = A.runs_of(bucket)
         cuts = np.append(bs, len(bucket))
         bytes_at = np.concatenate([[0], np.cumsum(size)])[cuts]
-        columns = [_split(x, cuts) for x in (seg[one], key[one], low, high, size.astype(np.int32))] + [_split(body, bytes_at)]
+        columns = [_split(x, cuts) for x in (low, high, size.astype(np.int32))] + [_split(body, bytes_at)]
         return pa.table([pa.array(bucket[bs], pa.int32()), pa.array(np.full(len(bs), block, np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=names)
 
     def matched(table: pa.Table) -> pa.Table:
-        per_block = _sizes(table.column("seg"), 8)
-        seg, key, low, high, size = (_join(table.column(c), t) for c, t in (("seg", U), ("key", U), ("low", np.int64), ("high", np.int64), ("size", np.int32)))
+        per_block = _sizes(table.column("low"), 8)
+        low, high, size = (_join(table.column(c), t) for c, t in (("low", np.int64), ("high", np.int64), ("size", np.int32)))
         body = _join(table.column("body"), np.uint8)
         at = np.cumsum(size, dtype=np.int64) - size
+        seg = digests(unit, body, np.append(at, len(body)))
         order = np.argsort(seg, kind="stable")
         start, end = A.runs_of(seg[order])
         one = order[start]
@@ -213,7 +215,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         lowest = np.minimum.reduceat(low[order], start)
         offsets = np.concatenate([[0], np.cumsum(size[one], dtype=np.int64)])
         body = body[A.ranges(at[one], size[one].astype(np.int64))]
-        of, least = match(body, offsets, key[one], lowest)   # distinct segment and answer of every window
+        of, least = match(body, offsets, lowest)   # distinct segment and answer of every window
         rs, re_ = A.runs_of(of, least)
         value, length, of = least[rs], (re_ - rs).astype(np.int32), of[rs]
         first = np.searchsorted(of, np.arange(len(one) + 1))
@@ -243,8 +245,8 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             u = Units(unit, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             mask = np.zeros(len(u.symbol), dtype=bool)
             if len(seg):
-                text, first, windows, key = segments(u, window, gram)
-                own = segment_id(u, first, first + windows + window - 1, key)
+                text, first, windows, _ = segments(u, window, gram)
+                own = A.SpanHash(u.symbol)(first, first + windows + window - 1)
                 j = np.minimum(np.searchsorted(sorted_seg, own), len(sorted_seg) - 1)
                 hit = np.flatnonzero(sorted_seg[j] == own)
                 j = j[hit]
@@ -257,26 +259,29 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             parts.append(finish(u, offsets[a: b + 1] - offsets[a], mask))
         if not docs_.num_rows:
             return result_type.empty_table()
-        columns = {"doc_id": docs_.column("doc_id"), **{c: docs_.column(f"keep_{c}") for c in keep}}
+        columns = {"doc_id": docs_.column("doc_id"), **{c: docs_.column(h) for c, h in held.items()}}
         columns |= {c: pa.chunked_array([p[c] for p in parts]) for c in parts[0]}
         return pa.table([columns[f.name].cast(f.type) for f in result_type], schema=result_type)
 
     from pyspark.sql.pandas.types import to_arrow_schema
-    kept_types = "".join(f", `{c}` {base.schema[f'keep_{c}'].dataType.simpleString()}" for c in keep)
+    kept_types = "".join(f", `{c}` {base.schema[h].dataType.simpleString()}" for c, h in held.items())
     result_schema = f"doc_id long{kept_types}, {schema}"
     result_type = to_arrow_schema(spark.createDataFrame([], result_schema).schema)
     asked = blocks.applyInArrow(distinct_keys, f"{BUCKET} int, {BLOCK} int, key binary, multi binary")
     shared = asked.groupBy(BUCKET).applyInArrow(shared_keys, f"{BLOCK} int, key binary")
     sent = (blocks.cogroup(shared.groupBy(BLOCK))
-            .applyInArrow(distinct_segments, f"{BUCKET} int, {BLOCK} int, seg binary, key binary, low binary, high binary, size binary, body binary"))
+            .applyInArrow(distinct_segments, f"{BUCKET} int, {BLOCK} int, low binary, high binary, size binary, body binary"))
     answers = sent.groupBy(BUCKET).applyInArrow(matched, f"{BLOCK} int, seg binary, runs binary, value binary, length binary")
     return blocks.cogroup(answers.groupBy(BLOCK)).applyInArrow(removed, result_schema)
 
 
-def segment_id(u: Units, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
-    if not len(start):
-        return np.zeros(0, U)
-    return A.mix(A.SpanHash(u.symbol)(start, end) + key * U(0xC2B2AE3D27D4EB4F))
+def digests(unit: str, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The digest of each segment's units, as its block computed it."""
+    out = []
+    for a, b in A.pieces(offsets):
+        u = Units(unit, body[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+        out.append(A.SpanHash(u.symbol)(u.first[:-1], u.first[1:]))
+    return np.concatenate(out or [np.zeros(0, U)])
 
 
 def binary_column(data: np.ndarray, ends: np.ndarray) -> pa.Array:

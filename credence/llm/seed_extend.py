@@ -50,15 +50,17 @@ def _extended(seeds: np.ndarray, group: np.ndarray, steps: int, symbol_at, insid
 
 
 def match_by_extension(window: int, gram: int):
-    def match(body: np.ndarray, offsets: np.ndarray, key: np.ndarray, low: np.ndarray):
+    def match(body: np.ndarray, offsets: np.ndarray, low: np.ndarray):
         u = Units("word", body, offsets)
         first, symbols = u.first, u.symbol
         length = np.diff(first)
         windows = length - window + 1
+        hashes = gram_keys(symbols, gram)
+        key = key_of(A.sliding_min(hashes, window - gram + 1)[first[:-1]])
         of = np.repeat(np.arange(len(key)), windows)
         base = np.cumsum(windows) - windows                 # first window of each segment
         least = low[of].copy()
-        grams = key_of(gram_keys(symbols, gram))
+        grams = key_of(hashes)
         at = A.ranges(first[:-1], length - gram + 1)
         seg = np.repeat(np.arange(len(key)), length - gram + 1)
         is_seed = grams[at] == key[seg]
