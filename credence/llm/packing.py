@@ -211,7 +211,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, order: tuple[str, ...] = ("doc_i
     ``order`` may swap their places.  An empty table gives an empty result.
     """
     wide = max(shuffle_width(pieces.sparkSession), 1)
-    blocked = materialize(pieces.withColumn("__lane", F.pmod(F.xxhash64(*[c for c in order]), F.lit(64 * wide)).cast("int")))
+    blocked = materialize(pieces.withColumn("__lane", F.pmod(F.xxhash64(*[c for c in order]), F.lit(wide)).cast("int")))
     counts = blocked.groupBy("__lane", "length").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__lane").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__lane", "length", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
