@@ -13,8 +13,9 @@ Documents with equal sets are one class; only one document of a class goes on.
 In a band bucket each class is first paired with the smallest doc_id, never
 with all others.  After these links are joined to components, only buckets
 that still hold several components are compared further, across components,
-in tiles of bounded size; so every candidate pair is either confirmed or
-refuted, or already lies within one component.
+in tiles of bounded size that return only links which join components; so
+every candidate pair is either confirmed or refuted, or already lies within
+one component.
 """
 
 from __future__ import annotations
@@ -172,29 +173,81 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _across(threshold: float):
-    """Candidate pairs of different components within one tile of a bucket."""
+def _candidates(band: int, s: int, t: int, table: pa.Table, least: float, rows: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one tile, of different components, that agree in no earlier band and are estimated near the threshold."""
+    side = table.column("part").to_numpy()
+    ids, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+    reg = _register_matrix(table.column("registers").combine_chunks())
+    bands = band_keys(reg, rows)
+    earlier = bands[:, : int(np.flatnonzero(bands[0] == band)[0])]
+    left, right = np.flatnonzero(side == s), np.flatnonzero(side == t)
+    got = []
+    for at in range(0, len(left), 32):
+        i = left[at: at + 32]
+        ok = (comp[i][:, None] != comp[right]) & ((ids[right] > ids[i][:, None]) | (s != t))
+        ok &= 100 * np.minimum(n[i][:, None], n[right]) >= percent * np.maximum(n[i][:, None], n[right])
+        x, y = np.nonzero(ok)
+        for c in range(0, len(x), 20_000):
+            a, b = i[x[c: c + 20_000]], right[y[c: c + 20_000]]
+            near = (reg[a] == reg[b]).sum(axis=1) >= REGISTERS * (least - 0.05)
+            a, b = a[near], b[near]
+            first = ~(earlier[a] == earlier[b]).any(axis=1)
+            a, b = a[first], b[first]
+            if len(a):
+                near = likely_jaccard(reg[a], reg[b], n[a].astype(float), n[b].astype(float)) >= least
+                got.append((a[near], b[near]))
+    a, b = (np.concatenate(v) for v in zip(*got)) if got else (np.zeros((2, 0), dtype=np.int64))
+    return a, b
+
+
+def _involved(threshold: float, rows: int, percent: int):
+    """The classes of a tile that are in some candidate pair."""
     least = _floor(threshold)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        s, t = key[1].as_py(), key[2].as_py()
-        side = table.column("part").to_numpy()
-        ids, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-        reg = _register_matrix(table.column("registers").combine_chunks())
-        left, right = np.flatnonzero(side == s), np.flatnonzero(side == t)
-        got_a, got_b = [], []
-        for i in left:
-            other = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (s != t))]
-            if not len(other):
+        band, s, t = (k.as_py() for k in key)
+        a, b = _candidates(band, s, t, table, least, rows, percent)
+        return table.take(pa.array(np.unique(np.append(a, b)))).select(["band", "s", "t", "part", "rep", "component", "n_shingles", "registers"])
+    return run
+
+
+def _tile_links(threshold: float, rows: int, percent: int, k: int):
+    """Confirmed links of a tile; pairs that earlier links have joined need no comparison."""
+    least = _floor(threshold)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        band, s, t = (x.as_py() for x in key)
+        ids, comp = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        data, offsets = A.text_arrays(table.column("text"))
+        sets = []
+        for a, b in set_pieces(offsets):
+            h, first = shingle_sets(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a], k)
+            sets += [np.sort(h[x:y]) for x, y in zip(first[:-1], first[1:])]
+        group = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while group[c] != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        left, right = _candidates(band, s, t, table, least, rows, percent)
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        links = []
+        for x, y in zip(*A.runs_of(left)):
+            i = left[x]
+            others = [j for j in right[x:y].tolist() if root(comp[j]) != root(comp[i])]
+            if not others:
                 continue
-            other = other[(reg[other] == reg[i]).sum(axis=1) >= REGISTERS * max(0.0, 2 * least - 1)]
-            if len(other):
-                j = likely_jaccard(reg[other], np.broadcast_to(reg[i], (len(other), REGISTERS)), n[other].astype(float), np.full(len(other), float(n[i])))
-                other = other[j >= least]
-                got_a.append(np.minimum(ids[other], ids[i]))
-                got_b.append(np.maximum(ids[other], ids[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate(got_a or [empty]), "b": np.concatenate(got_b or [empty])})
+            size = np.array([len(sets[j]) for j in others])
+            joined = np.concatenate([sets[j] for j in others])
+            found = sets[i][np.minimum(np.searchsorted(sets[i], joined), len(sets[i]) - 1)] == joined
+            both = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+            for j in np.array(others)[100 * both >= percent * (len(sets[i]) + size - both)].tolist():
+                if root(comp[j]) != root(comp[i]):
+                    group[root(comp[j])] = root(comp[i])
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
     return run
 
 
@@ -243,9 +296,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85,
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("band", F.least("part", "other").alias("s"), F.greatest("part", "other").alias("t"), "part", "rep", "component", "n_shingles")
              .join(known.select("rep", "registers"), "rep"))
-    further = materialize(tiles.groupBy("band", "s", "t").applyInArrow(_across(threshold), "a long, b long").distinct())
-    if not further.isEmpty():
-        more = confirmed(further)
+    tile = ["band", "s", "t"]
+    shape = "band long, s int, t int, part int, rep long, component long, n_shingles long, registers binary"
+    involved = materialize(tiles.groupBy(*tile).applyInArrow(_involved(threshold, rows, percent), shape))
+    if not involved.isEmpty():
+        used = restrict(texts, involved.select(F.col("rep").alias("doc_id")))
+        whole = involved.join(used.toDF("rep", "text"), "rep").select(*involved.columns, "text")
+        more = materialize(whole.groupBy(*tile).applyInArrow(_tile_links(threshold, rows, percent, shingle_words), "a long, b long"))
         if not more.isEmpty():
             label = components(links.union(more))
 
