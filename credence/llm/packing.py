@@ -25,8 +25,7 @@ from credence.llm import arrays as A
 from credence.llm.blocks import materialize, shuffle_width
 
 LIMIT, END_ID = 2048, 0
-MEMO = 400_000            # words whose ids a worker remembers; a cache only
-PIECE = 4 << 20
+MEMO = 250_000            # words whose ids a worker remembers; a cache only
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _ALNUM = np.zeros(256, dtype=bool)
@@ -40,18 +39,19 @@ class Pool:
     """Growing integer lists in one array."""
 
     def __init__(self):
-        self.values, self.used = np.zeros(1 << 16, dtype=np.int32), 0
-        self.start, self.count = [], []
+        self.values, self.bounds = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64)
+        self.lists = 0
 
     def add(self, ids: list[int]) -> int:
-        n = len(ids)
-        while self.used + n > len(self.values):
+        at, k = int(self.bounds[self.lists]), self.lists
+        while at + len(ids) > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[self.used: self.used + n] = ids
-        self.start.append(self.used)
-        self.count.append(n)
-        self.used += n
-        return len(self.start) - 1
+        if k + 2 > len(self.bounds):
+            self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
+        self.values[at: at + len(ids)] = ids
+        self.bounds[k + 1] = at + len(ids)
+        self.lists += 1
+        return k
 
 
 class WordEncoder:
@@ -88,7 +88,8 @@ class WordEncoder:
             for word, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 self.index[word] = self.pool.add(e.ids)
         at = np.fromiter((self.index[x] for x in words), dtype=np.int64, count=len(words))
-        start, count = np.array(self.pool.start, dtype=np.int64)[at][which], np.array(self.pool.count, dtype=np.int64)[at][which]
+        start = self.pool.bounds[at]
+        start, count = start[which], (self.pool.bounds[at + 1] - start)[which]
         total = np.concatenate([[0], np.cumsum(count)])
         return self.pool.values[A.ranges(start, count)], total[w.first]
 
@@ -104,7 +105,7 @@ def _pieces(path: str, limit: int, end_id: int, with_ids: bool):
         words = encoder(path)
         for batch in batches:
             data, offsets = A.text_arrays(batch.column("text"))
-            for a, b in A.pieces(offsets, PIECE):
+            for a, b in A.pieces(offsets):
                 ids, first = words.ids(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 size = np.diff(first) + 1
                 bounds = np.concatenate([[0], np.cumsum(size)])
