@@ -308,5 +308,5 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, percent: int = 85,
 
     of_class = classes.select(*digest, "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component"))
     return (sketches.select("doc_id", *digest).join(of_class, digest, "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+            .select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
