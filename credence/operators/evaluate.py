@@ -69,15 +69,26 @@ def with_softmax(df: DataFrame, logits: str = "logits") -> DataFrame:
 
 def log_loss(df: DataFrame, truth: str = "truth", probabilities: str = "probabilities",
              group: str | None = None, batch_size: int | None = None,
-             order_col: str | None = None) -> DataFrame:
+             order_col: str | None = None, logits: str | None = None) -> DataFrame:
     """Mean cross-entropy -ln p[truth].
 
+    A probability of 0 for the true class costs infinity; it is never skipped.
+    From ``logits`` (which then take the place of the probabilities) the loss
+    stays finite: max + ln(sum(exp(x - max))) - x[truth].
+
     With ``batch_size`` the rows (in ``order_col`` order) are cut into
     consecutive batches; the loss is the mean of the per-batch means, so a
     short last batch weighs as much as a full one.
     """
     g = [group] if group else []
-    nll = -F.log(F.element_at(F.col(probabilities), F.col(truth).cast("int") + 1))
+    true_at = F.col(truth).cast("int") + 1
+    if logits:
+        top = F.array_max(logits)
+        spread = F.aggregate(F.transform(logits, lambda v: F.exp(v - top)), F.lit(0.0), lambda acc, v: acc + v)
+        nll = top + F.log(spread) - F.element_at(F.col(logits), true_at)
+    else:
+        p_true = F.element_at(F.col(probabilities), true_at)
+        nll = F.when(p_true > 0, -F.log(p_true)).when(p_true.isNotNull(), F.lit(float("inf")))
     x = df.withColumn("_nll", nll)
     if not batch_size:
         return x.groupBy(*g).agg(F.avg("_nll").alias("log_loss"))

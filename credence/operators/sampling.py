@@ -1,22 +1,22 @@
 """Exact-size seeded samples and train/validation splits.
 
-Each row gets a seeded pseudo-random key ``md5('<seed>:<doc_id>')``.  The
-sample is the ``n`` rows with the smallest keys; the split puts the
-``ceil(test_size * n)`` smallest keys in validation.  Selection never
-gathers the chosen rows in one task: a threshold key is found first and
-both sides are plain filters against it.
-
-Finding the threshold: for a small ``n`` a TakeOrdered of at most ``n``
-keys; for a large ``n`` a histogram on the leading hex digits of the key
-(at most 65,536 buckets per round) narrows the boundary bucket until what is
-left fits the TakeOrdered bound.
+Rows are ordered by a seeded pseudo-random key ``md5('<seed>:<key>')`` and, for
+equal keys, by a hash of the whole row; a null key counts as a value of its
+own.  The sample is the first ``n`` rows of that order, the split puts the
+first ``ceil(test_size * n)`` in validation.  Only rows equal in every column
+tie, and of those as many are taken as are needed, so sizes are exact.
+
+The cut is found in the same way for every ``n``: a histogram on the leading
+hex digits (at most 65,536 buckets a round) narrows the bucket that holds the
+n-th place until it holds one value.  The chosen rows are then a filter and
+are never gathered.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Default seed and validation share.
@@ -24,49 +24,58 @@ DEFAULT_SEED = 42
 DEFAULT_TEST_SIZE = 0.1
 # End of fixed values.
 
-TAKE_ORDERED_MAX = 200_000   # largest n fetched by a TakeOrdered
-_BUCKET_HEX = 4              # 16**4 = 65,536 buckets per narrowing round
+_STEP = 4                 # hex digits of a narrowing round: 16**4 = 65,536 buckets
+_DIGITS = 48              # 32 of the key, 16 of the row
 
 
 def hash_key(seed: int = DEFAULT_SEED, key_col: str = "doc_id") -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key_col).cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key_col).cast("string"), F.lit("\u0000null"))))
 
 
-def kth_smallest_key(df: DataFrame, key: str, k: int) -> str | None:
-    """The k-th smallest value of the string column ``key`` (1-based)."""
-    if k <= 0:
-        return None
-    keys = df.select(F.col(key).alias("_k"))
-    prefix, depth = "", 0
-    while True:
-        cand = keys if not prefix else keys.filter(F.col("_k").startswith(prefix))
-        if k <= TAKE_ORDERED_MAX:
-            rows = cand.orderBy("_k").limit(k).agg(F.max("_k").alias("m"),
-                                                    F.count(F.lit(1)).alias("c")).collect()
-            return rows[0]["m"] if rows and rows[0]["c"] == k else None
-        depth += _BUCKET_HEX
-        hist = (cand.groupBy(F.substring("_k", 1, depth).alias("b"))
-                .agg(F.count(F.lit(1)).alias("c")).collect())
-        seen = 0
-        for row in sorted(hist, key=lambda r: r["b"]):
-            if seen + row["c"] >= k:
-                prefix, k = row["b"], k - seen
+def _ordered(df: DataFrame, seed: int, key_col: str) -> DataFrame:
+    """``df`` with its place in the order as ``__order``, 48 hex digits."""
+    row = F.lpad(F.lower(F.hex(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]))), 16, "0")
+    return df.withColumn("__order", F.concat(hash_key(seed, key_col), row))
+
+
+def _cut(ordered: DataFrame, n: int) -> tuple[str, int] | None:
+    """The order value at the n-th place (from 1) and how many rows of that value belong before the cut; None: fewer rows."""
+    prefix = ""
+    for digits in range(_STEP, _DIGITS + 1, _STEP):
+        inside = ordered.where(F.col("__order").startswith(prefix)) if prefix else ordered
+        counts = inside.groupBy(F.substring("__order", 1, digits).alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("__order").alias("low"), F.max("__order").alias("high")).collect()
+        for row in sorted(counts, key=lambda r: r["b"]):
+            if n <= row["c"]:
                 break
-            seen += row["c"]
+            n -= row["c"]
         else:
             return None
+        if row["low"] == row["high"]:
+            return row["low"], n
+        prefix = row["b"]
+    raise AssertionError("the order has more digits than expected")
+
+
+def _sides(ordered: DataFrame, n: int) -> tuple[DataFrame, DataFrame] | None:
+    """(the first n rows, the others); None: there are not more than n rows."""
+    cut = _cut(ordered, n)
+    if cut is None:
+        return None
+    value, take = cut
+    tied = ordered.where(F.col("__order") == value).withColumn("__nth", F.row_number().over(Window.partitionBy("__order").orderBy("__order")))
+    parts = []
+    for side, mine in ((F.col("__order") < value, F.col("__nth") <= take), (F.col("__order") > value, F.col("__nth") > take)):
+        parts.append(ordered.where(side).unionByName(tied.where(mine).drop("__nth")).drop("__order"))
+    return parts[0], parts[1]
 
 
 def sample_exact(df: DataFrame, n: int | None, seed: int = DEFAULT_SEED,
                  key_col: str = "doc_id") -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, chosen by the seeded key; ``None`` = all."""
-    if n is None:
+    """Exactly ``min(n, rows)`` rows, chosen by the seeded order; ``None`` or 0 = no cap, all rows."""
+    if not n:
         return df
-    keyed = df.withColumn("_key", hash_key(seed, key_col))
-    if n <= TAKE_ORDERED_MAX:
-        return keyed.orderBy("_key", key_col).limit(n).drop("_key")
-    thr = kth_smallest_key(keyed, "_key", n)
-    return df if thr is None else keyed.filter(F.col("_key") <= thr).drop("_key")
+    sides = _sides(_ordered(df, seed, key_col), n)
+    return df if sides is None else sides[0]
 
 
 def validation_size(n: int, test_size: float = DEFAULT_TEST_SIZE) -> int:
@@ -81,8 +90,9 @@ def split_exact(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed: int =
     m = validation_size(n, test_size)
     if n - m <= 0:
         raise ValueError(f"split of {n} rows leaves no training rows")
-    keyed = df.withColumn("_key", hash_key(seed, key_col))
-    thr = kth_smallest_key(keyed, "_key", m)
-    val = keyed.filter(F.col("_key") <= F.lit(thr)).drop("_key")
-    train = keyed.filter(F.col("_key") > F.lit(thr)).drop("_key")
-    return train, val
+    if m == 0:
+        return df, df.limit(0)
+    sides = _sides(_ordered(df, seed, key_col), m)
+    if sides is None:
+        raise ValueError(f"fewer than {m} rows to choose from")
+    return sides[1], sides[0]

@@ -51,12 +51,12 @@ def test_split_single_row_raises(spark):
         M.split_exact(spark.range(1).withColumnRenamed("id", "doc_id"))
 
 
-def test_large_n_threshold_path(spark, monkeypatch):
+def test_sample_is_the_smallest_keys(spark):
+    import hashlib
     df = spark.range(5000).withColumnRenamed("id", "doc_id")
-    small = {r[0] for r in M.sample_exact(df, 700).collect()}
-    monkeypatch.setattr(M, "TAKE_ORDERED_MAX", 50)
-    big = {r[0] for r in M.sample_exact(df, 700).collect()}
-    assert len(big) == 700 and big == small
+    order = sorted(range(5000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    for n in (1, 700, 4999):
+        assert {r[0] for r in M.sample_exact(df, n).collect()} == set(order[:n])
     assert M.sample_exact(df, 10_000).count() == 5000
 
 

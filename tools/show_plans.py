@@ -49,7 +49,7 @@ def main(argv):
          X.tfidf_weights(tfc, vocab.to_df(spark))),
         ("Distances and scores: broadcast K-row centroids, union + doc_id aggregate, k-row stats broadcast",
          scores),
-        ("Exact sample: TakeOrdered of n keys", M.sample_exact(table(spark, sf, "documents"), 500)),
+        ("Exact sample: filter at the cut of the seeded order", M.sample_exact(table(spark, sf, "documents"), 500)),
     ]
     out = ["# Physical plans (generated by tools/show_plans.py)", "",
            f"Input `{sf}`; `local[*]`, 8 shuffle partitions, AQE on (plans before adaptive re-planning).", ""]
