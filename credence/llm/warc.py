@@ -81,7 +81,9 @@ def page_text(page: str) -> str:
 
 def page_links(page: str) -> list[dict[str, str]]:
     out = []
-    for tag, inside in _LINK.findall(_DROP.sub(lambda m: " " if m[0].startswith("<!--") else m[0].split(">")[0] + ">", page)):
+    if _DROP.search(page):                     # comments go, of scripts the opening tag stays
+        page = _DROP.sub(lambda m: " " if m[0].startswith("<!--") else m[0].split(">")[0] + ">", page)
+    for tag, inside in _LINK.findall(page):
         for m in _HREF.finditer(inside):
             out.append({"path": f"{tag.upper()}@/{m[1].lower()}", "url": html.unescape(next(x for x in (m[3], m[4], m[5], "") if x is not None))})
     return out
@@ -125,37 +127,37 @@ def _charset(content_type: str) -> str:
         return "utf-8"
 
 
-def _derived(raw: bytes) -> Iterator[tuple]:
-    fields, block = parse_record(raw)
+def _derived(fields: dict[str, str], block: bytes, whole: bool) -> Iterator[tuple]:
     source, target, date = fields.get("WARC-Record-ID", ""), fields.get("WARC-Target-URI"), fields.get("WARC-Date", DATE)
     status, http, payload = parse_headers(block)
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     page = payload.decode(_charset(kind), "replace")
-    payload_digest = fields.get("WARC-Payload-Digest") or digest(payload)
+    entity_digest = digest(payload)
+    payload_digest = fields.get("WARC-Payload-Digest") or entity_digest
     title, links = _title(page), page_links(page)
     envelope = {"Envelope": {"WARC-Header-Metadata": fields, "Payload-Metadata": {
         "Actual-Content-Type": "application/http; msgtype=response", "HTTP-Response-Metadata": {
-            "Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": digest(payload),
+            "Response-Message": status, "Headers": http, "Entity-Length": len(payload), "Entity-Digest": entity_digest,
             "HTML-Metadata": {"Head": {"Title": title}, "Links": links}}}}}
     made = {"metadata": ("application/json", json.dumps(envelope, ensure_ascii=False).encode("utf-8", "surrogatepass")),
             "conversion": ("text/plain; charset=utf-8", page_text(page).encode("utf-8", "surrogatepass"))}
     for what, (content_type, out) in made.items():
-        own = record_id(what, source, payload_digest)
+        own, out_digest = record_id(what, source, payload_digest), digest(out)
         headers = [("WARC-Type", what), ("WARC-Record-ID", own), ("WARC-Refers-To", source), *([("WARC-Target-URI", target)] if target is not None else []), ("WARC-Date", date),
-                   ("WARC-Block-Digest", digest(out)), ("WARC-Payload-Digest", payload_digest) if what == "metadata" else ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type)]
-        yield what, own, source, target, date, kind, payload_digest, digest(out), len(links), title, out, record(headers, out)
+                   ("WARC-Block-Digest", out_digest), ("WARC-Payload-Digest", payload_digest) if what == "metadata" else ("WARC-Source-Payload-Digest", payload_digest), ("Content-Type", content_type)]
+        yield what, own, source, target, date, kind, payload_digest, out_digest, len(links), title, out, record(headers, out) if whole else None
 
 
 _COLUMNS = ("kind string, record_id string, refers_to string, target_uri string, date string, source_content_type string, source_digest string, "
             "block_digest string, n_links long, title string, block binary, record binary")
 
 
-def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "record") -> DataFrame:
+def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "record", with_records: bool = True) -> DataFrame:
     """Two rows for every response record: the metadata and the conversion record.
 
     page_id, kind, record_id, refers_to, target_uri, date, source_content_type,
     source_digest, block_digest, n_links, title, block (the record's content)
-    and record (the whole record).  Records whose WARC-Type is not response
+    and record (the whole record; null without ``with_records``).  Records whose WARC-Type is not response
     give no rows, nor does a null record; a response without HTML gives an
     empty text, no title and no links.  Other columns are not read.
     """
@@ -165,8 +167,8 @@ def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):     # blocks are as long as the pages
-                rows = [(i, *d) for i, raw in zip(part.column("page_id").to_pylist(), part.column("record").to_pylist())
-                        if raw is not None and parse_record(raw)[0].get("WARC-Type") == "response" for d in _derived(raw)]
+                parsed = ((i, *parse_record(raw)) for i, raw in zip(part.column("page_id").to_pylist(), part.column("record").to_pylist()) if raw is not None)
+                rows = [(i, *d) for i, fields, content in parsed if fields.get("WARC-Type") == "response" for d in _derived(fields, content, with_records)]
                 columns = list(zip(*rows)) if rows else [()] * len(names)
                 types = [part.schema.field("page_id").type, *[pa.string()] * 8, pa.int64(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
