@@ -54,9 +54,9 @@ def fake_score(cluster_fake_ratio: Column | str, penalty: Column | str) -> Colum
 
 
 def decide(score: Column | str, threshold: float = DECISION_THRESHOLD) -> Column:
-    """``score > threshold``; a NaN score is not fake (NaN > x is TRUE in Spark)."""
+    """``score > threshold``; a NaN (NaN > x is TRUE in Spark) or NULL score is not fake."""
     s = _col(score)
-    return F.when(F.isnan(s), F.lit(False)).otherwise(s > F.lit(threshold))
+    return F.when(F.isnan(s), F.lit(False)).otherwise(F.coalesce(s > F.lit(threshold), F.lit(False)))
 
 
 def margin_confidence(score: Column | str, threshold: float = DECISION_THRESHOLD) -> Column:

@@ -44,6 +44,7 @@ SEQ_VOCAB = 20000
 SEQ_NUM_LABELS = 2
 # End of fixed values.
 
+ADDED = ("prediction", "probabilities", "class_confidence", "p_fake", "verdict", "confidence_text")
 _TOKEN_PATTERN = "([\\\\p{L}\\\\p{N}_]{2,})"
 
 
@@ -56,10 +57,14 @@ def token_stage(text_col: str = "text", out: str = "terms", max_tokens: int | No
 
 
 def _document(df: DataFrame, title_col: str | None, text_col: str) -> DataFrame:
-    from credence.functions.text import optional_title_text
-    if title_col and title_col in df.columns:
-        return df.withColumn("_document", optional_title_text(title_col, text_col))
-    return df.withColumn("_document", F.col(text_col))
+    return df.withColumn("_document", _document_text(df, title_col, text_col))
+
+
+def _document_text(df: DataFrame, title_col: str | None, text_col: str):
+    """The text to classify; a missing text reads as ``'nan'``, as elsewhere in the library."""
+    from credence.functions.text import optional_title_text, stringify
+    text = stringify(text_col)
+    return optional_title_text(title_col, text) if title_col and title_col in df.columns else text
 
 
 def _fit_token_vocab(train: DataFrame, max_tokens: int | None, max_features: int,
@@ -80,18 +85,23 @@ class TextClassifier:
     num_labels: int = 2
 
     def classify(self, df: DataFrame) -> DataFrame:
-        """Adds prediction, probabilities, class_confidence, p_fake, verdict."""
-        out = self.pipeline.transform(_document(df, self.title_col, self.text_col))
-        probs = vector_to_array("probability")
-        out = (out.withColumn("probabilities", probs)
+        """Adds prediction, probabilities, class_confidence, p_fake, verdict, confidence_text.
+
+        Caller columns of other names stay as they are; one of these names is
+        replaced.  A NULL text is classified as the text 'nan'.
+        """
+        # The caller's row travels in one struct, so its names cannot meet those of the pipeline.
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
+                         _document_text(df, self.title_col, self.text_col).alias("_document"))
+        out = (self.pipeline.transform(rows)
+               .withColumn("probabilities", vector_to_array("probability"))
                .withColumn("prediction", F.col("prediction").cast("int"))
                .withColumn("class_confidence", L.predicted_confidence("prediction", "probabilities"))
                .withColumn("p_fake", F.col("probabilities")[1])
                .withColumn("verdict", L.verdict("prediction"))
                .withColumn("confidence_text", L.percent_text("class_confidence")))
-        drop = [c for c in out.columns if c.startswith("_") or c in
-                ("terms", "features", "features_tf", "features_raw", "rawPrediction", "probability")]
-        return out.drop(*drop)
+        own = [c for c in df.columns if c not in ADDED]
+        return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *ADDED)
 
     def predict_one(self, spark: SparkSession, text: str, title: str | None = None) -> dict:
         """Classify one text -> {is_fake, confidence, probabilities, verdict, confidence_text}."""

@@ -151,7 +151,7 @@ def score_assigned(assigned: DataFrame, stats: DataFrame,
 
     ``stats`` has one row per cluster (k rows) and is broadcast.  The join is
     a left join: an article whose nearest centroid had no training members
-    keeps its row, with NULL statistics and score.
+    keeps its row, with NULL statistics and score, and is not fake.
     """
     s = F.broadcast(stats.select("cluster", F.col("mean").alias("_mean"),
                                  F.col("std").alias("_std"),

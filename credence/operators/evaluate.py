@@ -26,11 +26,13 @@ def _ratio(num, den):
 
 def accuracy(df: DataFrame, pred: str = "prediction", truth: str = "truth",
              group: str | None = None) -> DataFrame:
+    """n, correct, accuracy; a NULL prediction or truth counts as wrong."""
     g = [group] if group else []
+    right = F.coalesce(F.col(pred) == F.col(truth), F.lit(False))
     return df.groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col(pred) == F.col(truth)).cast("bigint").alias("correct"),
-        F.avg((F.col(pred) == F.col(truth)).cast("double")).alias("accuracy"))
+        F.count_if(right).cast("bigint").alias("correct"),
+        F.avg(right.cast("double")).alias("accuracy"))
 
 
 def confusion(df: DataFrame, pred: str = "prediction", truth: str = "truth",

@@ -29,10 +29,6 @@ def _label_aggs(label_col: str):
     ]
 
 
-def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).cast("bigint").alias("articles"))
-
-
 def count_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).cast("bigint").alias("articles"))
 

@@ -155,14 +155,18 @@ def feature_moments(weights: DataFrame, n_docs: int) -> DataFrame:
 
     Documents without the term count as 0.  ``scale`` is the std, or 1 for a
     feature that is constant up to rounding (same rule as the usual
-    standard scaler: var <= N*eps*var + (N*mean*eps)^2).
+    standard scaler: var <= N*eps*var + (N*mean*eps)^2).  The variance is
+    merged from the deviations of the documents that have the term and the
+    weight of the others' zeros, so nothing cancels.
     """
     n = float(n_docs)
-    sums = weights.groupBy("term_id").agg(
-        F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("ss"))
-    mean = F.col("s") / F.lit(n)
-    moments = sums.select("term_id", mean.alias("mean"),
-                          F.greatest(F.col("ss") / F.lit(n) - mean * mean, F.lit(0.0)).alias("var"))
+    held = weights.groupBy("term_id").agg(
+        F.count("weight").cast("double").alias("m"), F.avg("weight").alias("held_mean"),
+        F.var_pop("weight").alias("held_var"))
+    share = F.col("m") / F.lit(n)
+    zeros = (F.lit(n) - F.col("m")) / F.lit(n)
+    moments = held.select("term_id", (F.col("held_mean") * share).alias("mean"),
+                          (share * F.col("held_var") + F.col("held_mean") * F.col("held_mean") * share * zeros).alias("var"))
     var, mean = F.col("var"), F.col("mean")
     const = var <= F.lit(n * _EPS) * var + F.pow(F.lit(n * _EPS) * mean, 2)
     return moments.select("term_id", "mean", F.sqrt(var).alias("std"),

@@ -40,7 +40,8 @@ def tfidf_vectors(vocab: Vocabulary, input_col: str = "terms", output_col: str =
 
 
 def drop_intermediate(df, output_col: str):
-    return df.drop(*[c for c in df.columns if c.startswith(f"{output_col}_")])
+    """Without the columns that ``tfidf_stages`` makes on the way to ``output_col``."""
+    return df.drop(*[f"{output_col}_{step}" for step in ("tf", "raw", "l2")])
 
 
 def squared_distance_to(arr: Column, centroid: list[float]) -> Column:

@@ -411,6 +411,25 @@ def _class_mean_chain(spark, sf_dir):
 _SCORING = "WITH " + S.detector_ctes().strip() + "," + S.scoring_ctes().strip() + "\n"
 
 
+@register("feature_moments_constant", """
+WITH w AS (SELECT 0 AS term_id, 0.57735::DOUBLE AS weight FROM documents
+           UNION ALL SELECT 1, n_chars / 1000.0::DOUBLE FROM documents WHERE n_chars % 2 = 0),
+n AS (SELECT count(*) AS n FROM documents),
+m AS (SELECT term_id, sum(weight) / any_value(n) AS mean, any_value(n) - count(*) AS zeros, any_value(n) AS n FROM w, n GROUP BY term_id)
+SELECT w.term_id, round(any_value(m.mean), 6) AS mean,
+       round(CASE WHEN w.term_id = 0 THEN 0 ELSE sqrt((sum(pow(weight - mean, 2)) + any_value(zeros * mean * mean)) / any_value(n)) END, 6) AS std,
+       round(CASE WHEN w.term_id = 0 THEN 1 ELSE sqrt((sum(pow(weight - mean, 2)) + any_value(zeros * mean * mean)) / any_value(n)) END, 6) AS scale
+FROM w JOIN m ON w.term_id = m.term_id GROUP BY w.term_id
+""")
+def q_feature_moments_constant(spark, sf_dir):
+    """A feature of the same weight in every document has scale 1; another one is in half of them."""
+    d = table(spark, sf_dir, "documents").select("n_chars")
+    weights = (d.select(F.lit(0).alias("term_id"), F.lit(0.57735).alias("weight"))
+               .unionByName(d.where("n_chars % 2 = 0").select(F.lit(1).alias("term_id"), (F.col("n_chars") / F.lit(1000.0)).alias("weight"))))
+    m = X.feature_moments(weights, d.count())
+    return m.select("term_id", r6("mean").alias("mean"), r6("std").alias("std"), r6("scale").alias("scale"))
+
+
 @register("class_centroids", _SCORING + """
 SELECT cluster, term_id, round(value, 6) AS value FROM centroids
 """)
@@ -615,6 +634,22 @@ def q_eval_log_loss(spark, sf_dir):
     return ll.select("epoch", r6("log_loss").alias("log_loss"), F.col("batches").cast("bigint"))
 
 
+@register("eval_log_loss_saturated", """
+SELECT epoch, count(*) AS n, round(avg(greatest(d, 0) + ln(1 + exp(-abs(d)))), 6) AS log_loss
+FROM (SELECT vec_id % 3 AS epoch,
+             1000.0::DOUBLE * CASE WHEN vec_id % 2 = 1 THEN CAST(embedding[1] AS DOUBLE) - embedding[2] ELSE CAST(embedding[2] AS DOUBLE) - embedding[1] END AS d
+      FROM embeddings)
+GROUP BY epoch
+""")
+def q_eval_log_loss_saturated(spark, sf_dir):
+    """Logits so far apart that most softmax probabilities are exactly 0 or 1."""
+    e = table(spark, sf_dir, "embeddings")
+    logits = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double") * F.lit(1000.0))
+    s = e.select((F.col("vec_id") % 3).alias("epoch"), (F.col("vec_id") % 2).alias("truth"), logits.alias("logits"))
+    n = s.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"))
+    return V.log_loss(s, group="epoch", logits="logits").join(n, "epoch").select("epoch", "n", r6("log_loss").alias("log_loss"))
+
+
 @register("best_epoch", _EPOCH_SQL + """
 SELECT epoch AS best_epoch, round(accuracy, 6) AS best_accuracy
 FROM metrics ORDER BY accuracy DESC, epoch LIMIT 1

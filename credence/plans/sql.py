@@ -55,14 +55,17 @@ weights AS (SELECT doc_id, is_fake, lang, term_id,
 def scoring_ctes() -> str:
     """CTEs after ``detector_ctes``: moments .. scores with class-mean centroids."""
     return f"""
-msum AS (SELECT term_id, sum(weight) / (SELECT n FROM ndocs) AS mean,
-                sum(weight * weight) / (SELECT n FROM ndocs) AS m2
-         FROM weights GROUP BY term_id),
+means AS (SELECT term_id, sum(weight) / (SELECT n FROM ndocs) AS mean, count(*) AS m
+          FROM weights GROUP BY term_id),
+msum AS (SELECT w.term_id, any_value(s.mean) AS mean,
+                (sum(pow(w.weight - s.mean, 2)) + ((SELECT n FROM ndocs) - any_value(s.m)) * pow(any_value(s.mean), 2))
+                / (SELECT n FROM ndocs) AS var
+         FROM weights w JOIN means s ON w.term_id = s.term_id GROUP BY w.term_id),
 moments AS (SELECT term_id, mean, sqrt(var) AS std,
                    CASE WHEN var <= (SELECT n FROM ndocs) * {EPS} * var
                                     + pow((SELECT n FROM ndocs) * mean * {EPS}, 2)
                         THEN 1.0::DOUBLE ELSE sqrt(var) END AS scale
-            FROM (SELECT term_id, mean, greatest(m2 - mean * mean, 0.0::DOUBLE) AS var FROM msum)),
+            FROM msum),
 scaled AS (SELECT w.doc_id, w.is_fake, w.term_id, w.weight / m.scale AS v
            FROM weights w JOIN moments m ON w.term_id = m.term_id),
 sizes AS (SELECT CAST(is_fake AS INTEGER) AS cluster, count(*) AS size FROM corpus GROUP BY 1),
@@ -95,7 +98,3 @@ zs AS (SELECT a.doc_id, a.is_fake, a.cluster, a.distance, s.fake_ratio AS cluste
                    ELSE 'nan'::DOUBLE END AS z_score
        FROM assigned a JOIN cstats s ON a.cluster = s.cluster),
 scores AS (SELECT *, (cluster_fake_ratio + 1.0 / (1.0 + exp(2.0 - z_score))) / 2.0 AS fake_score FROM zs)"""
-
-
-def with_ctes(*parts: str, body: str) -> str:
-    return "WITH " + ",".join(p.strip().rstrip(",") for p in parts) + "\n" + body

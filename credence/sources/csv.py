@@ -1,8 +1,9 @@
 """CSV article sources.
 
 Quoted fields may contain doubled quotes and newlines, so files are read
-with ``multiLine`` and ``escape='"'``.  Without a schema every column is a
-string named from the header (no inference pass over the data).
+with ``multiLine`` and ``escape='"'`` by default.  Columns are named from the
+header (no inference pass over the data); a schema picks and casts them by
+name, wherever they stand in the file.
 """
 
 from __future__ import annotations
@@ -25,20 +26,37 @@ DEFAULT_NA_VALUES = (
 
 def read_articles(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                   sep: str = ",", encoding: str = "UTF-8",
-                  na_values: tuple[str, ...] | None = None) -> DataFrame:
-    """Read a header CSV.  ``na_values`` maps those exact strings to NULL."""
-    reader = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').option("quote", '"')
-              .option("sep", sep).option("encoding", encoding))
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.csv(path)
+                  na_values: tuple[str, ...] | None = None, multi_line: bool = True,
+                  strict: bool = True) -> DataFrame:
+    """Read a header CSV.  ``na_values`` maps those exact strings to NULL.
+
+    ``schema`` columns are found by their name in the header; one that the
+    header lacks raises ValueError.  With ``strict`` a row with more or fewer fields than the
+    header fails the job, and so does a value that its type cannot hold;
+    without, surplus fields are cut and missing or unreadable values are NULL.
+
+    ``multi_line=False`` lets Spark split a large file over many tasks; it is
+    right when no quoted field contains a newline.
+    """
+    df = (spark.read.option("header", True).option("multiLine", multi_line)
+          .option("escape", '"').option("quote", '"')
+          .option("sep", sep).option("encoding", encoding)
+          .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+          .option("columnPruning", not strict)          # pruned rows are not counted field by field
+          .csv(path))
     if na_values:
         df = df.select(*[
             F.when(F.col(f.name).isin(*na_values), F.lit(None)).otherwise(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType) else F.col(f.name)
             for f in df.schema.fields])
-    return df
+    if schema is None:
+        return df
+    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    lacking = [f.name for f in wanted.fields if f.name not in df.columns]
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    cast = (lambda f: F.col(f.name).cast(f.dataType)) if strict else (lambda f: F.col(f.name).try_cast(f.dataType))
+    return df.select(*[cast(f).alias(f.name) for f in wanted.fields])
 
 
 def _is_missing(e: AnalysisException) -> bool:
@@ -70,7 +88,9 @@ def load_training_articles(spark: SparkSession, english_fake: str | list[str],
                            na_values: tuple[str, ...] | None = DEFAULT_NA_VALUES) -> DataFrame:
     """English one-class files (required) + optional French file -> articles.
 
-    Raises when an English file is missing or when nothing was loaded.
+    Raises when an English file is missing or when nothing was loaded.  A
+    French file that is missing or has no column ``fake`` is left out; a value
+    of ``fake`` that is no number is NULL, and its row is kept without a class.
     """
     as_list = lambda p: [p] if isinstance(p, str) else list(p)
     fake = read_first_available(spark, as_list(english_fake), na_values=na_values)
@@ -79,10 +99,8 @@ def load_training_articles(spark: SparkSession, english_fake: str | list[str],
     fr = None
     if french is not None:
         raw = read_optional(spark, as_list(french), sep=";", na_values=na_values)
-        if raw is not None:
-            if "fake" in raw.columns:
-                raw = raw.withColumn("fake", F.col("fake").cast("double"))
-            fr = A.harmonise_french(raw)
+        if raw is not None and "fake" in raw.columns:
+            fr = A.harmonise_french(raw.withColumn("fake", F.col("fake").try_cast("double")))
     out = A.harmonise_articles(A.with_doc_id(A.union_articles(english, fr, allow_missing=True)))
     if out.isEmpty():
         raise ValueError("no article could be loaded")
