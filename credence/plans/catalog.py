@@ -57,7 +57,8 @@ def _en_files(c: DataFrame):
 
 
 def _fr_file(c: DataFrame) -> DataFrame:
-    return c.filter(F.col("lang") == "fr").select(
+    """The rows of all other languages in the French file's form."""
+    return c.filter(F.col("lang") != "en").select(
         "doc_id", F.col("text").alias("post"), F.col("source").alias("media"),
         F.col("is_fake").cast("int").alias("fake"))
 
@@ -69,7 +70,7 @@ UNION ALL
 SELECT doc_id, title, text, 'en', NULL, FALSE FROM corpus WHERE lang = 'en' AND NOT is_fake
 UNION ALL
 SELECT doc_id, substring(text, 1, 100) || '...', text, 'fr', source, (CAST(is_fake AS INTEGER) <> 0)
-FROM corpus WHERE lang = 'fr'
+FROM corpus WHERE lang <> 'en'
 """)
 def q_harmonise_articles(spark, sf_dir):
     c = corpus(spark, sf_dir)
@@ -78,24 +79,26 @@ def q_harmonise_articles(spark, sf_dir):
 
 
 @register("union_label_files", WITH_CORPUS + """
-SELECT doc_id, TRUE AS is_fake, 'en' AS lang FROM corpus WHERE lang = 'en' AND is_fake
+SELECT doc_id, TRUE AS is_fake, 'en' AS lang FROM corpus WHERE is_fake
 UNION ALL
-SELECT doc_id, FALSE, 'en' FROM corpus WHERE lang = 'en' AND NOT is_fake
+SELECT doc_id, FALSE, 'en' FROM corpus WHERE NOT is_fake
 """)
 def q_union_label_files(spark, sf_dir):
-    fake, true = _en_files(corpus(spark, sf_dir))
+    """Every row plays one of the two one-class files, whatever its language."""
+    c = corpus(spark, sf_dir).select("doc_id", "is_fake")
+    fake, true = c.filter("is_fake").drop("is_fake"), c.filter("not is_fake").drop("is_fake")
     return A.harmonise_english(fake, true).select("doc_id", "is_fake", "lang")
 
 
 @register("union_by_name", WITH_CORPUS + """
 SELECT doc_id, title, text, CAST(NULL AS VARCHAR) AS source FROM corpus WHERE lang = 'en'
 UNION ALL
-SELECT doc_id, NULL, text, source FROM corpus WHERE lang = 'fr'
+SELECT doc_id, NULL, text, source FROM corpus WHERE lang <> 'en'
 """)
 def q_union_by_name(spark, sf_dir):
     c = corpus(spark, sf_dir)
     en = c.filter(F.col("lang") == "en").select("doc_id", "title", "text")
-    fr = c.filter(F.col("lang") == "fr").select("doc_id", "text", "source")
+    fr = c.filter(F.col("lang") != "en").select("doc_id", "text", "source")
     return A.union_articles(en, fr, allow_missing=True).select("doc_id", "title", "text", "source")
 
 
@@ -206,13 +209,13 @@ _IMPLIED = {"fake_en": L.FAKE_LABEL, "true_en": L.REAL_LABEL}
 
 def _implied_input(c: DataFrame) -> DataFrame:
     """One-class English files (no label column), the labelled French file and
-    German rows that carry no label information at all."""
+    rows of the other languages that carry no label information at all."""
     name = (F.when((F.col("lang") == "en") & F.col("is_fake"), F.lit("fake_en"))
             .when(F.col("lang") == "en", F.lit("true_en"))
             .when(F.col("lang") == "fr", F.lit("train_fr"))
-            .when(F.col("lang") == "de", F.lit("unlabelled_de")))
+            .otherwise(F.concat(F.lit("unlabelled_"), F.col("lang"))))
     lab = F.when(F.col("lang") == "fr", F.col("label"))
-    return c.select("doc_id", name.alias("dataset"), lab.alias("label")).filter(F.col("dataset").isNotNull())
+    return c.select("doc_id", name.alias("dataset"), lab.alias("label"))
 
 
 @register("implied_label_stats", WITH_CORPUS + f"""
@@ -221,9 +224,9 @@ FROM (SELECT doc_id, dataset,
              CASE dataset WHEN 'fake_en' THEN 'FAKE' WHEN 'true_en' THEN 'REAL' ELSE label END AS label
       FROM (SELECT doc_id,
                    CASE WHEN lang = 'en' AND is_fake THEN 'fake_en' WHEN lang = 'en' THEN 'true_en'
-                        WHEN lang = 'fr' THEN 'train_fr' WHEN lang = 'de' THEN 'unlabelled_de' END AS dataset,
+                        WHEN lang = 'fr' THEN 'train_fr' ELSE 'unlabelled_' || lang END AS dataset,
                    CASE WHEN lang = 'fr' THEN label END AS label
-            FROM corpus) WHERE dataset IS NOT NULL)
+            FROM corpus))
 GROUP BY dataset
 """)
 def q_implied_label_stats(spark, sf_dir):
@@ -483,21 +486,27 @@ def q_distance_zscore(spark, sf_dir):
     return s.select("doc_id", "cluster", r6("distance").alias("distance"), r6("z_score").alias("z_score"))
 
 
-@register("score_articles", _SCORING + """
+SCORES_SQL = _SCORING + """
 SELECT doc_id, cluster,
        CASE WHEN isnan(fake_score) THEN FALSE ELSE fake_score > 0.5 END AS predicted_fake,
        round(abs(fake_score - 0.5) * 2, 6) AS margin_confidence,
        round(z_score, 6) AS z_score, round(fake_score, 6) AS fake_score,
        round(cluster_fake_ratio, 6) AS cluster_fake_ratio
 FROM scores
-""")
-def q_score_articles(spark, sf_dir):
-    s = _scores(spark, sf_dir)
+"""
+
+
+def rounded_scores(s: DataFrame) -> DataFrame:
     return s.select("doc_id", "cluster", "predicted_fake",
                     *[r6(x).alias(x) for x in ("margin_confidence", "z_score", "fake_score",
                                                "cluster_fake_ratio")])
 
 
+@register("score_articles", SCORES_SQL)
+def q_score_articles(spark, sf_dir):
+    return rounded_scores(_scores(spark, sf_dir))
+
+
 @register("eval_accuracy", _SCORING + """
 SELECT CAST(count(*) AS BIGINT) AS n, CAST(count_if(p = is_fake) AS BIGINT) AS correct,
        round(avg(CAST(p = is_fake AS DOUBLE)), 6) AS accuracy

@@ -58,9 +58,12 @@ class ClusterDetector:
     def fit(cls, articles: DataFrame, k: int | None = None,
             max_features: int = X.DETECTOR_MAX_FEATURES, min_df: int = X.DETECTOR_MIN_DF,
             seed: int = KMEANS_SEED, max_iter: int = KMEANS_MAX_ITER, tol: float = KMEANS_TOL,
-            title_weight: int = 2, null_as: str = NULL_TEXT) -> tuple["ClusterDetector", DataFrame]:
+            title_weight: int = 2, null_as: str = NULL_TEXT,
+            class_means: bool = False) -> tuple["ClusterDetector", DataFrame]:
         """Fit on ``articles(doc_id, title, text, is_fake)``.
 
+        With ``class_means`` the centroids are the means of the two classes
+        (cluster 0: not fake, 1: fake) in place of k-means clusters.
         Returns the model and the in-sample scores of the training articles.
         """
         spark = articles.sparkSession
@@ -75,13 +78,16 @@ class ClusterDetector:
         weights = reuse(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
         scaler = X.fit_scaler(weights, n_docs, len(vocab))
 
-        vec = VF.tfidf_vectors(vocab, "terms", "features", scaler)
-        features = VF.drop_intermediate(vec.transform(terms), "features").select("doc_id", "features")
-        km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
-                    predictionCol="cluster").fit(features)
-        centroids = C.Centroids(tuple(tuple(float(x) for x in c) for c in km.clusterCenters()))
-
         scaled = X.scaled_weights(weights, scaler.to_df(spark))
+        if class_means:
+            centroids = C.fit_class_mean_centroids(scaled, docs, len(vocab))
+        else:
+            vec = VF.tfidf_vectors(vocab, "terms", "features", scaler)
+            features = VF.drop_intermediate(vec.transform(terms), "features").select("doc_id", "features")
+            km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
+                        predictionCol="cluster").fit(features)
+            centroids = C.Centroids(tuple(tuple(float(x) for x in c) for c in km.clusterCenters()))
+
         assigned = materialize(C.assign_nearest(C.squared_distances(
             scaled, docs.select("doc_id", "is_fake"), centroids, keep=("is_fake",))))
         stats = [r.asDict() for r in C.cluster_distance_stats(assigned).collect()]   # k rows

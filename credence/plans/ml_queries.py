@@ -1,5 +1,9 @@
-"""Named queries for the fitted models (rows-only checks: k-means, forests and
-logistic regression cannot be replayed in SQL)."""
+"""Named queries for the fitted models and for the sources and sinks.
+
+k-means, forests and logistic regression cannot be replayed in SQL (rows-only
+checks).  A detector on class-mean centroids can: its scores, in every form,
+have the SQL of ``score_articles`` as oracle.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,18 @@ from pyspark.sql import functions as F
 from credence.functions.text import synth_title
 from credence.operators import classify as K
 from credence.operators import sampling as M
-from credence.plans.catalog import register
+from credence.plans.catalog import SCORES_SQL, register, rounded_scores
 from credence.plans.detector import SCORE_COLUMNS, ClusterDetector
 from credence.session import checkpoint_dir
+from credence.sources.csv import read_articles, read_first_available
 from credence.sources.tables import corpus, table
 from credence.streaming import scoring as ST
 
 
+def _folder(spark, what: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def _labelled(spark, sf_dir):
     return corpus(spark, sf_dir).withColumn("label_id", F.col("is_fake").cast("int"))
 
@@ -68,6 +77,63 @@ def q_stream_scores(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     stream = ST.article_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema)
     stream = stream.withColumn("title", synth_title("text"))
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = _folder(spark, "stream")
     ST.score_stream_to_table(model, stream, f"{base}/out", f"{base}/ckpt")
     return spark.read.parquet(f"{base}/out").select(*SCORE_COLUMNS)
+
+
+@register("detector_saved_scores", SCORES_SQL)
+def q_detector_saved_scores(spark, sf_dir):
+    """Fitted, saved, loaded again; the loaded detector scores the corpus in long form."""
+    articles = corpus(spark, sf_dir)
+    path = _folder(spark, "detector")
+    ClusterDetector.fit(articles, class_means=True)[0].save(path, spark)
+    return rounded_scores(ClusterDetector.load(spark, path).score(articles))
+
+
+@register("detector_vector_scores", SCORES_SQL)
+def q_detector_vector_scores(spark, sf_dir):
+    """The same scores row by row, without a shuffle."""
+    articles = corpus(spark, sf_dir)
+    model, _ = ClusterDetector.fit(articles, class_means=True)
+    return rounded_scores(model.score_vectors(articles))
+
+
+@register("detector_stream_scores", SCORES_SQL)
+def q_detector_stream_scores(spark, sf_dir):
+    """The corpus as a stream of files, scored batch by batch."""
+    articles = corpus(spark, sf_dir)
+    model, _ = ClusterDetector.fit(articles, class_means=True)
+    base = _folder(spark, "stream")
+    articles.select("doc_id", "title", "text").write.parquet(f"{base}/in")
+    stream = ST.article_stream(spark, f"{base}/in", "doc_id bigint, title string, text string")
+    ST.score_stream_to_table(model, stream, f"{base}/out", f"{base}/ckpt")
+    return rounded_scores(spark.read.parquet(f"{base}/out").select(*SCORE_COLUMNS))
+
+
+_CSV_ORACLE = "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars FROM documents"
+
+
+def _csv_copy(spark, sf_dir, sep: str) -> str:
+    path = f"{_folder(spark, 'csv')}/documents"
+    (table(spark, sf_dir, "documents").select("source", "text", "n_chars", "lang", "doc_id")
+     .write.option("header", True).option("sep", sep).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def _csv_digest(df):
+    return df.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
+@register("csv_articles", _CSV_ORACLE)
+def q_csv_articles(spark, sf_dir):
+    """documents written as CSV and read again, columns found by name."""
+    return _csv_digest(read_articles(spark, _csv_copy(spark, sf_dir, ","), table(spark, sf_dir, "documents").schema))
+
+
+@register("csv_fallback_semicolon", _CSV_ORACLE)
+def q_csv_fallback_semicolon(spark, sf_dir):
+    """The first location is missing, the second holds the table with semicolons."""
+    path = _csv_copy(spark, sf_dir, ";")
+    return _csv_digest(read_first_available(spark, [f"{path}-missing", path], schema=table(spark, sf_dir, "documents").schema, sep=";"))
