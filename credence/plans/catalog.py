@@ -320,7 +320,7 @@ def q_bigram_counts(spark, sf_dir):
 def _detector_tf(spark, sf_dir, fit_langs=None):
     """Corpus, its term counts (kept for reuse by every later fitting action
     and the final query), the rows to fit on and their count."""
-    c = corpus(spark, sf_dir)
+    c = corpus(spark, sf_dir, by_doc=True)
     tf = reuse(X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")),
                                   keep=("is_fake", "lang")))
     fit = c if fit_langs is None else c.filter(F.col("lang").isin(*fit_langs))
@@ -729,7 +729,7 @@ SELECT doc_id, CAST(len(s) AS INTEGER) AS n_tokens,
 FROM seqs
 """)
 def q_encode_fixed(spark, sf_dir):
-    c = corpus(spark, sf_dir)
+    c = corpus(spark, sf_dir, by_doc=True)
     tokens = X.token_terms(c)
     tf = X.term_frequencies(tokens)
     vocab = X.fit_vocabulary(tf, 0, ENCODE_VOCAB, 1).to_df(spark)

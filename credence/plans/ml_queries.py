@@ -27,18 +27,18 @@ def _folder(spark, what: str) -> str:
 
 
 def _labelled(spark, sf_dir):
-    return corpus(spark, sf_dir).withColumn("label_id", F.col("is_fake").cast("int"))
+    return corpus(spark, sf_dir, by_doc=True).withColumn("label_id", F.col("is_fake").cast("int"))
 
 
 @register("detector_end_to_end")
 def q_detector_end_to_end(spark, sf_dir):
-    _, scores = ClusterDetector.fit(corpus(spark, sf_dir))
+    _, scores = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True))
     return scores
 
 
 @register("kmeans_fit")
 def q_kmeans_fit(spark, sf_dir):
-    model, _ = ClusterDetector.fit(corpus(spark, sf_dir))
+    model, _ = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True))
     return model.stats_df(spark)
 
 
@@ -73,7 +73,7 @@ def q_text_classifier_scores(spark, sf_dir):
 @register("stream_scores")
 def q_stream_scores(spark, sf_dir):
     """Fit on the labelled corpus, then score the ``documents`` file as a stream."""
-    model, _ = ClusterDetector.fit(corpus(spark, sf_dir))
+    model, _ = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True))
     schema = table(spark, sf_dir, "documents").schema
     stream = ST.article_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema)
     stream = stream.withColumn("title", synth_title("text"))
@@ -85,7 +85,7 @@ def q_stream_scores(spark, sf_dir):
 @register("detector_saved_scores", SCORES_SQL)
 def q_detector_saved_scores(spark, sf_dir):
     """Fitted, saved, loaded again; the loaded detector scores the corpus in long form."""
-    articles = corpus(spark, sf_dir)
+    articles = corpus(spark, sf_dir, by_doc=True)
     path = _folder(spark, "detector")
     ClusterDetector.fit(articles, class_means=True)[0].save(path, spark)
     return rounded_scores(ClusterDetector.load(spark, path).score(articles))
@@ -94,7 +94,7 @@ def q_detector_saved_scores(spark, sf_dir):
 @register("detector_vector_scores", SCORES_SQL)
 def q_detector_vector_scores(spark, sf_dir):
     """The same scores row by row, without a shuffle."""
-    articles = corpus(spark, sf_dir)
+    articles = corpus(spark, sf_dir, by_doc=True)
     model, _ = ClusterDetector.fit(articles, class_means=True)
     return rounded_scores(model.score_vectors(articles))
 
@@ -102,7 +102,7 @@ def q_detector_vector_scores(spark, sf_dir):
 @register("detector_stream_scores", SCORES_SQL)
 def q_detector_stream_scores(spark, sf_dir):
     """The corpus as a stream of files, scored batch by batch."""
-    articles = corpus(spark, sf_dir)
+    articles = corpus(spark, sf_dir, by_doc=True)
     model, _ = ClusterDetector.fit(articles, class_means=True)
     base = _folder(spark, "stream")
     articles.select("doc_id", "title", "text").write.parquet(f"{base}/in")

@@ -27,23 +27,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, by_doc: bool = False) -> DataFrame:
     """articles(doc_id, title, text, lang, source, is_fake, label, dataset).
 
-    The documents are hash-partitioned by ``doc_id`` before the join.  On
-    large inputs that is the shuffle the sort-merge join with ``labels``
-    needs anyway; on small ones the labels are broadcast and the documents
-    keep the partitioning.  Either way the result is partitioned by
-    ``doc_id``, so every later per-document aggregation (term counts, norms,
-    distances) runs without another exchange, and the raw text -- smaller
-    than its uni+bigram term table -- is the only thing shuffled.
+    A projection needs no exchange beyond what the join with ``labels`` asks
+    for: none while the labels are broadcast.  With ``by_doc`` the documents
+    are hash-partitioned by ``doc_id`` before the join, which a sort-merge join
+    needs anyway; then every later per-document aggregation (term counts,
+    norms, distances) runs without another exchange, and the raw text --
+    smaller than its uni+bigram term table -- is the only thing shuffled.
     """
-    # An explicit partition count (the session's shuffle width) keeps this a
-    # plain hash partitioning: adaptive execution does not coalesce it, so
-    # checkpoints downstream still report ``hashpartitioning(doc_id)``.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = (table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-            .repartition(n, "doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    if by_doc:
+        # An explicit partition count (the session's shuffle width) keeps this a
+        # plain hash partitioning: adaptive execution does not coalesce it, so
+        # checkpoints downstream still report ``hashpartitioning(doc_id)``.
+        docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return (docs.join(labels, "doc_id")
             .select("doc_id",

@@ -92,3 +92,11 @@ def test_classifier_takes_null_texts_and_clashing_names(spark):
     got = {r["doc_id"]: r for r in out.collect()}
     assert got[1]["_mine"] == "mine" and got[1]["terms"] == [1] and got[1]["prediction"] in (0, 1)
     assert got[2]["text"] is None and got[2]["prediction"] in (0, 1)
+
+
+def test_projections_do_not_shuffle_the_text(spark):
+    from conftest import SF001
+    from credence.plans.catalog import QUERIES
+    for name in ("weighted_text", "optional_title_text", "clean_text", "bigram_counts", "harmonise_articles", "union_by_name"):
+        plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan, name

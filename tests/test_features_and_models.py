@@ -36,7 +36,7 @@ def test_constant_feature_scale_one(spark):
 
 
 def _corpus_features(spark, sf):
-    c = corpus(spark, sf)
+    c = corpus(spark, sf, by_doc=True)
     n = c.count()
     terms = X.detector_terms(c)
     tf = X.term_frequencies(terms, keep=("is_fake",))
@@ -79,7 +79,7 @@ def test_sparse_distance_matches_dense(spark):
 
 
 def test_detector_fit_score_save_load(spark, tmpdir_path):
-    c = corpus(spark, SF001)
+    c = corpus(spark, SF001, by_doc=True)
     model, scores = ClusterDetector.fit(c)
     assert model.k == 3
     s1 = {r["doc_id"]: r for r in scores.collect()}
@@ -131,7 +131,7 @@ def test_singleton_cluster_scores(spark):
 def test_streaming_equals_batch(spark, tmpdir_path):
     from credence.streaming import scoring as ST
     from credence.functions.text import synth_title
-    c = corpus(spark, SF001)
+    c = corpus(spark, SF001, by_doc=True)
     model, _ = ClusterDetector.fit(c)
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     stream = ST.article_stream(spark, f"{SF001}/documents.parque[t]", docs.schema) \
@@ -152,7 +152,7 @@ def test_per_document_steps_need_no_exchange(spark):
     """The corpus is hash-partitioned by doc_id once; term counts and the
     per-document L2 norm then plan without another shuffle."""
     from credence.session import reuse
-    c = corpus(spark, SF001)
+    c = corpus(spark, SF001, by_doc=True)
     tf = X.term_frequencies(X.detector_terms(c, keep=("is_fake",)), keep=("is_fake",))
     plan = tf._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(doc_id") == 1      # the corpus repartition only

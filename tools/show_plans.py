@@ -29,7 +29,7 @@ def plan(df) -> str:
 def main(argv):
     sf = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(shuffle_partitions=8)
-    c = corpus(spark, sf)
+    c = corpus(spark, sf, by_doc=True)
     n = c.count()
     tf = X.term_frequencies(X.detector_terms(c, keep=("is_fake",)), keep=("is_fake",))
     tfc = reuse(tf)
