@@ -64,6 +64,27 @@ def label_percentages(df: DataFrame, label_col: str = "label", digits: int = 1)
                          pct("fake").alias("fake_pct"), pct("true").alias("true_pct"))
 
 
+def stats_record(df: DataFrame, dataset_col: str = "dataset", label_col: str = "label",
+                 skip_unlabelled: bool = False, digits: int = 1) -> DataFrame:
+    """One nested record: totals, percentages and ``datasets``, an array by name.
+
+    (articles, fake, true, fake_pct, true_pct, datasets
+    ARRAY<STRUCT<name, articles, fake, true>>); the array has one entry for
+    each named dataset.  With ``skip_unlabelled`` a dataset without any label
+    counts in neither the totals nor the array.  No rows: one record of zeros,
+    NULL percentages and an empty array.
+    """
+    stats = dataset_stats(df, dataset_col, label_col)
+    if skip_unlabelled:
+        stats = stats.where("fake is not null")
+    entry = F.struct(F.col(dataset_col).alias("name"), "articles", "fake", "true")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    record = stats.agg(total("articles").alias("articles"), total("fake").alias("fake"), total("true").alias("true"),
+                       F.array_sort(F.collect_list(entry)).alias("datasets"))
+    pct = lambda c: F.when(F.col("articles") > 0, F.round(F.lit(100.0) * F.col(c) / F.col("articles"), digits))
+    return record.select("articles", "fake", "true", pct("fake").alias("fake_pct"), pct("true").alias("true_pct"), "datasets")
+
+
 def implied_label(df: DataFrame, implied: dict, dataset_col: str = "dataset",
                   label_col: str = "label") -> DataFrame:
     """Rows of a one-class dataset take that class, whatever their columns.

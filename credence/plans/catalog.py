@@ -234,6 +234,22 @@ def q_implied_label_stats(spark, sf_dir):
     return P.dataset_stats(P.implied_label(src, _IMPLIED))
 
 
+@register("labelled_stats_record", WITH_CORPUS + """, named AS (
+  SELECT CASE WHEN lang IN ('en', 'fr') THEN label END AS label, lang AS dataset FROM corpus),
+stats AS (SELECT dataset, count(*) AS articles, count_if(label = 'FAKE') AS fake, count_if(label = 'REAL') AS real
+          FROM named GROUP BY dataset HAVING count(label) > 0)
+SELECT CAST(sum(articles) AS BIGINT) AS articles, CAST(sum(fake) AS BIGINT) AS fake, CAST(sum(real) AS BIGINT) AS "true",
+       round(100.0::DOUBLE * sum(fake) / sum(articles), 1) AS fake_pct, round(100.0::DOUBLE * sum(real) / sum(articles), 1) AS true_pct,
+       string_agg(dataset || ':' || articles || ':' || fake || ':' || real, '|' ORDER BY dataset) AS datasets
+FROM stats
+""")
+def q_labelled_stats_record(spark, sf_dir):
+    """Labels of English and French rows only: the other datasets are unlabelled and left out of the totals."""
+    c = corpus(spark, sf_dir).select("dataset", F.when(F.col("lang").isin("en", "fr"), F.col("label")).alias("label"))
+    text = F.transform("datasets", lambda d: F.concat_ws(":", d["name"], d["articles"], d["fake"], d["true"]))
+    return P.stats_record(c, skip_unlabelled=True).withColumn("datasets", F.array_join(text, "|"))
+
+
 _TYPE_MAP_SQL = """CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string'
        WHEN 'BOOLEAN' THEN 'boolean' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
        ELSE lower(column_type) END"""

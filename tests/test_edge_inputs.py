@@ -100,3 +100,15 @@ def test_projections_do_not_shuffle_the_text(spark):
     for name in ("weighted_text", "optional_title_text", "clean_text", "bigram_counts", "harmonise_articles", "union_by_name"):
         plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning" not in plan, name
+
+
+def test_stats_record_with_and_without_unlabelled_datasets(spark):
+    from credence.operators import profile as P
+    df = spark.createDataFrame([("a", "FAKE")] * 4 + [("a", "REAL")] * 3 + [("b", None)], "dataset string, label string")
+    whole, labelled = P.stats_record(df).first(), P.stats_record(df, skip_unlabelled=True).first()
+    assert (whole["articles"], whole["fake_pct"], whole["true_pct"]) == (8, 50.0, 37.5)
+    assert (labelled["articles"], labelled["fake_pct"], labelled["true_pct"]) == (7, 57.1, 42.9)
+    assert [tuple(d) for d in whole["datasets"]] == [("a", 7, 4, 3), ("b", 1, None, None)]
+    assert [d["name"] for d in labelled["datasets"]] == ["a"]
+    empty = P.stats_record(df.limit(0)).first()
+    assert empty["articles"] == 0 and empty["fake_pct"] is None and empty["datasets"] == []
