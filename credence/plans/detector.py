@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credence.functions import labels as L
 from credence.functions.text import NULL_TEXT, clean_words, ngrams_1_2, weighted_text
@@ -123,19 +124,23 @@ class ClusterDetector:
     def score_vectors(self, articles: DataFrame) -> DataFrame:
         """Vector form: row-local scoring (no shuffle); works on streams too.
 
-        Keeps every input column and appends the score columns.  Distances
+        Keeps every input column and appends the score columns (an input
+        column of the same name as one of these is replaced).  Distances
         are taken against the k centroids as folded array literals, and the
         k-row cluster statistics are a broadcast equi-join on ``cluster``.
         """
         doc = weighted_text("title", "text", title_weight=self.title_weight, null_as=self.null_as)
-        with_terms = articles.withColumn("_terms", ngrams_1_2(clean_words(doc)))
+        # The caller's row travels in one struct, so its names cannot meet the internal ones.
+        row = F.struct(*[F.col(f"`{c}`") for c in articles.columns])
+        with_terms = articles.select(row.alias("_row"), ngrams_1_2(clean_words(doc)).alias("_terms"))
         vec = VF.tfidf_vectors(self.vocab, "_terms", "_features", self.scaler)
         feats = VF.drop_intermediate(vec.transform(with_terms), "_features")
         d2 = (feats.withColumn("d2", VF.centroid_d2("_features", self.centroids))
               .drop("_terms", "_features"))
         scored = C.score_assigned(C.assign_nearest(d2), self.stats_df(articles.sparkSession),
                                   self.center)
-        return scored
+        added = [c for c in SCORE_COLUMNS if c != "doc_id"]
+        return scored.select(*[F.col("_row").getField(c).alias(c) for c in articles.columns if c not in added], *added)
 
     def predict_one(self, spark: SparkSession, title: str | None, text: str | None) -> dict:
         """Score one article -> {cluster, is_fake, confidence, z_score, fake_score,

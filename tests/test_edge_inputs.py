@@ -112,3 +112,15 @@ def test_stats_record_with_and_without_unlabelled_datasets(spark):
     assert [d["name"] for d in labelled["datasets"]] == ["a"]
     empty = P.stats_record(df.limit(0)).first()
     assert empty["articles"] == 0 and empty["fake_pct"] is None and empty["datasets"] == []
+
+
+def test_vector_scores_keep_columns_of_clashing_names(spark):
+    from credence.plans.detector import ClusterDetector
+    train = spark.createDataFrame([(i, "t", f"shocking hoax secret {i}" if i % 2 else f"good news today {i}", i % 2 == 1) for i in range(12)],
+                                  "doc_id int, title string, text string, is_fake boolean")
+    model, _ = ClusterDetector.fit(train, class_means=True, min_df=1)
+    rows = train.selectExpr("*", "doc_id AS _terms", "'mine' AS d2", "doc_id AS _features_tf", "1 AS _mean", "'old' AS cluster")
+    got = {r["doc_id"]: r for r in model.score_vectors(rows).collect()}
+    assert all((r["_terms"], r["d2"], r["_features_tf"], r["_mean"]) == (i, "mine", i, 1) for i, r in got.items())
+    plain = {r["doc_id"]: r["cluster"] for r in model.score_vectors(train).collect()}
+    assert {i: r["cluster"] for i, r in got.items()} == plain == {i: i % 2 for i in range(12)}
