@@ -91,6 +91,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_derivatives")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.warc import derive, page_responses
-    records = derive(page_responses(table(spark, sf_dir, "pages")), with_records=False)
+    records = derive(page_responses(table(spark, sf_dir, "pages")))
     return records.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "source_content_type", "source_digest", "block_digest", "n_links", "title",
-                          F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+                          F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"),
+                          F.octet_length("record").cast("long").alias("record_length"), F.sha2("record", 256).alias("record_sha256"))

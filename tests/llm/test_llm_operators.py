@@ -318,6 +318,20 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc.derive(responses.limit(0)).collect() == []
 
 
+def test_derivatives_query_makes_whole_records(spark):
+    from credence.llm import warc
+    from credence.llm.registry import QUERIES
+    made = {}
+    for r in warc.page_responses(spark.read.parquet(f"{SF001}/pages.parquet")).collect():
+        fields, block = warc.parse_record(bytes(r.record))
+        for what, *_, out, whole in warc._derived(fields, block, True):
+            named, content = warc.parse_record(whole)
+            assert named["WARC-Type"] == what and named["Content-Length"] == str(len(out)) and content == out
+            made[r.page_id, what] = (len(whole), hashlib.sha256(whole).hexdigest())
+    rows = QUERIES["op4_derivatives"](spark, SF001).collect()
+    assert rows and {(r.page_id, r.kind): (r.record_length, r.record_sha256) for r in rows} == made
+
+
 def test_pipeline_against_plain_stages(spark):
     import corpus_pipeline
     from credence.llm.quality import quality_rules
