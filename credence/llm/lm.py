@@ -6,11 +6,20 @@ digit (16 outputs each, given the digits before), so the probabilities add up
 to one without a large output layer.  Every partition trains a copy of the
 network in numpy on all of its texts; the copies are averaged by their word
 counts, and the average scores all documents.
+
+A word's probability is that of its code times its share of the code, from the
+counts of all words of the corpus.  A code keeps a share for words that were
+not counted: as much as its words counted once, and one more (Good-Turing),
+spread over at least as many unseen words (Chao), so that none of them is
+likelier than a word counted once and the shares add up to one.  The counts are
+a table that grows with the corpus; a block of documents asks it once for each
+of its distinct words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,26 +27,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credence.llm import arrays as A
+from credence.llm.blocks import block_count, materialize
+from credence.llm.repeats import BLOCK, binary_column
 
 SIDE, WIDTH, HIDDEN, DIGITS, RADIX = 2, 8, 16, 3, 16
 CODES = RADIX ** DIGITS
 BATCH, RATE, SEED = 2048, 0.1, 7
+COUNTED, ASKED = 8 << 20, 16 << 20      # bytes of text whose words are counted, and asked for, together
 SHAPES = {"embed": (CODES + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,),
           "head": (DIGITS, HIDDEN, RADIX), "bias": (DIGITS, RADIX), "digit": (DIGITS - 1, RADIX, HIDDEN)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context codes, code, first word of each text); places beyond a text hold the code ``CODES``."""
-    w = A.Words(data, offsets)
-    code = ((w.symbol >> np.uint64(20)) % np.uint64(CODES)).astype(np.int64)
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
+def codes_of(symbol: np.ndarray) -> np.ndarray:
+    return ((symbol >> np.uint64(20)) % np.uint64(CODES)).astype(np.int64)
+
+
+def windows(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(context codes, code) of each word; places beyond a text hold the code ``CODES``."""
+    code = codes_of(w.symbol)
+    text = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.first))
     around = np.full((len(code), 2 * SIDE), CODES, dtype=np.int64)
     for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
         here = np.arange(max(0, -step), len(code) - max(0, step))
         here = here[text[here] == text[here + step]]
         around[here, j] = code[here + step]
-    return around, code, w.first
+    return around, code
 
 
 class Network:
@@ -107,7 +122,7 @@ def _train(vector: np.ndarray | None):
         for batch in batches:
             data, offsets = A.text_arrays(batch.column("text"))
             for a, b in A.pieces(offsets):
-                around, code, _ = windows(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+                around, code = windows(A.Words(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]))
                 for i in range(0, len(code), BATCH):
                     net.train(around[i: i + BATCH], code[i: i + BATCH])
                 seen += len(code)
@@ -116,11 +131,56 @@ def _train(vector: np.ndarray | None):
     return run
 
 
-def fit(docs: DataFrame, rounds: int = 1, text_col: str = "text") -> np.ndarray:
-    """Weights of the network after ``rounds`` passes over all texts; ``SIZE`` numbers come to the driver.
+def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(symbol, word, times) of the distinct words of some texts."""
+    w = A.Words(data, offsets)
+    symbol, one, times = np.unique(w.symbol, return_index=True, return_counts=True)
+    size = w.end[one] - w.start[one]
+    return symbol, binary_column(data[A.ranges(w.start[one], size)], np.cumsum(size)), times
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = A.text_arrays(batch.column("text"))
+        for a, b in A.pieces(offsets, COUNTED):
+            symbol, word, times = _distinct(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+            yield pa.RecordBatch.from_arrays([word, pa.array(codes_of(symbol).astype(np.int32)), pa.array(times)], names=["word", "code", "times"])
+
+
+@dataclass
+class Model:
+    """``vector``: weights of the network; ``counts``: word, code and times of every word of the corpus;
+    ``codes``: for each code the words counted, the share kept for unseen words and the number of those, in words."""
+
+    vector: np.ndarray
+    counts: DataFrame
+    codes: np.ndarray
+
+    def log_share(self, times: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return log_share(self.codes, times, code)
+
+
+def log_share(codes: np.ndarray, times: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """log P(word | code) of words counted ``times`` times; 0 is an unseen word."""
+    seen, kept, unseen = codes[:, code]
+    return np.log(np.where(times > 0, times, kept / unseen)) - np.log(seen + kept)
+
+
+def _code_shares(counts: DataFrame) -> np.ndarray:
+    seen, once, twice = np.zeros((3, CODES))
+    for r in counts.groupBy("code").agg(F.sum("times").alias("seen"), F.count_if(F.col("times") == 1).alias("once"), F.count_if(F.col("times") == 2).alias("twice")).collect():
+        seen[r["code"]], once[r["code"]], twice[r["code"]] = r["seen"], r["once"], r["twice"]
+    kept = once + 1
+    return np.stack([seen, kept, np.maximum(kept, once * (once - 1) / (2 * (twice + 1)))])
+
+
+def fit(docs: DataFrame, rounds: int = 1, text_col: str = "text") -> Model:
+    """The network after ``rounds`` passes over all texts, and the counts of all words.
 
     Each round every partition trains on all of its texts, and the copies are
     averaged by number of words.  Without any word: the start weights.
+    ``SIZE`` weights and three numbers for each code come to the driver, the
+    counts stay a table.
     """
     texts, vector = docs.select(F.col(text_col).cast("string").alias("text")), None
     for _ in range(rounds):
@@ -130,34 +190,60 @@ def fit(docs: DataFrame, rounds: int = 1, text_col: str = "text") -> np.ndarray:
         got = {r["at"]: r["value"] for r in mean.collect()}
         if got:
             vector = np.array([got[i] for i in range(SIZE)])
-    return Network(vector).vector
+    counts = materialize(texts.mapInArrow(_counted, "word binary, code int, times long").groupBy("word").agg(F.min("code").alias("code"), F.sum("times").alias("times")))
+    return Model(Network(vector).vector, counts, _code_shares(counts))
 
 
-def _score(vector: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asked(table: pa.Table) -> pa.Table:
+    """Each distinct word of a block once."""
+    data, offsets = A.text_arrays(table.column("text"))
+    symbols, words = [], []
+    for a, b in A.pieces(offsets):
+        symbol, word, _ = _distinct(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+        symbols.append(symbol)
+        words.append(word)
+    symbol, one = np.unique(np.concatenate(symbols), return_index=True)
+    return pa.table({BLOCK: pa.array(np.full(len(one), table.column(BLOCK)[0].as_py(), np.int32)), "word": pa.chunked_array(words).take(pa.array(one)), "symbol": pa.array(symbol.view(np.int64))})
+
+
+def _score(vector: np.ndarray, codes: np.ndarray, result: pa.Schema):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         net = Network(vector)
-        for batch in batches:
-            data, offsets = A.text_arrays(batch.column("text"))
-            for a, b in A.pieces(offsets):
-                around, code, first = windows(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-                log_p = np.concatenate([net.forward(around[i: i + BATCH], code[i: i + BATCH])[0] for i in range(0, len(code), BATCH)] or [np.zeros(0)])
-                total = np.concatenate([[0.0], np.cumsum(log_p)])
-                n, s = np.diff(first), total[first[1:]] - total[first[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(n), pa.array(s), pa.array(np.where(n > 0, s / np.maximum(n, 1), np.nan), mask=n == 0)],
-                                                 names=["doc_id", "n_words", "pseudo_log_likelihood", "per_word"])
+        symbol, times = answers.column("symbol").to_numpy().view(np.uint64), answers.column("times").to_numpy()
+        order = np.argsort(symbol)
+        symbol, times = symbol[order], times[order]
+        data, offsets = A.text_arrays(docs.column("text"))
+        sizes, sums = [], []
+        for a, b in A.pieces(offsets):
+            w = A.Words(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+            around, code = windows(w)
+            log_p = np.concatenate([net.forward(around[i: i + BATCH], code[i: i + BATCH])[0] for i in range(0, len(code), BATCH)] or [np.zeros(0)])
+            if len(code):
+                log_p = log_p + log_share(codes, times[np.searchsorted(symbol, w.symbol)], code)
+            total = np.concatenate([[0.0], np.cumsum(log_p)])
+            sizes.append(np.diff(w.first))
+            sums.append(total[w.first[1:]] - total[w.first[:-1]])
+        n, s = (np.concatenate(x or [np.zeros(0)]) for x in (sizes, sums))
+        return pa.table([docs.column("doc_id").cast(result.field("doc_id").type), pa.array(n.astype(np.int64)), pa.array(s), pa.array(np.where(n > 0, s / np.maximum(n, 1), np.nan), mask=n == 0)], schema=result)
     return run
 
 
-def score_documents(docs: DataFrame, vector: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, pseudo_log_likelihood (sum over all words) and per_word, one row for each input row.
 
-    ``vector``: weights of ``fit``; by default they are fitted on all of
-    ``docs``.  A null or blank text has no word, a sum of 0 and a null
-    per_word.  The weights depend on how the texts are partitioned.  Other
-    columns are not read; an empty table gives an empty result.
+    ``model``: that of ``fit``; by default it is fitted on all of ``docs``.  A
+    null or blank text has no word, a sum of 0 and a null per_word.  The
+    weights depend on how the texts are partitioned.  Other columns are not
+    read; an empty table gives an empty result.
     """
-    if vector is None:
-        vector = fit(docs, text_col=text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_score(vector), f"doc_id {kind}, n_words long, pseudo_log_likelihood double, per_word double")
+    from pyspark.sql.pandas.types import to_arrow_schema
+    if model is None:
+        model = fit(docs, text_col=text_col)
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks = base.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(block_count(base, ASKED))).cast("int")).groupBy(BLOCK)
+    asked = blocks.applyInArrow(_asked, f"{BLOCK} int, word binary, symbol long")
+    answers = asked.join(model.counts.select("word", "times").hint("shuffle_hash"), "word", "left").select(BLOCK, "symbol", F.coalesce("times", F.lit(0).cast("long")).alias("times"))
+    schema = f"doc_id {kind}, n_words long, pseudo_log_likelihood double, per_word double"
+    result = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return blocks.cogroup(answers.groupBy(BLOCK)).applyInArrow(_score(model.vector, model.codes, result), schema)

@@ -260,6 +260,25 @@ def test_network_is_a_distribution_and_learns(spark, docs, empty):
     assert lm.score_documents(empty).collect() == []
 
 
+def test_words_of_one_code_have_their_own_probability(spark):
+    from credence.llm import arrays as A
+    from credence.llm import lm
+
+    def code(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(lm.codes_of(A.Words(data, np.array([0, len(data)])).symbol)[0])
+    alike = [w for w in (f"x{i}" for i in range(40_000)) if code(w) == code("green")][:3]
+    train = spark.createDataFrame([(i, f"red green blue {alike[0] if i == 7 else ''}") for i in range(30)], "doc_id long, text string").repartition(2)
+    model = lm.fit(train)
+    assert {r.word.decode(): r.times for r in model.counts.collect()} == {"red": 30, "green": 30, "blue": 30, alike[0]: 1}
+    share = lambda times, c: np.exp(model.log_share(np.array([times]), np.array([c])))[0]
+    for c, seen in ((code("green"), (30, 1)), (code("red"), (30,)), ((code("red") + 1) % lm.CODES, ())):
+        assert sum(share(n, c) for n in seen) + model.codes[2, c] * share(0, c) == pytest.approx(1)
+    held = spark.createDataFrame([(1, "red green blue"), (2, f"red {alike[0]} blue"), (3, f"red {alike[1]} blue"), (None, f"red {alike[2]} blue")], "doc_id long, text string")
+    got = {r.doc_id: r.pseudo_log_likelihood for r in lm.score_documents(held, model).collect()}
+    assert got[1] - got[2] == pytest.approx(np.log(30), abs=1e-5) and got[2] >= got[3] == pytest.approx(got[None])
+
+
 def test_quality_edge_rows(docs, empty):
     from credence.llm.quality import quality_rules
     for r in quality_rules(docs).collect():
