@@ -12,6 +12,7 @@ pieces of equal length, counted block by block without a global sort.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -59,7 +60,9 @@ class WordEncoder:
 
     Splitting at white space, and between an ASCII letter or digit and an
     ASCII punctuation mark after it, never crosses a pre-token, so a word's
-    ids do not depend on its neighbours and equal words are encoded once.
+    ids do not depend on its neighbours and equal words are encoded once.  The
+    file's added tokens (<|endoftext|>) are cut out of the texts first, as the
+    library does by default: each is one id, and a bound.
     """
 
     def __init__(self, path: str):
@@ -67,7 +70,12 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True      # for what lies between added tokens: a word in lower case must not become one
+        added = self.tokenizer.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if t.normalized or t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that are not plain contents: {odd}")
+        self.added = {t.content.encode("utf-8"): i for i, t in added.items()}
+        self.marks = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.clear()
 
     def clear(self):
@@ -75,7 +83,10 @@ class WordEncoder:
 
     def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, token offsets of the texts), without any end mark."""
+        marks = self._marks(data, offsets)
         data = _LOWER[data]
+        for m in marks:
+            data[m.start(): m.end()] = 0x20
         w = A.Words(data, offsets, split=(_ALNUM, _PUNCT))
         _, one, which = np.unique(w.symbol, return_index=True, return_inverse=True)
         if len(self.index) > MEMO:
@@ -91,7 +102,19 @@ class WordEncoder:
         start = self.pool.bounds[at]
         start, count = start[which], (self.pool.bounds[at + 1] - start)[which]
         total = np.concatenate([[0], np.cumsum(count)])
-        return self.pool.values[A.ranges(start, count)], total[w.first]
+        ids, first = self.pool.values[A.ranges(start, count)], total[w.first]
+        if marks:
+            at = np.array([m.start() for m in marks])
+            ids = np.insert(ids, total[np.searchsorted(w.start, at)], [self.added[m[0]] for m in marks])
+            first = first + np.searchsorted(at, offsets)
+        return ids, first
+
+    def _marks(self, data: np.ndarray, offsets: np.ndarray) -> list[re.Match]:
+        """The added tokens of the texts, in order; none reaches over the end of a text."""
+        raw = data.tobytes()
+        if not any(x in raw for x in self.added):
+            return []
+        return [m for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in self.marks.finditer(raw, a, b)]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -133,8 +156,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of every document's pieces of at most ``limit`` ids.
 
-    A document's ids are those of its text and then ``end_id``; a null or
-    empty text has ``end_id`` alone.  ``tokenizer``: path of the file on every
+    A document's ids are those of its text, as the library gives them with
+    add_special_tokens=False, and then ``end_id``; a null or empty text has
+    ``end_id`` alone.  ``tokenizer``: path of the file on every
     worker.  Other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -211,6 +211,20 @@ def test_packing(docs, empty):
     assert all(len(r.ids) == r.length for r in token_pieces(docs, path, with_ids=True).collect())
 
 
+def test_added_tokens_inside_texts_are_one_id(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from credence.llm.packing import token_pieces
+    path = P.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["end of text <|endoftext|> next <|startoftext|>x", "<|endoftext|><|endoftext|>", "It's<|startoftext|>'s <<|endoftext|>> end<|endof", "text|> <|EndOfText|> <|ENDOFTEXT|>", "", "Naïve<|endoftext|>\u0301e <|endoftext|"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.ids for r in token_pieces(df, path, with_ids=True).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got[0] == [806, 539, 4160, 49407, 1131, 49406, 343, 0]
+
+
 def test_two_smaller_pieces_replace_one():
     from credence.llm.packing import Plan
     plan = Plan({60: 2, 30: 1, 25: 2, 15: 2}, 100)
