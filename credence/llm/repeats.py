@@ -17,6 +17,12 @@ of documents, about 4 MB) and buckets (hash groups of keys):
 5. a block removes the units covered by windows with an answer below the
    document's own doc_id.
 
+A passage copied into many different surroundings gives as many distinct
+segments of one key.  Blocks therefore tell in step 1 how many distinct
+segments they have of each key; a key with more than ``HOT`` is answered as
+hot in step 2, and its windows are sent one by one in step 3, each distinct
+window of a block once, to buckets by the digest of the window.
+
 Whatever is frequent (a passage in a third of all documents) is sent once for
 each block, so no group grows with the number of its copies in a block, and no
 pairs are made.  The documents are shuffled once; the three uses share the
@@ -30,6 +36,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +46,7 @@ from credence.llm.blocks import block_count
 U = np.uint64
 LAST_ID = np.iinfo(np.int64).max        # stands for a null doc_id: after all others
 BLOCK, BUCKET = "__block", "__bucket"
+HOT = 2000                              # distinct segments of a key, added up over blocks, that one bucket matches together
 
 
 class Units:
@@ -130,54 +138,67 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
     def distinct_keys(table: pa.Table) -> pa.Table:
         block = table.column(BLOCK)[0].as_py()
         data, offsets, ids = _sorted_text(table)
-        keys, owner = [], []
+        keys, owner, segs = [], [], []
         for a, b in A.pieces(offsets):
             u = Units(unit, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-            text, _, _, key = segments(u, window, gram)
+            text, first, windows, key = segments(u, window, gram)
             keys.append(key)
             owner.append(ids[a + text])
-        key, owner = np.concatenate(keys), np.concatenate(owner)
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
+            segs.append(A.SpanHash(u.symbol)(first, first + windows + window - 1))
+        key, owner, seg = np.concatenate(keys), np.concatenate(owner), np.concatenate(segs)
+        order = np.lexsort((seg, key))
+        key, owner, seg = key[order], owner[order], seg[order]
         start, _ = A.runs_of(key)
         if len(key):
             multi = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+            new = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
+            count = np.add.reduceat(new, start, dtype=np.int64).astype(np.int32)
             key = key[start]
         else:
-            multi = np.zeros(0, bool)
+            multi, count = np.zeros(0, bool), np.zeros(0, np.int32)
         bucket = _buckets(key, n)
         order = np.argsort(bucket, kind="stable")
-        key, multi, bucket = key[order], multi[order], bucket[order]
+        key, multi, count, bucket = key[order], multi[order], count[order], bucket[order]
         s, e = A.runs_of(bucket)
         cuts = np.append(s, len(bucket))
         return pa.table({BUCKET: pa.array(bucket[s], pa.int32()), BLOCK: pa.array(np.full(len(s), block, np.int32)),
-                         "key": pa.array(_split(key, cuts), pa.binary()), "multi": pa.array(_split(multi.astype(np.uint8), cuts), pa.binary())})
+                         "key": pa.array(_split(key, cuts), pa.binary()), "multi": pa.array(_split(multi.astype(np.uint8), cuts), pa.binary()),
+                         "count": pa.array(_split(count, cuts), pa.binary())})
 
     def shared_keys(table: pa.Table) -> pa.Table:
         size = _sizes(table.column("key"), 8)
-        key, multi = _join(table.column("key"), U), _join(table.column("multi"), np.uint8).astype(bool)
+        key, multi, count = _join(table.column("key"), U), _join(table.column("multi"), np.uint8).astype(bool), _join(table.column("count"), np.int32)
         order = np.argsort(key, kind="stable")
         start, end = A.runs_of(key[order])
-        hit = np.zeros(len(key), dtype=bool)
+        hit, hot = np.zeros((2, len(key)), dtype=bool)
         if len(key):
             several = (end - start > 1) | (np.maximum.reduceat(multi[order], start))
             hit[order] = np.repeat(several, end - start)
+            hot[order] = np.repeat(np.add.reduceat(count[order], start, dtype=np.int64) > HOT, end - start)
         cuts = np.concatenate([[0], np.cumsum(size)])
         found = [key[a:b][hit[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-        return pa.table({BLOCK: table.column(BLOCK).cast(pa.int32()), "key": pa.array(found, pa.binary())}).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
+        many = [hot[a:b][hit[a:b]].astype(np.uint8).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.table({BLOCK: table.column(BLOCK).cast(pa.int32()), "key": pa.array(found, pa.binary()), "hot": pa.array(many, pa.binary())}).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
 
     def distinct_segments(docs_: pa.Table, shared: pa.Table) -> pa.Table:
-        names = (BUCKET, BLOCK, "low", "high", "size", "body")
-        wanted = np.unique(_join(shared.column("key"), U)) if shared.num_rows else np.zeros(0, U)
+        names = (BUCKET, BLOCK, "low", "high", "size", "body", "window")
+        wanted = _join(shared.column("key"), U) if shared.num_rows else np.zeros(0, U)
         if not docs_.num_rows or not len(wanted):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 4)], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 5)], names=names)
+        wanted, at = np.unique(wanted, return_index=True)
+        hot = _join(shared.column("hot"), np.uint8).astype(bool)[at]
         block = docs_.column(BLOCK)[0].as_py()
         data, offsets, ids = _sorted_text(docs_)
-        got = []
+        got, single = [], []
         for a, b in A.pieces(offsets):
             u = Units(unit, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             text, first, windows, key = segments(u, window, gram)
-            pick = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+            place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+            pick = wanted[place] == key
+            many = pick & hot[place]
+            at = A.ranges(first[many], windows[many])
+            single.append(_lowest(A.SpanHash(u.symbol)(at, at + window), *[ids[a + np.repeat(text[many], windows[many])]] * 2))
+            pick &= ~many
             text, first, windows, key = text[pick], first[pick], windows[pick], key[pick]
             end = first + windows + window - 1
             seg = A.SpanHash(u.symbol)(first, end)
@@ -198,10 +219,38 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         bs, _ = A.runs_of(bucket)
         cuts = np.append(bs, len(bucket))
         bytes_at = np.concatenate([[0], np.cumsum(size)])[cuts]
-        columns = [_split(x, cuts) for x in (low, high, size.astype(np.int32))] + [_split(body, bytes_at)]
-        return pa.table([pa.array(bucket[bs], pa.int32()), pa.array(np.full(len(bs), block, np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=names)
+        columns = [_split(x, cuts) for x in (low, high, size.astype(np.int32))] + [_split(body, bytes_at), [None] * len(bs)]
+        digest, low, high = _lowest(*(np.concatenate(x) for x in zip(*single)))
+        of = _buckets(digest, n)
+        order = np.argsort(of, kind="stable")
+        digest, low, high, of = digest[order], low[order], high[order], of[order]
+        ws, _ = A.runs_of(of)
+        cuts = np.append(ws, len(of))
+        for c, more in zip(columns, (_split(low, cuts), _split(high, cuts), [None] * len(ws), [None] * len(ws), _split(digest, cuts))):
+            c += more
+        bucket = np.append(bucket[bs], of[ws])
+        return pa.table([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), block, np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=names)
 
     def matched(table: pa.Table) -> pa.Table:
+        whole = table.column("window").is_null()
+        parts = [f(t) for f, t in ((matched_segments, table.filter(whole)), (matched_windows, table.filter(pc.invert(whole)))) if t.num_rows]
+        return pa.concat_tables(parts)
+
+    def matched_windows(table: pa.Table) -> pa.Table:
+        """The smallest doc_id of each window of hot keys."""
+        per_block = _sizes(table.column("low"), 8)
+        digest, low, high = (_join(table.column(c), t) for c, t in (("window", U), ("low", np.int64), ("high", np.int64)))
+        found, smallest, _ = _lowest(digest, low, high)
+        value = smallest[np.searchsorted(found, digest)]
+        cuts, need = np.concatenate([[0], np.cumsum(per_block)]), value < high
+        spans = list(zip(cuts[:-1], cuts[1:]))
+        sent_ = {"window": [digest[a:b][need[a:b]].tobytes() for a, b in spans], "value": [value[a:b][need[a:b]].tobytes() for a, b in spans]}
+        none = pa.nulls(len(spans), pa.binary())
+        out = pa.table([table.column(BLOCK).cast(pa.int32()), none, none, pa.array(sent_["value"], pa.binary()), none, pa.array(sent_["window"], pa.binary())],
+                       names=[BLOCK, "seg", "runs", "value", "length", "window"])
+        return out.filter(pa.array([len(x) > 0 for x in sent_["window"]], pa.bool_()))
+
+    def matched_segments(table: pa.Table) -> pa.Table:
         per_block = _sizes(table.column("low"), 8)
         low, high, size = (_join(table.column(c), t) for c, t in (("low", np.int64), ("high", np.int64), ("size", np.int32)))
         body = _join(table.column("body"), np.uint8)
@@ -232,10 +281,15 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
                 pick = A.ranges(first[w], runs[w])
                 for c, v in ((BLOCK, block), ("seg", seg[a:b][need].tobytes()), ("runs", runs[w].astype(np.int32).tobytes()), ("value", value[pick].tobytes()), ("length", length[pick].tobytes())):
                     out[c].append(v)
-        return pa.table([pa.array(out[BLOCK], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("seg", "runs", "value", "length")]], names=list(out))
+        return pa.table([pa.array(out[BLOCK], pa.int32()), *[pa.array(out[c], pa.binary()) for c in ("seg", "runs", "value", "length")], pa.nulls(len(out[BLOCK]), pa.binary())], names=[*out, "window"])
 
     def removed(docs_: pa.Table, answers: pa.Table) -> pa.Table:
         data, offsets, ids = _sorted_text(docs_)
+        whole = answers.column("window").is_null()
+        singles, answers = answers.filter(pc.invert(whole)), answers.filter(whole)
+        single, lowest = _join(singles.column("window"), U), _join(singles.column("value"), np.int64)
+        order = np.argsort(single, kind="stable")
+        single, lowest = single[order], lowest[order]
         seg, runs, value, length = (_join(answers.column(c), t) for c, t in (("seg", U), ("runs", np.int32), ("value", np.int64), ("length", np.int32)))
         order = np.argsort(seg, kind="stable")
         sorted_seg, first_run = seg[order], (np.cumsum(runs, dtype=np.int64) - runs)[order]
@@ -244,6 +298,13 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         for a, b in A.pieces(offsets):
             u = Units(unit, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             mask = np.zeros(len(u.symbol), dtype=bool)
+            if len(single):
+                count = np.maximum(np.diff(u.first) - window + 1, 0)
+                start, text = A.ranges(u.first[:-1], count), np.repeat(np.arange(len(count)), count)
+                own = A.SpanHash(u.symbol)(start, start + window)
+                j = np.minimum(np.searchsorted(single, own), len(single) - 1)
+                start = start[(single[j] == own) & (lowest[j] < ids[a + text])]
+                mask = A.covered(start, start + window, len(u.symbol))
             if len(seg):
                 text, first, windows, _ = segments(u, window, gram)
                 own = A.SpanHash(u.symbol)(first, first + windows + window - 1)
@@ -255,7 +316,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
                 start = first[occ] + skip[pick] - np.repeat(skip[first_run[j]], runs[j])
                 earlier = value[pick] < ids[a + text[occ]]
                 start, count = start[earlier], length[pick][earlier]
-                mask = A.covered(start, start + count + window - 1, len(u.symbol))
+                mask |= A.covered(start, start + count + window - 1, len(u.symbol))
             parts.append(finish(u, offsets[a: b + 1] - offsets[a], mask))
         if not docs_.num_rows:
             return result_type.empty_table()
@@ -267,14 +328,22 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
     kept_types = "".join(f", `{c}` {base.schema[h].dataType.simpleString()}" for c, h in held.items())
     result_schema = f"doc_id long{kept_types}, {schema}"
     result_type = to_arrow_schema(spark.createDataFrame([], result_schema).schema)
-    asked = blocks.applyInArrow(distinct_keys, f"{BUCKET} int, {BLOCK} int, key binary, multi binary")
-    shared = asked.groupBy(BUCKET).applyInArrow(shared_keys, f"{BLOCK} int, key binary")
+    asked = blocks.applyInArrow(distinct_keys, f"{BUCKET} int, {BLOCK} int, key binary, multi binary, count binary")
+    shared = asked.groupBy(BUCKET).applyInArrow(shared_keys, f"{BLOCK} int, key binary, hot binary")
     sent = (blocks.cogroup(shared.groupBy(BLOCK))
-            .applyInArrow(distinct_segments, f"{BUCKET} int, {BLOCK} int, low binary, high binary, size binary, body binary"))
-    answers = sent.groupBy(BUCKET).applyInArrow(matched, f"{BLOCK} int, seg binary, runs binary, value binary, length binary")
+            .applyInArrow(distinct_segments, f"{BUCKET} int, {BLOCK} int, low binary, high binary, size binary, body binary, window binary"))
+    answers = sent.groupBy(BUCKET).applyInArrow(matched, f"{BLOCK} int, seg binary, runs binary, value binary, length binary, window binary")
     return blocks.cogroup(answers.groupBy(BLOCK)).applyInArrow(removed, result_schema)
 
 
+def _lowest(digest: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order, with the smallest ``low`` and the largest ``high`` of each."""
+    order = np.argsort(digest, kind="stable")
+    digest, low, high = digest[order], low[order], high[order]
+    start, _ = A.runs_of(digest)
+    return (digest[start], np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)) if len(start) else (digest, low, high)
+
+
 def digests(unit: str, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The digest of each segment's units, as its block computed it."""
     out = []

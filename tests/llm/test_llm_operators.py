@@ -86,6 +86,34 @@ def test_bwt_brute_force(docs, empty):
     assert remove_repeated_bytes(empty).collect() == []
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_one_passage_in_many_surroundings(spark, monkeypatch, unit):
+    """Windows at the border of a shared passage, in more segments than one bucket may match together."""
+    from credence.llm import repeats, seed_extend
+    from credence.llm.bwt import remove_repeated_bytes
+    monkeypatch.setattr(repeats, "HOT", 20)
+    matched = seed_extend.match_by_extension
+
+    def counted(window, gram):
+        inner = matched(window, gram)
+
+        def match(body, offsets, low):
+            if len(low) > 60:
+                raise AssertionError(f"{len(low)} segments in one bucket")
+            return inner(body, offsets, low)
+        return match
+    monkeypatch.setattr(seed_extend, "match_by_extension", counted)
+    texts = {i: f"own{i} a{i % 3} b{i % 2} " + PASSAGE + f" c{i % 2} after{i}" for i in range(100)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    units = {d: WORD.findall(t) if unit == "word" else t.encode() for d, t in texts.items()}
+    gone = removed_brute(units, list(texts), 50)
+    rows = (seed_extend.remove_repeated_passages if unit == "word" else remove_repeated_bytes)(df).collect()
+    assert len(rows) == 100 and {r.doc_id: r.n_removed for r in rows} == {d: g.sum() for d, g in gone.items()}
+    for r in rows:
+        kept = [x for x, g in zip(units[r.doc_id], gone[r.doc_id]) if not g]
+        assert (r.kept_text == " ".join(kept)) if unit == "word" else (bytes(r.kept) == bytes(kept))
+
+
 def test_suffix_merge_equals_sorting():
     from credence.llm.bwt import match_by_merge
     segs = [bytes(RNG.integers(97, 99, 60).astype(np.uint8)) for _ in range(40)] + [b"ab" * 40, b"a" * 70]
