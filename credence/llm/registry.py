@@ -95,3 +95,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "kind", "record_id", "refers_to", "target_uri", "date", "source_content_type", "source_digest", "block_digest", "n_links", "title",
                           F.octet_length("block").cast("long").alias("content_length"), F.sha2("block", 256).alias("block_sha256"),
                           F.octet_length("record").cast("long").alias("record_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
+@query("op12_ftrl")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
