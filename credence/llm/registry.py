@@ -101,3 +101,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.toxicity import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_grammar_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from credence.llm.repair import damaged, repair_conversations
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(conversations), conversations.select(F.col("conv_id").cast("long").alias("conv_id")))
