@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import pytest
-from plain_conversations import cheapest, exhaustive, repaired
+from plain_conversations import cheapest, exhaustive, repaired, trie
 
 from credence.llm.blocks import import_on_workers
 from credence.llm.registry import QUERIES
 from credence.llm.repair import ROLES, MUST_DELETE, Rope, damaged, final, re_pair, repair_conversations, repaired_turns, transfers
+from credence.llm.trie import panels, prefix_trie, rebuilt
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "conv_id long, turn long, role string, text string, position int, kind string, fault string, n int, tie string"
@@ -107,3 +108,21 @@ def test_op13_repaired_rows_are_legal(spark):
 def test_op13_on_an_empty_table(spark):
     table = table_of(spark, [])
     assert repair_conversations(damaged(table), table).collect() == []
+
+
+def test_op11_on_the_whole_table(spark):
+    same(QUERIES["op11_turn_matrix_trie"](spark, SF).collect(), trie(rows_of(spark)))
+
+
+@pytest.mark.parametrize("shards", [1, 3, 40])
+def test_op11_on_odd_rows(spark, shards, monkeypatch):
+    """Nodes split over many shards and panels add up to the same trie."""
+    from credence.llm import trie as module
+    monkeypatch.setattr(module, "shuffle_width", lambda _: shards)
+    rows = odd_rows()
+    found = prefix_trie(panels(*rebuilt(table_of(spark, rows)))).collect()
+    same(found, trie(rows))
+
+
+def test_op11_on_an_empty_table(spark):
+    assert prefix_trie(panels(*rebuilt(table_of(spark, [])))).collect() == []
