@@ -36,8 +36,9 @@ from credence.llm.blocks import materialize, text_bytes
 
 U = np.uint64
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 2.0, 0.0
-TRAIN_ROWS, ROUNDS, MIN_ROWS = 16_000, 6, 3
-LEARNERS, LEARNER_BYTES = 8, 16 << 20
+TRAIN_ROWS, ROUNDS, MIN_ROWS = 16_000, 6, 4
+LEARNER_ROWS, LEARNER_BYTES = 1000, 4 << 20
+UNIT = 2.0 ** 32                   # changes travel as whole numbers of 1 / UNIT, which add up to the same in any order
 BITS = 48
 PIECE_TEXTS = 1 << (64 - BITS)
 INTERCEPT = 0                      # its key among the features; hashes start at 1
@@ -102,9 +103,10 @@ def _learner(state_keys: np.ndarray, state_z: np.ndarray, state_n: np.ndarray):
         texts, features = [], []
         for a, b in text_pieces(offsets):
             t, f = once(*feature_hashes(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]))
-            texts.append(t + a)
+            texts.append((t + a).astype(np.int32))
             features.append(f)
         text, feature = np.concatenate(texts), np.concatenate(features)
+        del texts, features
         found, counts = np.unique(feature, return_counts=True)
         keys = np.append(U(INTERCEPT), np.union1d(found[counts >= MIN_ROWS], np.intersect1d(found, state_keys)))
         keys = np.unique(keys)
@@ -120,8 +122,8 @@ def _learner(state_keys: np.ndarray, state_z: np.ndarray, state_n: np.ndarray):
         rows = [np.append(0, place[ends[i]: ends[i + 1]]) for i in range(table.num_rows)]
         before = z.copy(), n.copy()
         ftrl_pass(rows, table["label"].to_numpy().astype(float), z, n)
-        return pa.table({"feature": pa.array(keys.astype(np.int64)), "learner": pa.array(np.full(len(keys), table["learner"][0].as_py(), np.int32)),
-                         "dz": pa.array(z - before[0]), "dn": pa.array(n - before[1])})
+        return pa.table({"feature": pa.array(keys.astype(np.int64)), "dz": pa.array(np.round((z - before[0]) * UNIT).astype(np.int64)),
+                         "dn": pa.array(np.round((n - before[1]) * UNIT).astype(np.int64))})
     return learn
 
 
@@ -147,15 +149,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     some learner took in, at most those of ``train_rows`` texts.
     """
     rows = materialize(training_rows(docs, labels, train_rows))
-    learners = max(LEARNERS, -(-text_bytes(rows) // LEARNER_BYTES))
+    learners = max(1, -(-rows.count() // LEARNER_ROWS), -(-text_bytes(rows) // LEARNER_BYTES))
     dealt = rows.withColumn("learner", F.pmod("place", F.lit(learners)).cast("int"))
     state = pd.DataFrame({"feature": np.zeros(0, np.int64), "z": np.zeros(0), "n": np.zeros(0)})
     for _ in range(rounds):
         learn = _learner(state["feature"].to_numpy().astype(U), state["z"].to_numpy(), state["n"].to_numpy())
-        changes = dealt.groupBy("learner").applyInArrow(learn, "feature long, learner int, dz double, dn double")
-        ordered = F.array_sort(F.collect_list(F.struct("learner", "dz", "dn")))      # added up in one order, whichever task came first
-        mean = changes.groupBy("feature").agg(ordered.alias("c")).select(
-            "feature", *[(F.aggregate(f"c.{x}", F.lit(0.0), lambda a, v: a + v) / F.size("c")).alias(x) for x in ("dz", "dn")])
+        mean = (dealt.groupBy("learner").applyInArrow(learn, "feature long, dz long, dn long").groupBy("feature")
+                .agg(*[(F.sum(x) / F.count(F.lit(1)) / UNIT).alias(x) for x in ("dz", "dn")]))
         state = (state.merge(mean.toPandas(), on="feature", how="outer").fillna(0.0)
                  .assign(z=lambda s: s.z + s.dz, n=lambda s: s.n + s.dn)[["feature", "z", "n"]].sort_values("feature", ignore_index=True))
     l1 = np.where(state["feature"] == INTERCEPT, 0.0, L1)
