@@ -100,6 +100,12 @@ def fit_class_mean_centroids(scaled: DataFrame, articles: DataFrame, n_features:
     return Centroids.from_long(rows, 2, n_features)
 
 
+def squared_distance(vv: Column, dot: Column, sq_norm: float) -> Column:
+    """|v - c|^2 from |v|^2, v.c and |c|^2; rounding noise counts as 0."""
+    raw = vv - F.lit(2.0) * dot + F.lit(float(sq_norm))
+    return F.when(raw <= F.lit(_D2_NOISE) * (vv + F.lit(float(sq_norm))), F.lit(0.0)).otherwise(raw)
+
+
 def squared_distances(scaled: DataFrame, articles: DataFrame, centroids: Centroids,
                       keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, d2 ARRAY<DOUBLE>): squared distance to each centroid.
@@ -119,11 +125,7 @@ def squared_distances(scaled: DataFrame, articles: DataFrame, centroids: Centroi
     sums = (terms.unionByName(empty)
             .groupBy("doc_id", *keep)
             .agg(F.sum("vv").alias("vv"), *[F.sum(f"dot{j}").alias(f"dot{j}") for j in range(k)]))
-    d2 = []
-    for j, cc in enumerate(centroids.sq_norms):
-        raw = F.col("vv") - F.lit(2.0) * F.col(f"dot{j}") + F.lit(cc)
-        scale = F.col("vv") + F.lit(cc)
-        d2.append(F.when(raw <= F.lit(_D2_NOISE) * scale, F.lit(0.0)).otherwise(raw))
+    d2 = [squared_distance(F.col("vv"), F.col(f"dot{j}"), cc) for j, cc in enumerate(centroids.sq_norms)]
     return sums.select("doc_id", *keep, F.array(*d2).alias("d2"))
 
 

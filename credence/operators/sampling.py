@@ -28,7 +28,7 @@ _STEP = 4                 # hex digits of a narrowing round: 16**4 = 65,536 buck
 _DIGITS = 48              # 32 of the key, 16 of the row
 
 
-def hash_key(seed: int = DEFAULT_SEED, key_col: str = "doc_id") -> Column:
+def hash_key(seed: int | str = DEFAULT_SEED, key_col: str = "doc_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key_col).cast("string"), F.lit("\u0000null"))))
 
 

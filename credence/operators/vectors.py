@@ -1,20 +1,23 @@
-"""Vector form of the TF-IDF features, built from JVM ML transformers.
+"""Vector forms of the TF-IDF features, row by row, with no shuffle.
 
-``CountVectorizerModel.from_vocabulary`` (a fixed, deterministic vocabulary)
--> ``ElementwiseProduct(idf)`` -> ``Normalizer(p=2)`` [-> ``ElementwiseProduct
-(1/scale)``] gives the same sparse vectors as the long form, row by row, with
-no shuffle; it also runs unchanged on a streaming DataFrame.
+* ``tfidf_stages``: ``CountVectorizerModel.from_vocabulary`` (a fixed,
+  deterministic vocabulary) -> ``ElementwiseProduct(idf)`` -> ``Normalizer``
+  [-> ``ElementwiseProduct(1/scale)``], for ML estimators.
+* ``sparse_counts`` and what follows it: a document's vocabulary ids and counts
+  as two short arrays.  The fitted numbers (idf, scale, centroids) are array
+  literals indexed by the id, so norms and dot products touch only the terms
+  that a document has.  Both run unchanged on a streaming DataFrame.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credence.operators.clusters import Centroids, squared_distance
 from credence.operators.tfidf import Scaler, Vocabulary
 
 
@@ -44,17 +47,65 @@ def drop_intermediate(df, output_col: str):
     return df.drop(*[f"{output_col}_{step}" for step in ("tf", "raw", "l2")])
 
 
-def squared_distance_to(arr: Column, centroid: list[float]) -> Column:
-    """sum((a - c)^2) of a dense array column against a constant centroid.
+# --- sparse rows
 
-    The centroid becomes one folded array literal; no join is involved.
+IDS, COUNTS = "_ids", "_counts"
+
+
+def sparse_counts(df: DataFrame, vocab: Vocabulary, terms_col: str = "terms") -> DataFrame:
+    """``df`` without ``terms_col``, with the ids of its vocabulary terms (``_ids``, ascending) and their counts (``_counts``).
+
+    Terms outside the vocabulary are dropped by a hash-set test, the others are
+    looked up in the transformer's hash map, both in the JVM; nothing is exploded.
+    """
+    if not len(vocab):
+        return df.drop(terms_col).withColumn(IDS, F.array().cast("array<int>")).withColumn(COUNTS, F.array().cast("array<double>"))
+    listed = ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in vocab.terms)
+    known = df.withColumn("_known", F.expr(f"filter(`{terms_col}`, t -> t IN ({listed}))")).drop(terms_col)
+    counted = CountVectorizerModel.from_vocabulary(list(vocab.terms), inputCol="_known", outputCol="_vector").transform(known)
+    vector = F.unwrap_udt(F.col("_vector"))
+    return (counted.withColumn(IDS, vector["indices"]).withColumn(COUNTS, vector["values"]).drop("_known", "_vector"))
+
+
+def number_array(values) -> Column:
+    """An ARRAY<DOUBLE> constant: one string literal that the optimizer folds, instead of one literal a number."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values) or "0.0"), ",").cast("array<double>")
+
+
+def _sum_over(numbers, squared: bool = False) -> Column:
+    """sum(count * numbers[id]) over a row's terms (of squared counts if asked)."""
+    held = number_array(numbers)
+    parts = F.zip_with(IDS, COUNTS, lambda i, c: (c * c if squared else c) * F.get(held, i))
+    return F.aggregate(parts, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def norm(vocab: Vocabulary) -> Column:
+    """Length of a row's tf-idf vector before normalising."""
+    return F.sqrt(_sum_over([w * w for w in vocab.idf], squared=True))
+
+
+def with_d2(sparse: DataFrame, vocab: Vocabulary, scaler: Scaler, centroids: Centroids, name: str = "_d2") -> DataFrame:
+    """``sparse`` with ``name``: ARRAY<DOUBLE> of squared distances to each centroid.
+
+    With x = count * idf and n = |x|, the scaled vector is x / (n * scale), so
+    its squares and products are sums of counts times fixed numbers.
     """
-    c = F.lit(centroid).cast("array<double>")
-    return F.aggregate(F.zip_with(arr, c, lambda a, b: (a - b) * (a - b)),
-                       F.lit(0.0), lambda acc, x: acc + x)
+    unit = [w / s for w, s in zip(vocab.idf, scaler.scale)]
+    sums = [_sum_over([w * w for w in vocab.idf], squared=True), _sum_over([u * u for u in unit], squared=True),
+            *[_sum_over([u * c for u, c in zip(unit, values)]) for values in centroids.values]]
+    # The sums are a projection of their own: each is used several times below.
+    summed = sparse.withColumn("_sums", F.array(*sums))
+    at = lambda i: F.col("_sums")[i]
+    vv = F.when(at(0) > 0, at(1) / at(0)).otherwise(F.lit(0.0))
+    d2 = [squared_distance(vv, F.when(at(0) > 0, at(2 + j) / F.sqrt(at(0))).otherwise(F.lit(0.0)), sq_norm)
+          for j, sq_norm in enumerate(centroids.sq_norms)]
+    return summed.withColumn(name, F.array(*d2)).drop("_sums")
 
 
-def centroid_d2(features: str, centroids) -> Column:
-    """ARRAY<DOUBLE> of squared distances from a vector column to each centroid."""
-    arr = vector_to_array(F.col(features))
-    return F.array(*[squared_distance_to(arr, list(c)) for c in centroids.values])
+def long_weights(sparse: DataFrame, vocab: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keep, term_id, weight) of sparse rows: the long form of the L2-normalised tf-idf."""
+    idf = number_array(vocab.idf)
+    rows = sparse.select("doc_id", *keep, norm(vocab).alias("_norm"), F.arrays_zip(IDS, COUNTS).alias("_terms"))
+    return (rows.select("doc_id", *keep, "_norm", F.explode("_terms").alias("_t"))
+            .select("doc_id", *keep, F.col("_t")[IDS].alias("term_id"),
+                    (F.col("_t")[COUNTS] * F.get(idf, F.col("_t")[IDS]) / F.col("_norm")).alias("weight")))

@@ -502,7 +502,7 @@ def q_distance_zscore(spark, sf_dir):
     return s.select("doc_id", "cluster", r6("distance").alias("distance"), r6("z_score").alias("z_score"))
 
 
-SCORES_SQL = _SCORING + """
+SCORES_SELECT = """
 SELECT doc_id, cluster,
        CASE WHEN isnan(fake_score) THEN FALSE ELSE fake_score > 0.5 END AS predicted_fake,
        round(abs(fake_score - 0.5) * 2, 6) AS margin_confidence,
@@ -510,6 +510,7 @@ SELECT doc_id, cluster,
        round(cluster_fake_ratio, 6) AS cluster_fake_ratio
 FROM scores
 """
+SCORES_SQL = _SCORING + SCORES_SELECT
 
 
 def rounded_scores(s: DataFrame) -> DataFrame:

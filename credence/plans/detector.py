@@ -1,29 +1,30 @@
 """The unsupervised cluster detector end to end.
 
-fit:   articles -> cleaned uni+bigram terms -> term counts (cached)
-       -> top-K vocabulary (collected, K rows) -> L2 TF-IDF -> population
-       scaler (K rows) -> k-means on the sparse uncentred vectors
+fit:   articles -> cleaned uni+bigram terms -> counts by term -> top-K
+       vocabulary (collected, K rows) -> sparse rows of vocabulary ids and
+       counts (kept; the large uni+bigram table never is) -> L2 TF-IDF
+       -> population scaler (K rows) -> k-means rounds on the sparse rows
        -> distance statistics and fake ratio per cluster (k rows)
 score: the same features for any articles, nearest centroid, z-score of the
        distance within its cluster, logistic penalty, combined score.
 
 Driver-side state is bounded by construction: K vocabulary terms, K moments,
 k x K centroid values and k cluster rows.  Every per-document step is a
-DataFrame job.  Scoring works in long form (SQL-checkable, batch) or vector
-form (row-local, also on streams); both give the same result.
+DataFrame job.  Scoring is row-local (no shuffle, batch and stream alike);
+``score_long`` does the same by explode, join and aggregation.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credence.functions import labels as L
 from credence.functions.text import NULL_TEXT, clean_words, ngrams_1_2, weighted_text
 from credence.operators import clusters as C
+from credence.operators import kmeans as KM
 from credence.operators import tfidf as X
 from credence.operators import vectors as VF
 from credence.session import materialize, reuse
@@ -49,6 +50,8 @@ class ClusterDetector:
     title_weight: int = 2
     null_as: str = NULL_TEXT
     center: float = L.PENALTY_CENTER
+    rounds: int = 0                   # k-means rounds run
+    settled: bool = True              # whether the centroids had stopped moving
 
     @property
     def k(self) -> int:
@@ -65,6 +68,8 @@ class ClusterDetector:
 
         With ``class_means`` the centroids are the means of the two classes
         (cluster 0: not fake, 1: fake) in place of k-means clusters.
+        ``max_iter`` bounds the k-means rounds; ``settled`` on the model says
+        whether they ended by themselves.
         Returns the model and the in-sample scores of the training articles.
         """
         spark = articles.sparkSession
@@ -74,27 +79,22 @@ class ClusterDetector:
             raise ValueError("no articles to fit on")
         k = k or C.choose_k(n_docs)
         terms = X.detector_terms(docs, keep=("is_fake",), title_weight=title_weight, null_as=null_as)
-        tf = reuse(X.term_frequencies(terms, keep=("is_fake",)))
-        vocab = X.fit_vocabulary(tf, n_docs, max_features, min_df)
-        weights = reuse(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
-        scaler = X.fit_scaler(weights, n_docs, len(vocab))
-
-        scaled = X.scaled_weights(weights, scaler.to_df(spark))
-        if class_means:
-            centroids = C.fit_class_mean_centroids(scaled, docs, len(vocab))
-        else:
-            vec = VF.tfidf_vectors(vocab, "terms", "features", scaler)
-            features = VF.drop_intermediate(vec.transform(terms), "features").select("doc_id", "features")
-            km = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="features",
-                        predictionCol="cluster").fit(features)
-            centroids = C.Centroids(tuple(tuple(float(x) for x in c) for c in km.clusterCenters()))
-
-        assigned = materialize(C.assign_nearest(C.squared_distances(
-            scaled, docs.select("doc_id", "is_fake"), centroids, keep=("is_fake",))))
+        vocab = X.fit_vocabulary(X.term_frequencies(terms), n_docs, max_features, min_df)
+        sparse = reuse(VF.sparse_counts(terms, vocab))
+        try:
+            weights = VF.long_weights(sparse, vocab, ("is_fake",))
+            scaler = X.fit_scaler(weights, n_docs, len(vocab))
+            if class_means:
+                centroids = C.fit_class_mean_centroids(X.scaled_weights(weights, scaler.to_df(spark)), docs, len(vocab))
+                rounds, settled = 0, True
+            else:
+                fit = KM.fit_kmeans(sparse, vocab, scaler, k, seed, max_iter, tol)
+                centroids, rounds, settled = fit.centroids, fit.rounds, fit.settled
+            assigned = materialize(KM.nearest(sparse, vocab, scaler, centroids).select("doc_id", "is_fake", "cluster", "distance"))
+        finally:
+            sparse.unpersist()
         stats = [r.asDict() for r in C.cluster_distance_stats(assigned).collect()]   # k rows
-        weights.unpersist()
-        tf.unpersist()
-        model = cls(vocab, scaler, centroids, stats, max_features, min_df, title_weight, null_as)
+        model = cls(vocab, scaler, centroids, stats, max_features, min_df, title_weight, null_as, rounds=rounds, settled=settled)
         return model, model._score_assigned(assigned)
 
     # ---------------------------------------------------------------- score
@@ -113,7 +113,11 @@ class ClusterDetector:
                                 null_as=self.null_as)
 
     def score(self, articles: DataFrame) -> DataFrame:
-        """Long form: score ``articles(doc_id, title, text)`` with the fitted model."""
+        """Score ``articles(doc_id, title, text)`` row by row: the score columns."""
+        return self.score_vectors(articles.select("doc_id", "title", "text")).select(*SCORE_COLUMNS)
+
+    def score_long(self, articles: DataFrame) -> DataFrame:
+        """The same scores in long form: terms exploded, joined and aggregated by document."""
         spark = articles.sparkSession
         tf = X.term_frequencies(self._terms(articles))
         weights = X.tfidf_weights(tf, self.vocab.to_df(spark))
@@ -122,23 +126,20 @@ class ClusterDetector:
         return self._score_assigned(C.assign_nearest(d2))
 
     def score_vectors(self, articles: DataFrame) -> DataFrame:
-        """Vector form: row-local scoring (no shuffle); works on streams too.
+        """Every input column and the score columns, row by row (no shuffle); works on streams too.
 
-        Keeps every input column and appends the score columns (an input
-        column of the same name as one of these is replaced).  Distances
-        are taken against the k centroids as folded array literals, and the
-        k-row cluster statistics are a broadcast equi-join on ``cluster``.
+        An input column of the same name as a score column is replaced.  A
+        row's vocabulary terms become a short list of ids; idf, scales and
+        centroids are array literals that the ids index, and the k-row cluster
+        statistics are a broadcast equi-join on ``cluster``.
         """
         doc = weighted_text("title", "text", title_weight=self.title_weight, null_as=self.null_as)
         # The caller's row travels in one struct, so its names cannot meet the internal ones.
         row = F.struct(*[F.col(f"`{c}`") for c in articles.columns])
-        with_terms = articles.select(row.alias("_row"), ngrams_1_2(clean_words(doc)).alias("_terms"))
-        vec = VF.tfidf_vectors(self.vocab, "_terms", "_features", self.scaler)
-        feats = VF.drop_intermediate(vec.transform(with_terms), "_features")
-        d2 = (feats.withColumn("d2", VF.centroid_d2("_features", self.centroids))
-              .drop("_terms", "_features"))
-        scored = C.score_assigned(C.assign_nearest(d2), self.stats_df(articles.sparkSession),
-                                  self.center)
+        with_terms = articles.select(row.alias("_row"), clean_words(doc).alias("_words")).select("_row", ngrams_1_2(F.col("_words")).alias("_terms"))
+        sparse = VF.sparse_counts(with_terms, self.vocab, "_terms")
+        assigned = KM.nearest(sparse, self.vocab, self.scaler, self.centroids).drop(VF.IDS, VF.COUNTS)
+        scored = C.score_assigned(assigned, self.stats_df(articles.sparkSession), self.center)
         added = [c for c in SCORE_COLUMNS if c != "doc_id"]
         return scored.select(*[F.col("_row").getField(c).alias(c) for c in articles.columns if c not in added], *added)
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from credence.functions.text import synth_title
 from credence.operators import classify as K
 from credence.operators import sampling as M
-from credence.plans.catalog import SCORES_SQL, register, rounded_scores
+from credence.plans import sql as S
+from credence.plans.catalog import SCORES_SELECT, SCORES_SQL, r6, register, rounded_scores
 from credence.plans.detector import SCORE_COLUMNS, ClusterDetector
 from credence.session import checkpoint_dir
 from credence.sources.csv import read_articles, read_first_available
@@ -30,16 +31,23 @@ def _labelled(spark, sf_dir):
     return corpus(spark, sf_dir, by_doc=True).withColumn("label_id", F.col("is_fake").cast("int"))
 
 
-@register("detector_end_to_end")
+# Rounds of the k-means queries: SQL replays exactly these.
+ROUNDS = 4
+_KMEANS = "WITH " + ",".join(part.strip() for part in (S.detector_ctes(), S.moment_ctes(), S.kmeans_ctes(ROUNDS), S.score_ctes())) + "\n"
+
+
+@register("detector_end_to_end", _KMEANS + SCORES_SELECT)
 def q_detector_end_to_end(spark, sf_dir):
-    _, scores = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True))
-    return scores
+    _, scores = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True), max_iter=ROUNDS)
+    return rounded_scores(scores)
 
 
-@register("kmeans_fit")
+@register("kmeans_fit", _KMEANS + """
+SELECT cluster, size, round(mean, 6) AS mean, round(std, 6) AS std, round(max, 6) AS max, round(fake_ratio, 6) AS fake_ratio FROM cstats
+""")
 def q_kmeans_fit(spark, sf_dir):
-    model, _ = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True))
-    return model.stats_df(spark)
+    model, _ = ClusterDetector.fit(corpus(spark, sf_dir, by_doc=True), max_iter=ROUNDS)
+    return model.stats_df(spark).select("cluster", "size", *[r6(c).alias(c) for c in ("mean", "std", "max", "fake_ratio")])
 
 
 @register("forest_fit")

@@ -52,8 +52,8 @@ weights AS (SELECT doc_id, is_fake, lang, term_id,
                    x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight FROM xw)"""
 
 
-def scoring_ctes() -> str:
-    """CTEs after ``detector_ctes``: moments .. scores with class-mean centroids."""
+def moment_ctes() -> str:
+    """CTEs after ``detector_ctes``: moments and scaled."""
     return f"""
 means AS (SELECT term_id, sum(weight) / (SELECT n FROM ndocs) AS mean, count(*) AS m
           FROM weights GROUP BY term_id),
@@ -67,27 +67,73 @@ moments AS (SELECT term_id, mean, sqrt(var) AS std,
                         THEN 1.0::DOUBLE ELSE sqrt(var) END AS scale
             FROM msum),
 scaled AS (SELECT w.doc_id, w.is_fake, w.term_id, w.weight / m.scale AS v
-           FROM weights w JOIN moments m ON w.term_id = m.term_id),
+           FROM weights w JOIN moments m ON w.term_id = m.term_id)"""
+
+
+def distance_ctes(centroids: str, clusters: str, name: str) -> str:
+    """CTEs ``{name}_d2`` (doc_id, is_fake, cluster, d2) to the centroids of a CTE, and ``{name}`` (the nearest, with distance).
+
+    ``clusters``: SQL list of the cluster numbers; one without centroid rows is the zero vector.
+    """
+    return f"""
+{name}_pairs AS (SELECT doc_id, is_fake, CAST(unnest({clusters}) AS INTEGER) AS cluster FROM corpus),
+{name}_cc AS (SELECT cluster, sum(value * value) AS cc FROM {centroids} GROUP BY cluster),
+{name}_dots AS (SELECT s.doc_id, c.cluster, sum(s.v * c.value) AS dot
+                FROM scaled s JOIN {centroids} c ON s.term_id = c.term_id GROUP BY s.doc_id, c.cluster),
+{name}_raw AS (SELECT a.doc_id, a.is_fake, a.cluster,
+                      coalesce(vv.vv, 0) - 2 * coalesce(d.dot, 0) + coalesce(k.cc, 0) AS raw, coalesce(vv.vv, 0) + coalesce(k.cc, 0) AS mag
+               FROM {name}_pairs a LEFT JOIN {name}_cc k ON a.cluster = k.cluster LEFT JOIN vv ON vv.doc_id = a.doc_id
+               LEFT JOIN {name}_dots d ON d.doc_id = a.doc_id AND d.cluster = a.cluster),
+{name}_d2 AS MATERIALIZED (SELECT doc_id, is_fake, cluster, CASE WHEN raw <= 1e-9 * mag THEN 0.0::DOUBLE ELSE raw END AS d2 FROM {name}_raw),
+{name} AS MATERIALIZED (SELECT doc_id, is_fake, cluster, sqrt(d2) AS distance
+             FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, cluster) AS rk FROM {name}_d2)
+             WHERE rk = 1)"""
+
+
+def class_mean_ctes() -> str:
+    """CTEs after ``moment_ctes``: centroids of the two classes, assigned."""
+    return f"""
 sizes AS (SELECT CAST(is_fake AS INTEGER) AS cluster, count(*) AS size FROM corpus GROUP BY 1),
 centroids AS (SELECT c.cluster, s.term_id, sum(s.v) / any_value(c.size) AS value
               FROM scaled s JOIN sizes c ON CAST(s.is_fake AS INTEGER) = c.cluster
               GROUP BY c.cluster, s.term_id),
-cc AS (SELECT cluster, sum(value * value) AS cc FROM centroids GROUP BY cluster),
 vv AS (SELECT doc_id, sum(v * v) AS vv FROM scaled GROUP BY doc_id),
-dots AS (SELECT s.doc_id, c.cluster, sum(s.v * c.value) AS dot
-         FROM scaled s JOIN centroids c ON s.term_id = c.term_id GROUP BY s.doc_id, c.cluster),
-pairs AS (SELECT doc_id, is_fake, unnest([0, 1]) AS cluster FROM corpus),
-d2raw AS (SELECT a.doc_id, a.is_fake, k.cluster,
-                 coalesce(vv.vv, 0) - 2 * coalesce(dots.dot, 0) + k.cc AS raw,
-                 coalesce(vv.vv, 0) + k.cc AS mag
-          FROM pairs a JOIN cc k ON a.cluster = k.cluster
-          LEFT JOIN vv ON vv.doc_id = a.doc_id
-          LEFT JOIN dots ON dots.doc_id = a.doc_id AND dots.cluster = k.cluster),
-d2 AS (SELECT doc_id, is_fake, cluster,
-              CASE WHEN raw <= 1e-9 * mag THEN 0.0::DOUBLE ELSE raw END AS d2 FROM d2raw),
-assigned AS (SELECT doc_id, is_fake, cluster, sqrt(d2) AS distance
-             FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, cluster) AS rk FROM d2)
-             WHERE rk = 1),
+{distance_ctes("centroids", "[0, 1]", "assigned").strip()}"""
+
+
+def kmeans_ctes(rounds: int, seed: int = 42) -> str:
+    """CTEs after ``moment_ctes``: k-means++ by hashed chances, ``rounds`` Lloyd rounds, assigned."""
+    parts = ["""
+vv AS MATERIALIZED (SELECT doc_id, sum(v * v) AS vv FROM scaled GROUP BY doc_id),
+kk AS (SELECT CAST(least(8, greatest(3, count(*) // 1000)) AS INTEGER) AS k FROM corpus)""", f"""
+seed1 AS MATERIALIZED (SELECT 0 AS cluster, doc_id FROM corpus ORDER BY md5('{seed}:' || doc_id) LIMIT 1)"""]
+    for j in range(1, 8):
+        parts.append(f"""
+points{j} AS MATERIALIZED (SELECT s.cluster, x.term_id, x.v AS value FROM seed{j} s JOIN scaled x ON x.doc_id = s.doc_id)""")
+        parts.append(distance_ctes(f"points{j}", f"range(0, {j})", f"near{j}"))
+        parts.append(f"""
+seed{j + 1} AS MATERIALIZED (
+  SELECT cluster, doc_id FROM seed{j}
+  UNION ALL
+  SELECT * FROM (SELECT {j} AS cluster, doc_id FROM near{j} WHERE distance > 0 AND (SELECT k FROM kk) > {j}
+   ORDER BY -ln((CAST(('0x' || substr(md5('{seed}:{j}:' || doc_id), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / (distance * distance) LIMIT 1))""")
+    parts.append("""
+cent0 AS MATERIALIZED (SELECT s.cluster, x.term_id, x.v AS value FROM seed8 s JOIN scaled x ON x.doc_id = s.doc_id)""")
+    for r in range(rounds):
+        parts.append(distance_ctes(f"cent{r}", "range(0, (SELECT k FROM kk))", f"round{r}"))
+        parts.append(f"""
+sizes{r} AS (SELECT cluster, count(*) AS n FROM round{r} GROUP BY cluster),
+cent{r + 1} AS MATERIALIZED (
+  SELECT a.cluster, x.term_id, sum(x.v) / any_value(n.n) AS value
+  FROM round{r} a JOIN scaled x ON x.doc_id = a.doc_id JOIN sizes{r} n ON n.cluster = a.cluster GROUP BY a.cluster, x.term_id
+  UNION ALL SELECT cluster, term_id, value FROM cent{r} WHERE cluster NOT IN (SELECT cluster FROM sizes{r}))""")
+    parts.append(distance_ctes(f"cent{rounds}", "range(0, (SELECT k FROM kk))", "assigned"))
+    return ",".join(parts)
+
+
+def score_ctes() -> str:
+    """CTEs after ``assigned``: cluster statistics and scores."""
+    return f"""
 cstats AS (SELECT cluster, count(*) AS size, avg(distance) AS mean, stddev_pop(distance) AS std,
                   max(distance) AS max, avg(CAST(is_fake AS DOUBLE)) AS fake_ratio
            FROM assigned GROUP BY cluster),
@@ -98,3 +144,8 @@ zs AS (SELECT a.doc_id, a.is_fake, a.cluster, a.distance, s.fake_ratio AS cluste
                    ELSE 'nan'::DOUBLE END AS z_score
        FROM assigned a JOIN cstats s ON a.cluster = s.cluster),
 scores AS (SELECT *, (cluster_fake_ratio + 1.0 / (1.0 + exp(2.0 - z_score))) / 2.0 AS fake_score FROM zs)"""
+
+
+def scoring_ctes() -> str:
+    """CTEs after ``detector_ctes``: moments .. scores with class-mean centroids."""
+    return ",".join(part.rstrip() for part in (moment_ctes(), class_mean_ctes(), score_ctes()))
