@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credence.session import check_broadcast_size
+from credence.session import check_broadcast_size, materialize
 from credence.functions.text import (NULL_TEXT, clean_words, ngrams_1_2, unicode_tokens,
                                      weighted_text)
 
@@ -105,17 +105,64 @@ class Vocabulary:
             rows, "term_id int, term string, df bigint, n bigint, idf double")
 
 
+# Terms that may be left to order once the cut is narrowed this far.
+CUT_ROWS = 4096
+_OCTAVE = 8               # buckets for each doubling of the corpus count
+_RANGES = 4096            # equal count ranges of one narrowing step
+_CUT_BYTES = 2            # bytes of the term that one narrowing step among equal counts looks at
+
+
+def _cut_bucket(buckets: list[tuple], need: int) -> tuple[object, int]:
+    """Of (bucket, rows) in order, the bucket that holds place ``need`` and the places left to take from it."""
+    for bucket, rows in buckets:
+        if need <= rows:
+            return bucket, need
+        need -= rows
+    raise AssertionError("the cut lies beyond all buckets")
+
+
 def top_terms(tf: DataFrame, max_features: int, min_df: int) -> DataFrame:
     """Top ``max_features`` terms by corpus count (ties: term ascending).
 
-    ``orderBy(..).limit(K)`` plans as TakeOrderedAndProject: every partition
-    keeps its own top K and only those K-row candidates are merged.
+    Histograms find the cut before anything is ordered: one on a logarithmic
+    scale of the counts, then of equal ranges inside the cut's bucket until a
+    single count is left, then by the leading bytes of the terms with that
+    count.  Each is one aggregation with a bounded number of buckets.  The
+    terms before the cut are a filter; at most ``CUT_ROWS`` terms (or those
+    that share every byte looked at) around it are ordered.
     """
     if not max_features or max_features <= 0:
         raise ValueError("max_features must be a positive bound: the vocabulary is broadcast")
     check_broadcast_size(max_features, "vocabulary")
-    stats = document_frequencies(tf, min_df)
-    return stats.orderBy(F.desc("n"), F.asc("term")).limit(max_features)
+    stats = materialize(document_frequencies(tf, min_df))
+
+    def counted(rows: DataFrame, bucket) -> list[tuple]:
+        return [(r["b"], r["rows"]) for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("rows")).collect()]
+
+    octave = F.floor(F.log2(F.col("n").cast("double")) * F.lit(_OCTAVE)).cast("int")
+    buckets = sorted(counted(stats, octave), reverse=True)
+    if sum(rows for _, rows in buckets) <= max_features:
+        return stats
+    sizes = dict(buckets)
+    at, need = _cut_bucket(buckets, max_features)
+    sure, inside, left = stats.where(octave > at), stats.where(octave == at), sizes[at]
+    while left > CUT_ROWS:
+        low, high = inside.agg(F.min("n"), F.max("n")).first()
+        if low == high:
+            break
+        width = -(-(high - low + 1) // _RANGES)
+        part = F.floor((F.col("n") - F.lit(low)) / F.lit(width)).cast("long")
+        buckets = sorted(counted(inside, part), reverse=True)
+        at, need = _cut_bucket(buckets, need)
+        left, sure, inside = dict(buckets)[at], sure.unionByName(inside.where(part > at)), inside.where(part == at)
+    place = 1
+    while left > CUT_ROWS and inside.where(F.octet_length("term") >= place).limit(1).count():
+        lead = F.hex(F.substring(F.col("term").cast("binary"), place, _CUT_BYTES))
+        buckets = sorted(counted(inside, lead))
+        at, need = _cut_bucket(buckets, need)
+        left, sure, inside = dict(buckets)[at], sure.unionByName(inside.where(lead < at)), inside.where(lead == at)
+        place += _CUT_BYTES
+    return sure.unionByName(inside.orderBy(F.desc("n"), F.asc("term")).limit(need))
 
 
 def vocabulary_df(tf: DataFrame, n_docs: int, max_features: int, min_df: int) -> DataFrame:
