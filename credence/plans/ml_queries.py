@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from credence.functions.text import synth_title
 from credence.operators import classify as K
+from credence.operators import epochs as E
 from credence.operators import sampling as M
 from credence.plans import sql as S
 from credence.plans.catalog import SCORES_SELECT, SCORES_SQL, r6, register, rounded_scores
 from credence.plans.detector import SCORE_COLUMNS, ClusterDetector
 from credence.session import checkpoint_dir
 from credence.sources.csv import read_articles, read_first_available
-from credence.sources.tables import corpus, table
+from credence.sources.tables import CORPUS_SQL, corpus, table
 from credence.streaming import scoring as ST
 
 
@@ -65,17 +66,57 @@ def q_forest_scores(spark, sf_dir):
                                      "verdict", "confidence_text")
 
 
-@register("text_classifier_eval")
+_EPOCHS = "WITH " + S.epoch_ctes(f"SELECT doc_id, text, CASE WHEN is_fake THEN 1 ELSE 0 END AS label FROM ({CORPUS_SQL})", 2, E.EPOCHS, E.STEPS, E.RATE, E.BUCKETS) + "\n"
+_HISTORY = """
+SELECT CAST(epoch AS INTEGER) AS epoch, n, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       round(log_loss, 6) AS log_loss, round(train_loss, 6) AS train_loss, epoch = (SELECT epoch FROM best) AS best
+FROM history
+"""
+_BEST_SCORES = """
+SELECT doc_id, prediction, round(p1, 6) AS p_fake, round(top_p, 6) AS class_confidence FROM scored WHERE epoch = (SELECT epoch FROM best)
+"""
+
+
+def _classified(df):
+    return df.select("doc_id", "prediction", r6("p_fake").alias("p_fake"), r6("class_confidence").alias("class_confidence"))
+
+
+@register("text_classifier_eval", _EPOCHS + _HISTORY)
 def q_text_classifier_eval(spark, sf_dir):
-    _, history = K.fit_text_classifier(_labelled(spark, sf_dir))
-    return history
+    """Training history; the oracle writes out every step."""
+    _, history = E.fit_epochs(_labelled(spark, sf_dir))
+    return history.select("epoch", "n", *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "log_loss", "train_loss")], "best")
 
 
-@register("text_classifier_scores")
+@register("text_classifier_scores", _EPOCHS + _BEST_SCORES)
 def q_text_classifier_scores(spark, sf_dir):
     data = _labelled(spark, sf_dir)
-    clf, _ = K.fit_text_classifier(data, history=False)
-    return clf.classify(data).select("doc_id", "prediction", "p_fake", "class_confidence")
+    return _classified(E.fit_epochs(data)[0].classify(data))
+
+
+@register("classifier_saved_scores", _EPOCHS + _BEST_SCORES)
+def q_classifier_saved_scores(spark, sf_dir):
+    """Fitted, saved, loaded again: the loaded classifier gives the same scores."""
+    data = _labelled(spark, sf_dir)
+    path = _folder(spark, "classifier")
+    E.fit_epochs(data)[0].save(path, spark)
+    return _classified(E.SoftmaxClassifier.load(spark, path).classify(data))
+
+
+LANGS = ("de", "en", "es", "fr")
+_LANG_EPOCHS = "WITH " + S.epoch_ctes(
+    f"SELECT doc_id, text, list_position({list(LANGS)}, lang) - 1 AS label FROM documents WHERE lang IN {LANGS}", len(LANGS), 2, 2, E.RATE, 1 << 12) + "\n"
+
+
+@register("language_classifier_scores", _LANG_EPOCHS + f"""
+SELECT doc_id, prediction, {", ".join(f"round(p{j}, 6) AS p_{name}" for j, name in enumerate(LANGS))} FROM scored WHERE epoch = (SELECT epoch FROM best)
+""")
+def q_language_classifier_scores(spark, sf_dir):
+    """Four labels: the language of every document from its words, two epochs of two steps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("lang")) - 1).alias("label_id"))
+    docs = docs.where(F.col("label_id").between(0, len(LANGS) - 1))
+    clf, _ = E.fit_epochs(docs, num_labels=len(LANGS), epochs=2, steps=2, buckets=1 << 12)
+    return clf.classify(docs).select("doc_id", "prediction", *[r6(F.col("probabilities")[j]).alias(f"p_{name}") for j, name in enumerate(LANGS)])
 
 
 @register("stream_scores")

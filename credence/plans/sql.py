@@ -149,3 +149,64 @@ scores AS (SELECT *, (cluster_fake_ratio + 1.0 / (1.0 + exp(2.0 - z_score))) / 2
 def scoring_ctes() -> str:
     """CTEs after ``detector_ctes``: moments .. scores with class-mean centroids."""
     return ",".join(part.rstrip() for part in (moment_ctes(), class_mean_ctes(), score_ctes()))
+
+
+def epoch_ctes(source: str, num_labels: int, epochs: int, steps: int, rate: float, buckets: int, seed: int = 42, batch: int = 8) -> str:
+    """CTEs of a softmax training run over ``source`` (doc_id, text, label): every step of AdamW written out.
+
+    Ends with ``history`` (one row an epoch) and ``scored`` (doc_id, label,
+    epoch, prediction, p of each label as p0, p1 ..) of all rows of ``source``.
+    The bias is bucket -1, which every row has once.
+    """
+    parts = [f"""
+src AS MATERIALIZED ({source}),
+part AS MATERIALIZED (SELECT doc_id, label, row_number() OVER (ORDER BY md5('{seed}:' || doc_id)) <= (SELECT CAST(ceil(0.1::DOUBLE * count(*)) AS BIGINT) FROM src) AS val,
+         CAST(('0x' || substr(md5('{seed}:block:' || doc_id), 1, 8)) AS BIGINT) % {steps} AS block FROM src),
+tfb AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % {buckets} AS bucket, count(*) AS tf
+        FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, 'nan')), '[\\pL\\pN_]{{2,}}')) AS term FROM src) GROUP BY ALL),
+dfb AS (SELECT bucket, count(*) AS df FROM tfb JOIN part USING (doc_id) WHERE NOT val GROUP BY bucket),
+xb AS (SELECT doc_id, bucket, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM part WHERE NOT val)) / (1.0 + coalesce(df, 0))) + 1.0) AS x FROM tfb LEFT JOIN dfb USING (bucket)),
+feats AS MATERIALIZED (
+  SELECT doc_id, label, val, block, bucket, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS x FROM xb JOIN part USING (doc_id)
+  UNION ALL SELECT doc_id, label, val, block, -1, 1.0::DOUBLE FROM part),
+w0 AS MATERIALIZED (SELECT bucket, label, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v
+       FROM (SELECT bucket, unnest(range(0, {num_labels})) AS label FROM (SELECT DISTINCT bucket FROM feats WHERE NOT val))),
+steps0 AS (SELECT 0 AS epoch, 0.0::DOUBLE AS loss WHERE FALSE)"""]
+    total = epochs * steps
+    for t in range(1, total + 1):
+        now = rate * (total - t + 1) / total
+        parts.append(f"""
+b{t} AS MATERIALIZED (SELECT * FROM feats WHERE NOT val AND block = {(t - 1) % steps}),
+z{t} AS (SELECT b.doc_id, any_value(b.label) AS y, w.label, sum(b.x * w.w) AS z FROM b{t} b JOIN w{t - 1} w USING (bucket) GROUP BY b.doc_id, w.label),
+p{t} AS MATERIALIZED (SELECT doc_id, y, label, z, max(z) OVER d + ln(sum(exp(z - top)) OVER d) AS lse, exp(z - top) / sum(exp(z - top)) OVER d AS p
+       FROM (SELECT *, max(z) OVER (PARTITION BY doc_id) AS top FROM z{t}) WINDOW d AS (PARTITION BY doc_id)),
+g{t} AS MATERIALIZED (SELECT b.bucket, p.label, sum(b.x * (p.p - CASE WHEN p.y = p.label THEN 1 ELSE 0 END)) / (SELECT count(DISTINCT doc_id) FROM b{t}) AS g
+       FROM b{t} b JOIN p{t} p USING (doc_id) GROUP BY b.bucket, p.label),
+c{t} AS MATERIALIZED (SELECT least(1.0, 1.0 / (sqrt(coalesce(sum(g * g), 0)) + 1e-6)) AS c FROM g{t}),
+w{t} AS MATERIALIZED (
+  SELECT bucket, label, w * (1 - {now!r}::DOUBLE * 0.01) - {now!r}::DOUBLE * (m / (1 - pow(0.9::DOUBLE, {t}))) / (sqrt(v / (1 - pow(0.999::DOUBLE, {t}))) + 1e-8::DOUBLE) AS w, m, v
+  FROM (SELECT w.bucket, w.label, w.w, w.m + 0.1::DOUBLE * (coalesce(g.g, 0) * c - w.m) AS m, w.v + 0.001::DOUBLE * (pow(coalesce(g.g, 0) * c, 2) - w.v) AS v
+        FROM w{t - 1} w LEFT JOIN g{t} g ON g.bucket = w.bucket AND g.label = w.label, c{t})),
+steps{t} AS MATERIALIZED (SELECT * FROM steps{t - 1} UNION ALL
+       SELECT {(t - 1) // steps + 1}, l FROM (SELECT avg(lse - z) AS l FROM p{t} WHERE label = y) WHERE l IS NOT NULL)""")
+    union = " UNION ALL ".join(f"SELECT {e} AS epoch, bucket, label, w FROM w{e * steps}" for e in range(1, epochs + 1))
+    p_of = ", ".join(f"max(CASE WHEN label = {j} THEN p END) AS p{j}" for j in range(num_labels))
+    parts.append(f"""
+we AS ({union}),
+every AS (SELECT CAST(unnest(range(1, {epochs + 1})) AS INTEGER) AS epoch, doc_id, label AS y, val FROM part),
+labels_ AS (SELECT epoch, doc_id, y, val, CAST(unnest(range(0, {num_labels})) AS INTEGER) AS label FROM every),
+ze AS (SELECT f.doc_id, we.epoch, we.label, sum(f.x * we.w) AS z FROM feats f JOIN we USING (bucket) GROUP BY ALL),
+zall AS MATERIALIZED (SELECT l.epoch, l.doc_id, l.y, l.val, l.label, coalesce(ze.z, 0) AS z FROM labels_ l LEFT JOIN ze USING (epoch, doc_id, label)),
+pall AS MATERIALIZED (SELECT epoch, doc_id, y, val, label, z, exp(z - top) / sum(exp(z - top)) OVER d AS p, top + ln(sum(exp(z - top)) OVER d) - z AS nll
+         FROM (SELECT *, max(z) OVER (PARTITION BY epoch, doc_id) AS top FROM zall) WINDOW d AS (PARTITION BY epoch, doc_id)),
+scored AS MATERIALIZED (SELECT epoch, doc_id, y, val, CAST(arg_min(label, struct_pack(a := -z, b := label)) AS INTEGER) AS prediction, max(p) AS top_p, {p_of},
+                  max(CASE WHEN label = y THEN nll END) AS nll FROM pall GROUP BY epoch, doc_id, y, val),
+counted AS (SELECT epoch, count(*) AS n, avg(CASE WHEN prediction = y THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, count_if(prediction = 1 AND y = 1) AS tp,
+                   count_if(prediction = 1 AND y <> 1) AS fp, count_if(prediction <> 1 AND y = 1) AS fn FROM scored WHERE val GROUP BY epoch),
+batched AS (SELECT epoch, avg(l) AS log_loss FROM (SELECT epoch, b, avg(nll) AS l FROM
+            (SELECT epoch, nll, (row_number() OVER (PARTITION BY epoch ORDER BY doc_id) - 1) // {batch} AS b FROM scored WHERE val) GROUP BY epoch, b) GROUP BY epoch),
+history AS (SELECT epoch, n, accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+                   CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1, log_loss, train_loss
+            FROM counted JOIN batched USING (epoch) JOIN (SELECT epoch, avg(loss) AS train_loss FROM steps{total} GROUP BY epoch) USING (epoch)),
+best AS (SELECT epoch FROM history ORDER BY accuracy DESC, epoch LIMIT 1)""")
+    return ",".join(p.strip() for p in parts)
