@@ -1,211 +1,40 @@
-"""Supervised text classifiers.
+"""Supervised text classifiers (R1-R4, X1-X5, S8), in one place.
 
-Both classifiers are Spark ML ``PipelineModel``s built from JVM stages:
-tokenizer -> fixed vocabulary counts -> smooth IDF -> L2 norm -> estimator.
+* ``fit_forest``: plain Unicode word tokens, top-1000 vocabulary, random forest
+  (100 trees, seed 42, sqrt feature subsets), trees fitted by tasks and kept
+  as a table.
+* ``fit_epochs``: the sequence classifier's training loop on hashed features,
+  any number of labels, evaluated after every epoch on the held-out split.
+* ``classify_with``: a user's own batch model on fixed-length encodings.
 
-* forest: plain Unicode word tokens, top-1000 vocabulary, random forest
-  (100 trees, seed 42, sqrt feature subsets).
-* text classifier: the sequence-classifier task re-aimed at a cluster table:
-  tokens truncated to the encoder length, a bounded vocabulary, logistic
-  regression; trained on the training split and evaluated every epoch on the
-  held-out split (accuracy, precision, recall, F1, cross-entropy).
-
-A user's own batch model (e.g. a neural network) plugs in through
-``predict_batch_udf`` on the fixed-length token encoding (``classify_with``).
+Both classifiers classify rows where they are, load from where they were
+saved, and have ``predict_one`` for a single text.
 """
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from credence.functions import labels as L
 from credence.operators import evaluate as V
-from credence.operators import sampling as M
-from credence.operators import tfidf as X
-from credence.operators import vectors as VF
+from credence.operators.epochs import ADDED, SoftmaxClassifier, fit_epochs
+from credence.operators.forest import Forest, fit_forest
 
-# Forest and sequence-classifier settings.
-FOREST_TREES = 100
-FOREST_SEED = 42
-FOREST_SUBSET = "sqrt"
-FOREST_MAX_DEPTH = 30          # deepest tree Spark allows (the usual default is unlimited)
+__all__ = ["ADDED", "Forest", "SoftmaxClassifier", "classify_with", "fit_epochs", "fit_forest", "forest_trees"]
+
+# Sequence-classifier settings.
 SEQ_MAX_LENGTH = 512
-SEQ_EPOCHS = 3
-SEQ_VOCAB = 20000
-SEQ_NUM_LABELS = 2
 # End of fixed values.
 
-ADDED = ("prediction", "probabilities", "class_confidence", "p_fake", "verdict", "confidence_text")
-_TOKEN_PATTERN = "([\\\\p{L}\\\\p{N}_]{2,})"
-
-
-def token_stage(text_col: str = "text", out: str = "terms", max_tokens: int | None = None):
-    """SQL stage: lower-cased Unicode word tokens, optionally truncated."""
-    expr = f"regexp_extract_all(lower({text_col}), '{_TOKEN_PATTERN}', 1)"
-    if max_tokens:
-        expr = f"slice({expr}, 1, {int(max_tokens)})"
-    return SQLTransformer(statement=f"SELECT *, {expr} AS {out} FROM __THIS__")
-
-
-def _document(df: DataFrame, title_col: str | None, text_col: str) -> DataFrame:
-    return df.withColumn("_document", _document_text(df, title_col, text_col))
-
-
-def _document_text(df: DataFrame, title_col: str | None, text_col: str):
-    """The text to classify; a missing text reads as ``'nan'``, as elsewhere in the library."""
-    from credence.functions.text import optional_title_text, stringify
-    text = stringify(text_col)
-    return optional_title_text(title_col, text) if title_col and title_col in df.columns else text
-
-
-def _fit_token_vocab(train: DataFrame, max_tokens: int | None, max_features: int,
-                     min_df: int) -> X.Vocabulary:
-    tokens = token_stage("_document", "terms", max_tokens).transform(train.select("doc_id", "_document"))
-    tf = X.term_frequencies(tokens.select("doc_id", "terms"))
-    return X.fit_vocabulary(tf, train.count(), max_features, min_df)
-
-
-@dataclass
-class TextClassifier:
-    """A fitted pipeline plus the metadata needed to score and to reload."""
-
-    pipeline: PipelineModel
-    title_col: str | None = "title"
-    text_col: str = "text"
-    kind: str = "forest"
-    num_labels: int = 2
 
-    def classify(self, df: DataFrame) -> DataFrame:
-        """Adds prediction, probabilities, class_confidence, p_fake, verdict, confidence_text.
-
-        Caller columns of other names stay as they are; one of these names is
-        replaced.  A NULL text is classified as the text 'nan'.
-        """
-        # The caller's row travels in one struct, so its names cannot meet those of the pipeline.
-        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-                         _document_text(df, self.title_col, self.text_col).alias("_document"))
-        out = (self.pipeline.transform(rows)
-               .withColumn("probabilities", vector_to_array("probability"))
-               .withColumn("prediction", F.col("prediction").cast("int"))
-               .withColumn("class_confidence", L.predicted_confidence("prediction", "probabilities"))
-               .withColumn("p_fake", F.col("probabilities")[1])
-               .withColumn("verdict", L.verdict("prediction"))
-               .withColumn("confidence_text", L.percent_text("class_confidence")))
-        own = [c for c in df.columns if c not in ADDED]
-        return out.select(*[F.col("_row").getField(c).alias(c) for c in own], *ADDED)
-
-    def predict_one(self, spark: SparkSession, text: str, title: str | None = None) -> dict:
-        """Classify one text -> {is_fake, confidence, probabilities, verdict, confidence_text}."""
-        one = spark.createDataFrame([(0, title or "", text)], "doc_id bigint, title string, text string")
-        r = self.classify(one).collect()[0]
-        return {"is_fake": bool(r["prediction"]), "confidence": r["class_confidence"],
-                "probabilities": list(r["probabilities"]), "verdict": r["verdict"],
-                "confidence_text": r["confidence_text"]}
-
-    def save(self, path: str, spark: SparkSession) -> None:
-        """Pipeline via the ML writer, metadata as a one-row parquet table."""
-        self.pipeline.write().overwrite().save(f"{path}/model")
-        meta = {"kind": self.kind, "num_labels": self.num_labels,
-                "title_col": self.title_col, "text_col": self.text_col}
-        spark.createDataFrame([(json.dumps(meta),)], "metadata string") \
-            .coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "TextClassifier":
-        meta = json.loads(spark.read.parquet(f"{path}/metadata").collect()[0]["metadata"])
-        return cls(PipelineModel.load(f"{path}/model"), meta["title_col"], meta["text_col"],
-                   meta["kind"], int(meta["num_labels"]))
-
-
-def fit_forest(train: DataFrame, label_col: str = "label_id", title_col: str | None = "title",
-               text_col: str = "text", trees: int = FOREST_TREES, seed: int = FOREST_SEED,
-               max_features: int = X.FOREST_MAX_FEATURES, max_depth: int = FOREST_MAX_DEPTH,
-               ) -> TextClassifier:
-    """Random forest on TF-IDF of the top ``max_features`` word tokens."""
-    docs = _document(train, title_col, text_col)
-    vocab = _fit_token_vocab(docs, None, max_features, X.FOREST_MIN_DF)
-    stages = [token_stage("_document", "terms"), *VF.tfidf_stages(vocab, "terms", "features")]
-    feats = PipelineModel(stages=stages).transform(docs)
-    rf = RandomForestClassifier(numTrees=trees, seed=seed, featureSubsetStrategy=FOREST_SUBSET,
-                                maxDepth=max_depth, labelCol=label_col, featuresCol="features",
-                                impurity="gini", bootstrap=True,
-                                # deep trees: keep node ids with the rows (checkpointed every
-                                # 10 levels) and split more nodes per pass over the data
-                                cacheNodeIds=True, maxMemoryInMB=1024)
-    model = rf.fit(feats.select("features", F.col(label_col).cast("double").alias(label_col)))
-    return TextClassifier(PipelineModel(stages=stages + [model]), title_col, text_col, "forest")
-
-
-def forest_trees(clf: TextClassifier, spark: SparkSession) -> DataFrame:
+def forest_trees(forest: Forest, spark: SparkSession) -> DataFrame:
     """(tree, num_nodes, depth) of a fitted forest (one row per tree)."""
-    rf = clf.pipeline.stages[-1]
-    return spark.createDataFrame([(i, t.numNodes, t.depth) for i, t in enumerate(rf.trees)],
-                                 "tree int, num_nodes int, depth int")
-
-
-def fit_text_classifier(train: DataFrame, val: DataFrame | None = None, label_col: str = "label_id",
-                        title_col: str | None = None, text_col: str = "text",
-                        epochs: int = SEQ_EPOCHS, iters_per_epoch: int = 10,
-                        max_tokens: int | None = None, max_features: int = SEQ_VOCAB,
-                        reg: float = 1e-3, history: bool = True) -> tuple[TextClassifier, DataFrame]:
-    """Train with a validation set (given, or the seeded 10 % split).
-
-    The whole text of every article is used; ``max_tokens`` optionally keeps
-    only the first tokens, as a fixed-length sequence model would.
-
-    Epoch e is the model after ``e * iters_per_epoch`` optimiser iterations;
-    each epoch is evaluated on the validation rows.  Returns the last model
-    and the per-epoch history (epoch, n, accuracy, precision, recall, f1,
-    log_loss, train_loss).  With ``history=False`` only the last epoch is
-    fitted and evaluated (the returned model is the same).
-    """
-    if val is None:
-        train, val = M.split_exact(train)
-    train_docs = _document(train, title_col, text_col)
-    vocab = _fit_token_vocab(train_docs, max_tokens, max_features, 1)
-    stages = [token_stage("_document", "terms", max_tokens),
-              *VF.tfidf_stages(vocab, "terms", "features")]
-    prep = PipelineModel(stages=stages)
-    feats = prep.transform(train_docs).select(
-        "features", F.col(label_col).cast("double").alias(label_col)).persist()
-    rows, model = [], None
-    try:
-        for e in range(1 if history else epochs, epochs + 1):
-            lr = LogisticRegression(maxIter=e * iters_per_epoch, regParam=reg, labelCol=label_col,
-                                    featuresCol="features", family="binomial")
-            model = lr.fit(feats)
-            clf = TextClassifier(PipelineModel(stages=stages + [model]), title_col, text_col, "logistic")
-            scored = clf.classify(val).select(F.col(label_col).cast("int").alias("truth"),
-                                              "prediction", "probabilities")
-            scored = scored.persist()
-            m = V.binary_metrics(scored).collect()[0].asDict()        # one row each
-            m.update(V.log_loss(scored).collect()[0].asDict())
-            scored.unpersist()
-            m.update(epoch=e, train_loss=float(model.summary.objectiveHistory[-1]))
-            rows.append(m)
-    finally:
-        feats.unpersist()
-    spark = train.sparkSession
-    hist = spark.createDataFrame(
-        [(h["epoch"], h["n"], h["accuracy"], h["precision"], h["recall"], h["f1"],
-          h["log_loss"], h["train_loss"]) for h in rows],
-        "epoch int, n bigint, accuracy double, precision double, recall double, f1 double, "
-        "log_loss double, train_loss double")
-    return TextClassifier(PipelineModel(stages=stages + [model]), title_col, text_col,
-                          "logistic"), hist
+    return forest.nodes(spark).groupBy("tree").agg(F.count(F.lit(1)).alias("num_nodes"), F.max("depth").alias("depth"))
 
 
-def classify_with(encoded: DataFrame, make_predict_fn, num_labels: int = SEQ_NUM_LABELS,
-                  batch_size: int = 8, input_col: str = "input_ids",
+def classify_with(encoded: DataFrame, make_predict_fn, batch_size: int = 8, input_col: str = "input_ids",
                   max_length: int = SEQ_MAX_LENGTH) -> DataFrame:
     """Score fixed-length encodings with a user batch model.
 

@@ -725,36 +725,40 @@ def q_split_validation(spark, sf_dir):
     return M.split_exact(corpus(spark, sf_dir).select("doc_id"))[1]
 
 
-ENCODE_VOCAB = 5000
 ENCODE_LEN = 512
 
-
-@register("encode_fixed", WITH_CORPUS + f""", tok AS (
+ENCODE_SQL = WITH_CORPUS + f""", tok AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}') AS t FROM corpus),
 tfc AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM tok) GROUP BY ALL),
 vocab AS (SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, term
-          FROM (SELECT term, sum(tf) AS n FROM tfc GROUP BY term ORDER BY n DESC, term LIMIT {ENCODE_VOCAB})),
+          FROM (SELECT DISTINCT term FROM tfc)),
 body AS (SELECT doc_id, t[1:{ENCODE_LEN - 2}] AS b FROM tok),
 pos AS (SELECT doc_id, unnest(b) AS term, unnest(range(1, len(b) + 1)) AS p FROM body),
 ids AS (SELECT pos.doc_id, pos.p, coalesce(v.term_id + {E.FIRST_TERM_ID}, {E.UNK_ID}) AS tid
         FROM pos LEFT JOIN vocab v ON pos.term = v.term),
 seqs AS (SELECT b.doc_id, [{E.BOS_ID}] || coalesce(list(ids.tid ORDER BY ids.p) FILTER (WHERE ids.tid IS NOT NULL), []) || [{E.EOS_ID}] AS s
          FROM body b LEFT JOIN ids ON b.doc_id = ids.doc_id GROUP BY b.doc_id)
+"""
+
+
+@register("encode_fixed", ENCODE_SQL + f"""
 SELECT doc_id, CAST(len(s) AS INTEGER) AS n_tokens,
        array_to_string(s || list_transform(range({ENCODE_LEN} - len(s)), lambda x: {E.PAD_ID}), ' ') AS input_ids,
        array_to_string(list_transform(range(len(s)), lambda x: 1) || list_transform(range({ENCODE_LEN} - len(s)), lambda x: 0), ' ') AS attention_mask
 FROM seqs
 """)
 def q_encode_fixed(spark, sf_dir):
-    c = corpus(spark, sf_dir, by_doc=True)
-    tokens = X.token_terms(c)
-    tf = X.term_frequencies(tokens)
-    vocab = X.fit_vocabulary(tf, 0, ENCODE_VOCAB, 1).to_df(spark)
-    enc = E.encode_fixed(tokens, vocab, ENCODE_LEN)
+    enc = encoded_corpus(spark, sf_dir)
     as_text = lambda col: F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
     return enc.select("doc_id", "n_tokens", as_text(F.col("input_ids")).alias("input_ids"),
                       as_text(F.col("attention_mask")).alias("attention_mask"))
 
 
+def encoded_corpus(spark, sf_dir) -> DataFrame:
+    """The corpus encoded by the vocabulary of all its tokens."""
+    tokens = X.token_terms(corpus(spark, sf_dir, by_doc=True))
+    return E.encode_fixed(tokens, E.full_vocabulary(X.term_frequencies(tokens)), ENCODE_LEN)
+
+
 # Model-backed queries register themselves into the same registry.
 from credence.plans import ml_queries as _ml_queries  # noqa: E402,F401

@@ -210,3 +210,27 @@ history AS (SELECT epoch, n, accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp)
             FROM counted JOIN batched USING (epoch) JOIN (SELECT epoch, avg(loss) AS train_loss FROM steps{total} GROUP BY epoch) USING (epoch)),
 best AS (SELECT epoch FROM history ORDER BY accuracy DESC, epoch LIMIT 1)""")
     return ",".join(p.strip() for p in parts)
+
+
+def unseen_ctes(centroids: str) -> str:
+    """CTEs after ``score_ctes``: ``new_scores`` of every row of ``documents`` by the model fitted on the corpus."""
+    return f"""
+nterms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({ngrams_sql()}) AS term FROM
+           (SELECT doc_id, {words_sql(weighted_sql("substring(text, 1, 100) || '...'"))} AS w FROM documents)) GROUP BY ALL),
+nweights AS (SELECT doc_id, term_id, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS weight
+             FROM (SELECT t.doc_id, v.term_id, t.tf * v.idf AS x FROM nterms t JOIN vocab v ON t.term = v.term)),
+nscaled AS MATERIALIZED (SELECT w.doc_id, w.term_id, w.weight / m.scale AS v FROM nweights w JOIN moments m ON w.term_id = m.term_id),
+nvv AS (SELECT doc_id, sum(v * v) AS vv FROM nscaled GROUP BY doc_id),
+ncc AS (SELECT cluster, sum(value * value) AS cc FROM {centroids} GROUP BY cluster),
+ndots AS (SELECT s.doc_id, c.cluster, sum(s.v * c.value) AS dot FROM nscaled s JOIN {centroids} c ON s.term_id = c.term_id GROUP BY ALL),
+npairs AS (SELECT doc_id, CAST(unnest(range(0, (SELECT k FROM kk))) AS INTEGER) AS cluster FROM documents),
+nd2 AS (SELECT p.doc_id, p.cluster, coalesce(vv, 0) - 2 * coalesce(dot, 0) + coalesce(cc, 0) AS raw, coalesce(vv, 0) + coalesce(cc, 0) AS mag
+        FROM npairs p LEFT JOIN nvv ON nvv.doc_id = p.doc_id LEFT JOIN ncc ON ncc.cluster = p.cluster LEFT JOIN ndots d ON d.doc_id = p.doc_id AND d.cluster = p.cluster),
+nnear AS (SELECT doc_id, cluster, sqrt(d2) AS distance FROM
+          (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, cluster) AS rk FROM
+           (SELECT doc_id, cluster, CASE WHEN raw <= 1e-9 * mag THEN 0.0::DOUBLE ELSE raw END AS d2 FROM nd2)) WHERE rk = 1),
+nz AS (SELECT a.doc_id, a.cluster, s.fake_ratio AS cluster_fake_ratio,
+              CASE WHEN s.std <> 0 THEN (a.distance - s.mean) / s.std WHEN a.distance > s.mean THEN 'inf'::DOUBLE WHEN a.distance < s.mean THEN '-inf'::DOUBLE
+                   WHEN s.mean IS NOT NULL THEN 'nan'::DOUBLE END AS z_score
+       FROM nnear a LEFT JOIN cstats s ON a.cluster = s.cluster),
+new_scores AS (SELECT *, (cluster_fake_ratio + 1.0 / (1.0 + exp(2.0 - z_score))) / 2.0 AS fake_score FROM nz)"""
