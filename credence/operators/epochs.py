@@ -198,8 +198,9 @@ class SoftmaxClassifier:
 
     def save(self, path: str, spark: SparkSession) -> None:
         """One row a bucket (idf and weights) and one row of metadata, as parquet tables."""
-        table = pd.DataFrame({"bucket": np.arange(len(self.idf)), "idf": self.idf, "weights": list(self.weights)})
-        spark.createDataFrame(table, "bucket int, idf double, weights array<double>").write.mode("overwrite").parquet(f"{path}/weights")
+        lists = pa.FixedSizeListArray.from_arrays(self.weights.ravel(), self.num_labels).cast(pa.list_(pa.float64()))
+        table = pa.table({"bucket": np.arange(len(self.idf), dtype=np.int32), "idf": self.idf, "weights": lists})
+        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{path}/weights")
         meta = {"model_name": self.model_name, "num_labels": self.num_labels, "bias": self.bias.tolist(), "buckets": len(self.idf),
                 "text_col": self.text_col, "title_col": self.title_col, "max_tokens": self.max_tokens}
         spark.createDataFrame([(json.dumps(meta),)], "metadata string").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")

@@ -23,7 +23,7 @@ from credence.plans import sql as S
 from credence.plans.catalog import ENCODE_LEN, ENCODE_SQL, SCORES_SELECT, SCORES_SQL, encoded_corpus, r6, register, rounded_scores
 from credence.plans.detector import SCORE_COLUMNS, ClusterDetector
 from credence.session import checkpoint_dir
-from credence.sources.csv import read_articles, read_first_available
+from credence.sources.csv import read_articles, read_checked, read_first_available
 from credence.sources.examples import PLAIN, SENSATIONAL, example_articles
 from credence.sources.tables import CORPUS_SQL, corpus, table
 from credence.streaming import scoring as ST
@@ -226,6 +226,42 @@ def q_csv_fallback_semicolon(spark, sf_dir):
     return _csv_digest(read_first_available(spark, [f"{path}-missing", path], schema=table(spark, sf_dir, "documents").schema, sep=";"))
 
 
+_CHECKED = "doc_id bigint, source string, lang string, n_chars bigint, text string"
+
+
+def _faulty_csv(spark, sf_dir) -> str:
+    """documents as CSV files in which rows lack their text, have a field too many, a word for a number, no id, or an unknown language."""
+    path = f"{_folder(spark, 'csv')}/faulty"
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    fault = F.col("doc_id") % 10
+    parts = [F.when(fault == 8, "").otherwise(F.col("doc_id").cast("string")), F.col("source"), F.when(fault == 9, "xx").otherwise(F.col("lang")),
+             F.when(fault == 7, "many").otherwise(F.col("n_chars").cast("string"))]
+    line = F.concat(F.concat_ws(",", *parts), F.when(fault == 3, "").otherwise(F.concat(F.lit(","), quoted)), F.when(fault == 5, ",surplus").otherwise(""))
+
+    def with_header(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array(["doc_id,source,lang,n_chars,text"])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+    table(spark, sf_dir, "documents").select(line.alias("value")).mapInArrow(with_header, "value string").write.text(path)
+    return path
+
+
+@register("csv_rejected_rows", """
+SELECT CASE doc_id % 10 WHEN 3 THEN 'fields' WHEN 5 THEN 'fields' WHEN 7 THEN 'type:n_chars' WHEN 8 THEN 'missing:doc_id' WHEN 9 THEN 'check:language' ELSE 'good' END AS outcome,
+       CASE WHEN doc_id % 10 <> 8 THEN CAST(doc_id AS VARCHAR) END AS doc_id, CASE WHEN doc_id % 10 = 9 THEN 'xx' ELSE lang END AS lang,
+       CASE WHEN doc_id % 10 = 7 THEN 'many' ELSE CAST(n_chars AS VARCHAR) END AS n_chars, CASE WHEN doc_id % 10 <> 3 THEN sha256(text) END AS text_sha256,
+       doc_id % 10 IN (3, 5) AS raw_kept
+FROM documents
+""")
+def q_csv_rejected_rows(spark, sf_dir):
+    """Good and rejected rows of a CSV with planted faults, with the reasons."""
+    good, rejected = read_checked(spark, _faulty_csv(spark, sf_dir), _CHECKED, required=("doc_id",), checks={"language": F.col("lang").isin(*LANGS)})
+    shown = lambda df, outcome, raw: df.select(outcome.alias("outcome"), F.col("doc_id").cast("string").alias("doc_id"), "lang", F.col("n_chars").cast("string").alias("n_chars"),
+                                               F.sha2("text", 256).alias("text_sha256"), raw.alias("raw_kept"))
+    return shown(good, F.lit("good"), F.lit(False)).unionByName(shown(rejected, F.col("reason"), F.col("record").isNotNull()))
+
+
 # ---------------------------------------------------------------------------
 # One article, the example relation, a user's model, subwords
 
