@@ -9,6 +9,7 @@ texts), which bounds the memory of a task whatever the Arrow batch size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,27 +18,9 @@ U = np.uint64
 PIECE_BYTES = 1 << 20
 
 _BASE = U(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = U(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, size=256, dtype=np.uint64)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers = np.ones(1, dtype=U), np.ones(1, dtype=U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
-        made = []
-        for base in (_BASE, _BASE_INV):
-            steps = np.full(size, base, dtype=U)
-            steps[0] = 1
-            made.append(np.multiply.accumulate(steps))
-        if size > 8 * PIECE_BYTES:  # a single huge text: not kept
-            return made[0][:n], made[1][:n]
-        _powers = made[0], made[1]
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,16 +34,65 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Hashes of any spans of one symbol array from prefix sums, O(1) for each span."""
+    """64-bit hashes of any spans of one array, of bytes or of 64-bit symbols.
+
+    Eight bytes (one symbol) a round enter a chain that is mixed after each, so
+    no sum or product of positions can cancel, as it can in polynomials modulo
+    a power of two.  All spans go on together, the shorter ones drop out;
+    spans of more than ``LONG`` rounds are hashed whole by BLAKE2.
+    """
+
+    LONG = 64
 
     def __init__(self, symbols: np.ndarray):
-        up, self._down = powers(len(symbols) + 1)
-        self._sums = np.zeros(len(symbols) + 1, dtype=U)
-        np.cumsum(symbols * up[:-1], out=self._sums[1:])
+        self._symbols = symbols
+        self._width = 8 if symbols.dtype == np.uint8 else 1
+        if self._width == 8:
+            padded = np.append(symbols, np.zeros(8, np.uint8))
+            self._lanes = np.lib.stride_tricks.as_strided(padded, (len(symbols) + 1, 8), (1, 1))
+
+    def _lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        if self._width == 1:
+            return self._symbols[at]
+        lane = np.ascontiguousarray(self._lanes[at]).view("<u8").ravel()
+        short = left < 8
+        lane[short] &= (U(1) << (U(8) * left[short].astype(U))) - U(1)
+        return lane
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self._sums[end] - self._sums[start]) * self._down[start]
-        return mix(h + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        size = end - start
+        h = mix(size.astype(U) * U(0xD6E8FEB86659FD93) + U(1))
+        for i in np.flatnonzero(size > self.LONG * self._width).tolist():
+            h[i] = int.from_bytes(blake2b(self._symbols[start[i]: end[i]].tobytes(), digest_size=8).digest(), "little")
+        at = np.flatnonzero((size > 0) & (size <= self.LONG * self._width))
+        place, left = start[at], size[at]
+        while len(at):
+            h[at] = mix(h[at] * _BASE + mix(self._lane(place, left) ^ U(0xA0761D6478BD642F)))
+            on = left > self._width
+            at, place, left = at[on], place[on] + self._width, left[on] - self._width
+        return h
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each content, number of its content for every span); contents are compared, not only hashes."""
+    _, one, which = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
+    size = end - start
+    other = size != size[one][which]
+    size = np.where(other, 0, size)
+    unlike = data[ranges(start, size)] != data[ranges(start[one][which], size)]
+    if unlike.any():
+        other[np.repeat(np.arange(len(size)), size)[unlike]] = True
+    if other.any():                              # hashes that are equal by chance
+        raw, known, extra = data.tobytes(), {}, []
+        which = which.copy()
+        for i in np.flatnonzero(other).tolist():
+            text = raw[start[i]: end[i]]
+            if text not in known:
+                known[text] = len(one) + len(extra)
+                extra.append(i)
+            which[i] = known[text]
+        one = np.append(one, extra)
+    return one, which
 
 
 def byte_symbols(data: np.ndarray) -> np.ndarray:
@@ -126,12 +158,12 @@ class Words:
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:
-            self._symbol = SpanHash(byte_symbols(self.data))(self.start, self.end)
+            self._symbol = SpanHash(self.data)(self.start, self.end)
         return self._symbol
 
 
 def gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
-    """A hash of every k consecutive symbols (len - k + 1 of them)."""
+    """A hash of every k consecutive symbols (len - k + 1 of them), by doubling; the fold after each product keeps sums from cancelling."""
     n = len(symbols) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=U)
@@ -142,6 +174,7 @@ def gram_hash(symbols: np.ndarray, k: int) -> np.ndarray:
             done += size
         if 2 * size <= k:
             part = part[:-size] * U(base) + part[size:]
+            part ^= part >> U(32)
         base = base * base % (1 << 64)
         size *= 2
     return mix(out)

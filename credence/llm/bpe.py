@@ -83,7 +83,7 @@ class Codec:
         self.decimal_bytes, self.decimal_size = np.frombuffer(b"".join(text), np.uint8), np.array([len(t) for t in text], dtype=np.int64)
         self.decimal_end = np.cumsum(self.decimal_size)
         real = np.flatnonzero(size)
-        keys = A.SpanHash(A.byte_symbols(self.token_bytes))((self.token_end - size)[real], self.token_end[real])
+        keys = A.SpanHash(self.token_bytes)((self.token_end - size)[real], self.token_end[real])
         self.whole = PerfectHash(keys)
         self.rank_at = np.empty(len(real), dtype=np.int64)
         self.rank_at[self.whole.index(keys)] = real
@@ -130,7 +130,7 @@ class Codec:
         raw = [t.encode("utf-8") for t in fresh]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         end = np.cumsum(size)
-        at = self.whole.find(A.SpanHash(A.byte_symbols(np.frombuffer(b"".join(raw), np.uint8)))(end - size, end))
+        at = self.whole.find(A.SpanHash(np.frombuffer(b"".join(raw), np.uint8))(end - size, end))
         rank = np.where(at >= 0, self.rank_at[at], -1).tolist()
         for t, r, i in zip(fresh, raw, rank):
             self.memo[t] = (i,) if i >= 0 and self.tokens[i] == r else self.merge(r)
@@ -141,7 +141,7 @@ class Codec:
             self.clear()
         start = cuts(data, offsets)
         end = np.append(start[1:], len(data))
-        _, one, which = np.unique(A.SpanHash(A.byte_symbols(data))(start, end), return_index=True, return_inverse=True)
+        one, which = A.distinct_spans(data, start, end)
         raw, find, memo = data.tobytes(), self.pattern.findall, self.memo
         parts = [find(raw[a:b].decode("utf-8")) for a, b in zip(start[one].tolist(), end[one].tolist())]
         fresh = list({t for p in parts for t in p if t not in memo})

@@ -9,7 +9,8 @@ the order by three more bytes, and no suffixes are sorted again.  Two
 neighbours stay in one interval only while they had the same symbol and came
 from one interval, so after the passes that make up ``window`` bytes the intervals are exactly the
 suffixes that share ``window`` bytes: their common prefix is at least that
-long.  The smallest doc_id of an interval answers all its windows.
+long.  A pass carries only the suffixes from which a window's start is still
+reached.  The smallest doc_id of an interval answers all its windows.
 """
 
 from __future__ import annotations
@@ -26,36 +27,34 @@ STEPS = 3                                # bytes moved by one pass
 SHARD_BYTES = 1 << 18
 
 
-def suffix_order(codes: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Suffixes of a shard in order; equal ones by position.
+def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
+    """Places of a shard in the order of at least ``depth`` bytes from them on; equal ones by place.
 
-    ``codes``: symbols from 1, 0 for the pads; ``left``: symbols from each
-    position to the end of its segment (0 or less at pads).  Prefix doubling:
-    each round sorts only the suffixes that still share their rank.
+    Bytes after a segment's end count like others: what is read of the order
+    never depends on them.  Prefix doubling from eight bytes; each round sorts
+    only the places that still share their rank.
     """
-    n = len(codes)
-    packed = np.zeros(n, dtype=np.int64)
-    for j in range(7):
-        packed <<= 9
-        packed[: n - j] |= np.where(left[: n - j] > j, codes[j:], 0)
+    n = len(data)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    packed = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, (n, 8), (1, 1))).view(">u8").ravel().astype(np.uint64)
     order = np.argsort(packed)
-    rank = np.empty(n, dtype=np.int64)                  # first place of the suffixes that share it
+    rank = np.empty(n + 1, dtype=np.int64)              # first place of the suffixes that share it; of the end: before all
+    rank[n] = -1
     start, end = A.runs_of(packed[order])
     rank[order] = np.repeat(start, end - start)
-    h = 7
+    h = 8
     while True:
-        tied = np.repeat(end - start > 1, end - start)
-        slots = np.flatnonzero(tied)
+        slots = np.flatnonzero(np.repeat(end - start > 1, end - start))
         if not len(slots):
             return order
         at = order[slots]
-        done = h >= left[at].max()
-        after = np.where(left[at] > h, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        by = np.lexsort((at, rank[at])) if done else np.lexsort((after, rank[at]))
+        if h >= depth:
+            order[slots] = at[np.lexsort((at, rank[at]))]
+            return order
+        after = rank[np.minimum(at + h, n)]
+        by = np.argsort(rank[at] * (n + 1) + after)
         at, after = at[by], after[by]
         order[slots] = at
-        if done:
-            return order
         s, e = A.runs_of(rank[at], after)
         rank[at] = np.repeat(slots[s], e - s)
         start, end = _place_runs(n, slots, s, e)
@@ -71,51 +70,58 @@ def _place_runs(n: int, slots: np.ndarray, s: np.ndarray, e: np.ndarray) -> tupl
     return start, np.append(start[1:], n)
 
 
-def _transforms(codes: np.ndarray, place: np.ndarray, order: np.ndarray, steps: int) -> np.ndarray:
-    """The ``steps`` symbols before each suffix as one symbol, in the shards' orders; the largest: none."""
+def _before(codes: np.ndarray, steps: int) -> np.ndarray:
+    """The ``steps`` symbols before each place as one symbol."""
     radix = int(codes.max(initial=0)) + 1
-    before = np.full(len(codes), radix ** steps, dtype=np.int64)
-    value = np.zeros(len(codes) - steps, dtype=np.int64)
+    value = np.zeros(len(codes), dtype=np.int64)
     for j in range(steps):
-        value = value * radix + codes[j: len(codes) - steps + j]
-    before[steps:] = np.where(place[steps:] >= steps, value, radix ** steps)
+        value[steps:] = value[steps:] * radix + codes[j: len(codes) - steps + j]
     if radix ** steps >= 1 << 16:                       # dense numbers: few of the possible symbols occur
-        present = np.unique(np.append(before, radix ** steps))
-        before = np.searchsorted(present, before)
-        top = len(present)
+        present = np.unique(value)
+        value, top = np.searchsorted(present, value), len(present)
     else:
         top = radix ** steps
-    return before[order].astype(np.uint16 if top < 1 << 16 else np.uint32)
+    return value.astype(np.uint16 if top < 1 << 16 else np.uint32)
 
 
-def merged_intervals(codes: np.ndarray, left: np.ndarray, place: np.ndarray, cuts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes in merged order, interval number of each) to a depth of ``window`` symbols.
+def merged_intervals(data: np.ndarray, place: np.ndarray, windows: np.ndarray, cuts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window starts in merged order, interval number of each) to a depth of ``window`` symbols.
 
-    ``place``: position of each symbol in its segment; ``cuts``: shard bounds.
-    Segments end in ``STEPS`` pads.
+    ``place``: position of each byte in its segment; ``windows``: number of
+    windows of its segment; ``cuts``: shard bounds.  Segments end in a pad.
+    With ``rest`` symbols still to come only the suffixes that lie
+    ``rest`` places after a window's start lead to an answer; the others are
+    left out of the pass, in the transforms as in the interleave, which keeps
+    the order of those that stay.
     """
-    n = len(codes)
-    order = np.concatenate([a + suffix_order(codes[a:b], left[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-    z = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)
-    interval = np.zeros(n, dtype=np.int32)
-    rest = window % STEPS
-    for steps, passes in ((rest, 1 if rest else 0), (STEPS, window // STEPS)):
-        if not passes:
-            continue
-        transform = _transforms(codes, place, order, steps)
-        fixed = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)[left <= steps - STEPS]
-        moving = n - len(fixed)
-        symbol = np.empty(n, dtype=transform.dtype)
-        new = np.ones(moving, dtype=np.int32)
-        for _ in range(passes):
-            symbol[np.argsort(z, kind="stable")] = transform
-            dealt = np.argsort(symbol, kind="stable")[:moving]
-            s, i = symbol[dealt], interval[dealt]
-            new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
-            z = np.concatenate([fixed, z[dealt]])
-            interval = np.concatenate([np.zeros(n - moving, np.int32), np.cumsum(new, dtype=np.int32)])
-    merged = np.empty(n, dtype=np.int64)
-    merged[np.argsort(z, kind="stable")] = order
+    # Suffixes alike in a window's bytes are in one interval throughout, in whatever order.
+    order = np.concatenate([a + suffix_order(data[a:b], window) for a, b in zip(cuts[:-1], cuts[1:])])
+    used = np.bincount(data, minlength=256) > 0
+    codes = (np.cumsum(used) - 1).astype(np.int16)[data]
+    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)      # of the entries in the shards' orders
+    past, ahead = place[order].astype(np.int32), windows[order].astype(np.int32)
+
+    def leads(rest: int) -> np.ndarray:
+        return (past >= rest) & (past - rest < ahead)
+
+    rest, made = window, {}
+    now = leads(rest)
+    z = shard[now]
+    interval, new = np.zeros(len(z), dtype=np.int32), np.ones(len(z), dtype=np.int32)
+    while rest:
+        steps = rest % STEPS or STEPS
+        if steps not in made:
+            made[steps] = _before(codes, steps)
+        symbol = np.empty(len(z), dtype=made[steps].dtype)
+        symbol[np.argsort(z, kind="stable")] = made[steps][order[now]]
+        dealt = np.argsort(symbol, kind="stable")
+        s, i = symbol[dealt], interval[dealt]
+        new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
+        z, interval = z[dealt], np.cumsum(new, dtype=np.int32)
+        rest -= steps
+        now = leads(rest)
+    merged = np.empty(len(z), dtype=np.int64)
+    merged[np.argsort(z, kind="stable")] = order[now]
     return merged, interval
 
 
@@ -124,23 +130,17 @@ def match_by_merge(window: int, shard_bytes: int = SHARD_BYTES):
         size = np.diff(offsets)
         windows = size - window + 1
         of = np.repeat(np.arange(len(size)), windows)
-        # each segment followed by its pads
-        padded = np.cumsum(size + STEPS) - (size + STEPS)
-        n = int((size + STEPS).sum())
-        used = np.unique(body)
-        code = np.zeros(256, dtype=np.int16)
-        code[used] = np.arange(1, len(used) + 1)
-        codes = np.zeros(n, dtype=np.int16)
-        codes[A.ranges(padded, size)] = code[body]
-        seg = np.repeat(np.arange(len(size)), size + STEPS)
+        # each segment followed by its pad
+        padded = np.cumsum(size + 1) - (size + 1)
+        n = int((size + 1).sum())
+        data = np.zeros(n, dtype=np.uint8)
+        data[A.ranges(padded, size)] = body
+        seg = np.repeat(np.arange(len(size)), size + 1)
         place = np.arange(n) - padded[seg]
-        left = size[seg] - place
         bounds = np.append(padded, n)
         shards = np.unique(np.searchsorted(bounds, np.arange(0, n, shard_bytes)))
         cuts = np.unique(np.append(bounds[shards], n))
-        merged, interval = merged_intervals(codes, left, place, cuts, window)
-        whole = left[merged] >= window
-        merged, interval = merged[whole], interval[whole]
+        merged, interval = merged_intervals(data, place, windows[seg], cuts, window)
         start, end = A.runs_of(interval)
         smallest = np.minimum.reduceat(low[seg[merged]], start)
         least = np.full(n, LAST_ID)

@@ -88,7 +88,7 @@ class WordEncoder:
         for m in marks:
             data[m.start(): m.end()] = 0x20
         w = A.Words(data, offsets, split=(_ALNUM, _PUNCT))
-        _, one, which = np.unique(w.symbol, return_index=True, return_inverse=True)
+        one, which = A.distinct_spans(data, w.start, w.end)
         if len(self.index) > MEMO:
             self.clear()
         raw = data.tobytes()

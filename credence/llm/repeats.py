@@ -56,9 +56,11 @@ class Units:
         self.data, self.words = data, None
         if kind == "byte":
             self.symbol, self.first = A.byte_symbols(data), offsets
+            self.digest = A.SpanHash(data)
         else:
             self.words = A.Words(data, offsets)
             self.symbol, self.first = self.words.symbol, self.words.first
+            self.digest = A.SpanHash(self.symbol)
 
     def byte_span(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the units [start, end)."""
@@ -144,7 +146,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             text, first, windows, key = segments(u, window, gram)
             keys.append(key)
             owner.append(ids[a + text])
-            segs.append(A.SpanHash(u.symbol)(first, first + windows + window - 1))
+            segs.append(u.digest(first, first + windows + window - 1))
         key, owner, seg = np.concatenate(keys), np.concatenate(owner), np.concatenate(segs)
         order = np.lexsort((seg, key))
         key, owner, seg = key[order], owner[order], seg[order]
@@ -197,11 +199,11 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             pick = wanted[place] == key
             many = pick & hot[place]
             at = A.ranges(first[many], windows[many])
-            single.append(_lowest(A.SpanHash(u.symbol)(at, at + window), *[ids[a + np.repeat(text[many], windows[many])]] * 2))
+            single.append(_lowest(A.gram_hash(u.symbol, window)[at] if len(at) else np.zeros(0, U), *[ids[a + np.repeat(text[many], windows[many])]] * 2))
             pick &= ~many
             text, first, windows, key = text[pick], first[pick], windows[pick], key[pick]
             end = first + windows + window - 1
-            seg = A.SpanHash(u.symbol)(first, end)
+            seg = u.digest(first, end)
             s, e = u.byte_span(first, end)
             got.append((seg, key, ids[a + text], s + offsets[a], e + offsets[a]))
         seg, key, owner, s, e = (np.concatenate(x) for x in zip(*got))
@@ -301,13 +303,13 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             if len(single):
                 count = np.maximum(np.diff(u.first) - window + 1, 0)
                 start, text = A.ranges(u.first[:-1], count), np.repeat(np.arange(len(count)), count)
-                own = A.SpanHash(u.symbol)(start, start + window)
+                own = A.gram_hash(u.symbol, window)[start] if len(start) else np.zeros(0, U)
                 j = np.minimum(np.searchsorted(single, own), len(single) - 1)
                 start = start[(single[j] == own) & (lowest[j] < ids[a + text])]
                 mask = A.covered(start, start + window, len(u.symbol))
             if len(seg):
                 text, first, windows, _ = segments(u, window, gram)
-                own = A.SpanHash(u.symbol)(first, first + windows + window - 1)
+                own = u.digest(first, first + windows + window - 1)
                 j = np.minimum(np.searchsorted(sorted_seg, own), len(sorted_seg) - 1)
                 hit = np.flatnonzero(sorted_seg[j] == own)
                 j = j[hit]
@@ -349,7 +351,7 @@ def digests(unit: str, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = []
     for a, b in A.pieces(offsets):
         u = Units(unit, body[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-        out.append(A.SpanHash(u.symbol)(u.first[:-1], u.first[1:]))
+        out.append(u.digest(u.first[:-1], u.first[1:]))
     return np.concatenate(out or [np.zeros(0, U)])
 
 
