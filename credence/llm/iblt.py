@@ -12,16 +12,16 @@ are made anew, four times as large.
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from credence.llm import arrays as A
-from credence.llm.blocks import block_count
+from credence.llm.blocks import block_count, shuffle_width
 
 U = np.uint64
 CELLS, HASHES, GROWTH = 24, 3, 4
@@ -138,26 +138,48 @@ def _spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def _fingerprints(cells: int, schema: pa.Schema):
-    def run(table: pa.Table) -> pa.Table:
-        frame = pd.DataFrame({"doc_id": table.column("doc_id").to_pylist(), "text": table.column("text").to_pylist(), "tail": table.column("tail").to_numpy()})
-        frame["text"] = frame["text"].fillna("")
-        frame["null"] = frame["doc_id"].isna()
-        frame["back"] = [0 if pd.isna(x) else -int(x) for x in frame["doc_id"]]
-        frame = frame.sort_values(["tail", "null", "back", "text"], kind="stable")
-        texts = frame["text"].tolist()
-        n = int((~frame["tail"]).sum())
-        after = texts[1:] + texts[:1]                     # with no tail row: the first follows the last
-        out, size = [], [len(t.encode()) for t in texts]
-        bounds = np.concatenate([[0], np.cumsum(size[:n])])
-        for a, b in A.pieces(bounds):
-            chars = [len(t) for t in texts[a:b]]
-            edited = [(t[: c - c // 3] + x[: c // 3]).encode() for t, x, c in zip(texts[a:b], after[a:b], chars)]
-            own, new, following = (paragraphs(*_spans(v)) for v in ([t.encode() for t in texts[a:b]], edited, [t.encode() for t in after[a:b]]))
-            sketch = [Sketches(x, np.repeat(np.arange(b - a), np.diff(f)), b - a, cells).text() for x, f in (own, new)]
-            out.append(pa.table([pa.array(frame["doc_id"].iloc[a:b].tolist(), schema.field("doc_id").type), pa.array(chars, pa.int64()), pa.array([sha256(e).hexdigest() for e in edited]),
-                                 *map(pa.array, sketch), pa.array(likeness(own, new)), pa.array(likeness(own, following))], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+def _versions(ids: pa.Array, texts: list[str], after: list[str], cells: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The results of some texts, each followed by its text of ``after``."""
+    bounds = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    for a, b in A.pieces(bounds):
+        chars = [len(t) for t in texts[a:b]]
+        edited = [(t[: c - c // 3] + x[: c // 3]).encode() for t, x, c in zip(texts[a:b], after[a:b], chars)]
+        own, new, following = (paragraphs(*_spans(v)) for v in ([t.encode() for t in texts[a:b]], edited, [t.encode() for t in after[a:b]]))
+        sketch = [Sketches(x, np.repeat(np.arange(b - a), np.diff(f)), b - a, cells).text() for x, f in (own, new)]
+        yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(chars, pa.int64()), pa.array([sha256(e).hexdigest() for e in edited]),
+                                          *map(pa.array, sketch), pa.array(likeness(own, new)), pa.array(likeness(own, following))], schema=schema)
+
+
+def _inside(cells: int, schema: pa.Schema):
+    """Results of all rows of a sorted partition but the last, a batch at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts = pa.array([], pa.int64()), []              # the row carried over from the batch before
+        for batch in batches:
+            ids, texts = pa.concat_arrays([ids, batch.column("doc_id")]), [*texts, *batch.column("text").to_pylist()]
+            if len(texts) > 1:
+                yield from _versions(ids[:-1], texts[:-1], texts[1:], cells, schema)
+            ids, texts = ids[-1:], texts[-1:]
+    return run
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first text and the last row of a sorted partition, with its number."""
+    from pyspark import TaskContext
+    first = last = None
+    for batch in batches:
+        if batch.num_rows:
+            first = batch.column("text")[0].as_py() if first is None else first
+            last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([first]), last.column("doc_id"), last.column("text")],
+                                         names=["part", "first", "doc_id", "text"])
+
+
+def _last(cells: int, schema: pa.Schema):
+    """Results of rows that come with the text that follows them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _versions(batch.column("doc_id"), batch.column("text").to_pylist(), batch.column("after").to_pylist(), cells, schema)
     return run
 
 
@@ -167,32 +189,26 @@ def fingerprint_versions(docs: DataFrame, cells: int = CELLS, id_col: str = "doc
     The edited text is the text with its last floor(n_chars / 3) code points
     replaced by the first as many (or all) of the next document's, in
     descending doc_id; after the last comes the first.  Rows that share a
-    doc_id follow in the order of their texts; null ids come last.  A null
-    text is empty; an empty text has an empty sketch, and two empty sketches
-    are alike (1.0).  An empty table gives an empty result.  Other columns are
-    not read.
-
-    The documents are dealt by id range into blocks.  The bounds are
-    approximate quantiles, one number for each block; a block also gets the
-    first row of the block that follows it, so no global sort is needed.
+    doc_id follow in the order of their texts' SHA-256; null ids come last.  A
+    null text is empty; an empty text has an empty sketch, and two empty
+    sketches are alike (1.0).  An empty table gives an empty result.  Other
+    columns are not read.
+
+    The rows are dealt by ranges of (doc_id, digest of the text), so null ids
+    and rows of one id spread over tasks, and sorted within each.  A task has
+    the next text of all its rows but the last; that one gets the first text
+    of the following task, one row for each task.  All uses are one query and
+    share the shuffle.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    n = block_count(docs, BLOCK_BYTES)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], F.lit(100 * n)).alias("q")).first()["q"] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(bounds, ids[known].astype(np.int64), side="left")
-        return pd.Series(out)
-
-    tops = sorted((r["block"], r["top"]) for r in docs.select("doc_id").withColumn("block", block_of("doc_id")).groupBy("block").agg(F.max("doc_id").alias("top")).where("top is not null").collect())
-    target = [(top, tops[(i + 1) % len(tops)][0]) for i, (_, top) in enumerate(tops)]
-    tails = docs.join(F.broadcast(spark.createDataFrame(target, "doc_id long, block int")), "doc_id").select("doc_id", "text", "block", F.lit(True).alias("tail"))
-    rows = docs.withColumn("block", block_of("doc_id")).withColumn("tail", F.lit(False)).unionByName(tails)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    keys = [F.col("doc_id").desc_nulls_last(), F.col("digest").asc()]
+    parts = docs.withColumn("digest", F.sha2("text", 256)).repartitionByRange(block_count(docs, BLOCK_BYTES), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     result = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     from pyspark.sql.pandas.types import to_arrow_schema
-    return rows.groupBy("block").applyInArrow(_fingerprints(cells, to_arrow_schema(spark.createDataFrame([], result).schema)), result)
+    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], result).schema)
+    edges = parts.mapInArrow(_edges, "part int, first string, doc_id long, text string").repartition(shuffle_width(docs.sparkSession), "part")
+    order = Window.orderBy("part")                              # one number for each task
+    numbers = edges.select("part").withColumn("next", F.coalesce(F.lead("part").over(order), F.min("part").over(order)))
+    last = (edges.select("part", "doc_id", "text").join(numbers, "part")
+            .join(edges.select(F.col("part").alias("next"), F.col("first").alias("after")), "next").select("doc_id", "text", "after"))
+    return parts.mapInArrow(_inside(cells, schema), result).unionByName(last.mapInArrow(_last(cells, schema), result))

@@ -134,7 +134,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
                        *[F.col(c).alias(f"keep_{c}") for c in keep if c != text_col])
     held = {c: "text" if c == text_col else f"keep_{c}" for c in keep}
     n = block_count(base)
-    base = base.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    base = base.withColumn(BLOCK, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))     # null ids and rows of one id spread, too
     blocks = base.groupBy(BLOCK)
 
     def distinct_keys(table: pa.Table) -> pa.Table:
