@@ -168,55 +168,104 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
 
 
 class Plan:
-    """Bins by kind: where the pieces of each length go, by their rank."""
+    """Bins by kind: where the pieces of each length go, by their rank.
+
+    Best-two-fit is planned twice, over all lengths at once and with pieces
+    below ``limit`` / 6 held back for the gaps that the others leave; each way
+    is also planned without the exchange of one piece for two (which leaves
+    first-fit decreasing).  The plan with the fewest sequences counts, the
+    first of equals.
+    """
 
     def __init__(self, counts: dict[int, int], limit: int):
-        self.limit, left = limit, np.zeros(limit + 2, dtype=np.int64)
+        self.limit = limit
+        left = np.zeros(limit + 2, dtype=np.int64)
         for length, n in counts.items():
             left[length] = n
+        bins = min((self._bins(left, least, two) for least, two in ((0, True), (limit // 6, True), (0, False))), key=lambda b: sum(n for _, n in b))
         taken = np.zeros(limit + 2, dtype=np.int64)
         self.slots: dict[int, list[tuple[int, int, int]]] = {}   # length: first rank, first sequence, offset
         self.sequences = 0
-        while (have := np.flatnonzero(left)).size:
-            kind = self._bin(left, have)
-            uses = Counter(kind)
-            times = int(min(left[s] // k for s, k in uses.items()))
+        for kind, times in bins:
             offset = 0
             for s in kind:
                 self.slots.setdefault(s, []).append((int(taken[s]), self.sequences, offset))
                 taken[s] += times
-                left[s] -= times
                 offset += s
             self.sequences += times
 
-    def _bin(self, left: np.ndarray, have: np.ndarray) -> list[int]:
-        left, kind, gap = left.copy(), [], self.limit
+    def _bins(self, left: np.ndarray, least: int, two: bool) -> list[tuple[list[int], int]]:
+        """(lengths of a sequence, how many such sequences): those above ``least`` first, the others into their gaps and then by themselves."""
+        large, small = left.copy(), left.copy()
+        large[: least + 1], small[least + 1:] = 0, 0
+        bins = []
+        for kind, times in self._filled(large, two):
+            while times:
+                extra = self._greedy(small, self.limit - sum(kind))
+                n = self._spend(small, extra, times) if extra else times
+                bins.append((kind + extra, n))
+                times -= n
+        return bins + self._filled(small, two)
+
+    def _filled(self, left: np.ndarray, two: bool) -> list[tuple[list[int], int]]:
+        bins = []
+        while left.any():
+            kind = self._greedy(left, self.limit)
+            if two:
+                kind = self._exchanged(left, kind)
+            bins.append((kind, self._spend(left, kind, int(left.sum()))))
+        return bins
+
+    @staticmethod
+    def _spend(left: np.ndarray, kind: list[int], most: int) -> int:
+        """Take ``kind`` out of ``left`` as often as it is there, ``most`` times at most."""
+        uses = Counter(kind)
+        times = int(min(most, *(left[s] // k for s, k in uses.items())))
+        for s, k in uses.items():
+            left[s] -= times * k
+        return times
+
+    @staticmethod
+    def _greedy(left: np.ndarray, gap: int) -> list[int]:
+        """The largest length that fits, again and again."""
+        have, kind = np.flatnonzero(left[: gap + 1]), []
+        used: Counter[int] = Counter()
         while gap:
-            fits = have[: np.searchsorted(have, gap, side="right")]
-            fits = fits[left[fits] > 0]
-            if not fits.size:
+            have = have[: np.searchsorted(have, gap, side="right")]
+            if not have.size:
                 break
-            s = int(fits[-1])
-            k = min(int(left[s]), gap // s)
+            s = int(have[-1])
+            k = min(int(left[s]) - used[s], gap // s)
             kind += [s] * k
-            left[s] -= k
+            used[s] += k
             gap -= s * k
+            have = have[:-1]
+        return kind
+
+    def _exchanged(self, left: np.ndarray, kind: list[int]) -> list[int]:
+        """``kind`` with its smallest piece replaced by two that fill more, as often as that can be done."""
+        kind, free = list(kind), left.copy()
+        for s in kind:
+            free[s] -= 1
+        gap = self.limit - sum(kind)
         while gap and kind:
             smallest = min(kind)
-            pair = self._two(left, smallest, smallest + gap)
+            pair = self._two(free, smallest, smallest + gap)
             if not pair:
                 break
             kind.remove(smallest)
-            left[smallest] += 1
+            free[smallest] += 1
             for s in pair:
                 kind.append(s)
-                left[s] -= 1
+                free[s] -= 1
             gap += smallest - sum(pair)
         return sorted(kind, reverse=True)
 
     @staticmethod
     def _two(left: np.ndarray, least: int, most: int) -> tuple[int, int] | None:
         """Two unpacked lengths whose sum is above ``least`` and as close to ``most`` as can be."""
+        if not left.any():
+            return None
         for total in range(min(most, 2 * (len(left) - 2)), least, -1):
             x = np.arange(max(1, total - len(left) + 2), total // 2 + 1)
             ok = (left[x] > 0) & (left[total - x] > 0)

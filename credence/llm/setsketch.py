@@ -34,7 +34,7 @@ from credence.llm.components import components
 U = np.uint64
 REGISTERS, ROWS = 120, 5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-MARGIN = 4.0          # standard deviations of the estimate that a candidate may lie below the threshold
+MARGIN = 6.0          # standard deviations of the estimate that a candidate may lie below the threshold
 TILE = 1000           # classes of a bucket compared at once
 PIECE_TEXTS = 4096    # texts in a piece: their number and 52 bits of hash share a word
 _LOWER = np.arange(256, dtype=np.uint8)

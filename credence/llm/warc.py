@@ -187,23 +187,32 @@ def gzip_members(records: DataFrame, record_col: str = "record") -> DataFrame:
     return records.mapInArrow(run, StructType([*records.schema.fields, StructField("member", BinaryType())]))
 
 
+def _members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of a file one at a time; a plain file is one."""
+    at = 0
+    while data[at: at + 2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        while at < len(data) and not member.eof:
+            fed = data[at: at + (1 << 20)]
+            parts.append(member.decompress(fed))
+            at += len(fed) - len(member.unused_data)
+        yield b"".join(parts)
+    if at == 0:
+        yield data
+
+
 def _records(data: bytes) -> Iterator[bytes]:
-    """The records of a file: gzip members, or plain records one after another."""
-    if data[:2] == b"\x1f\x8b":
-        plain = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            plain.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(plain)
-    while (at := data.find(b"WARC/")) >= 0:
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0:
-            return
-        size = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:head])
-        end = head + 4 + int(size[1]) if size else len(data)
-        yield data[at:end] + b"\r\n\r\n"
-        data = data[end:]
+    """The records of a file: gzip members, or plain records one after another.  A record lies in one member."""
+    for plain in _members(data):
+        at = plain.find(b"WARC/")
+        while at >= 0:
+            head = plain.find(b"\r\n\r\n", at)
+            if head < 0:
+                break
+            size = re.search(rb"(?im)^content-length:\s*(\d+)", plain[at:head])
+            end = head + 4 + int(size[1]) if size else len(plain)
+            yield plain[at:end] + b"\r\n\r\n"
+            at = plain.find(b"WARC/", end)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
