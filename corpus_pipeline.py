@@ -23,13 +23,26 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.  Of rows that share a doc_id, all go if one is rejected."""
+    """Documents that the quality rules keep, each row judged by itself.
+
+    A null or empty text is rejected (too few words), whatever its doc_id;
+    rows with a null or repeated doc_id stay or go by their own text and lang.
+    An empty table stays empty.  Columns other than those of documents go.
+    """
     import_on_workers(spark)
-    return restrict(docs.select(*COLUMNS), quality_rules(docs).where("not kept"), "left_anti")
+    # The verdict depends on text and lang alone; their digest carries it back to every row.
+    key = F.md5(F.concat_ws("\u0000", F.coalesce("lang", F.lit("\u0001")), F.coalesce("text", F.lit(""))))
+    keyed = docs.select(*COLUMNS, key.alias("__judged"))
+    return restrict(keyed, quality_rules(keyed, id_col="__judged").where("not kept").withColumnRenamed("doc_id", "__judged"), "left_anti", "__judged").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the smallest doc_id.
+
+    A null or blank text is in no group and stays, as does a row with a null
+    doc_id; rows that share a doc_id are one document, which stays or goes
+    whole.  An empty table stays empty.
+    """
     import_on_workers(spark)
     return restrict(docs.select(*COLUMNS), near_duplicates(docs, shingle_words=5, percent=80, rows=4).where("not kept"), "left_anti")
 
@@ -48,7 +61,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their sequence and place."""
+    """Pieces of at most 2048 tokens with their sequence and place.
+
+    A null or empty text is one piece, the end mark; a null doc_id is carried
+    as it is; repeated rows are packed each.  An empty table gives no pieces.
+    """
     import_on_workers(spark)
     import public_tokenizers
     return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
