@@ -3,9 +3,16 @@
 Every word is predicted from the ``SIDE`` words on its left and right, never
 from itself.  Words are hashed to 16**3 codes; a code is predicted digit by
 digit (16 outputs each, given the digits before), so the probabilities add up
-to one without a large output layer.  Every partition trains a copy of the
-network in numpy on all of its texts; the copies are averaged by their word
-counts, and the average scores all documents.
+to one without a large output layer.  The network starts from the counts: a
+digit's logits are the logarithm of its share among the corpus's words with
+the same digits before it, plus what the context adds, which is nothing before
+training.
+
+Training is in synchronised rounds.  The texts are dealt to the rounds by a
+hash; in a round every partition trains a copy of the network in numpy on its
+texts of that round, and the copies are averaged by their word counts before
+the next one.  Copies are added up in groups first, so the number of weights
+that are summed one by one does not grow with the number of partitions.
 
 A word's probability is that of its code times its share of the code, from the
 counts of all words of the corpus.  A code keeps a share for words that were
@@ -32,7 +39,10 @@ from credence.llm.repeats import BLOCK, binary_column
 
 SIDE, WIDTH, HIDDEN, DIGITS, RADIX = 2, 8, 16, 3, 16
 CODES = RADIX ** DIGITS
-BATCH, RATE, SEED = 2048, 0.1, 7
+BATCH, RATE, SEED = 512, 0.3, 7
+SCORED = 4096                           # words scored at once
+ROUNDS = 3
+GROUP = 64                              # copies that are added up together
 COUNTED, ASKED = 8 << 20, 16 << 20      # bytes of text whose words are counted, and asked for, together
 SHAPES = {"embed": (CODES + 1, WIDTH), "mix": (2 * SIDE * WIDTH, HIDDEN), "shift": (HIDDEN,),
           "head": (DIGITS, HIDDEN, RADIX), "bias": (DIGITS, RADIX), "digit": (DIGITS - 1, RADIX, HIDDEN)}
@@ -55,10 +65,29 @@ def windows(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     return around, code
 
 
+def digit_shares(seen: np.ndarray) -> list[np.ndarray]:
+    """log share of each digit among the words with the digits before it, from the words counted of each code.
+
+    One table a digit, a row for each run of digits before it; every code has
+    one word more than were counted, so no share is 0.
+    """
+    held = (np.asarray(seen, float) + 1.0).reshape((RADIX,) * DIGITS)
+    out = []
+    for d in range(DIGITS):
+        level = held.sum(axis=tuple(range(d + 1, DIGITS))) if d < DIGITS - 1 else held
+        out.append(np.log(level / level.sum(axis=-1, keepdims=True)).reshape(-1, RADIX).astype(np.float32))
+    return out
+
+
 class Network:
-    def __init__(self, vector: np.ndarray | None = None):
+    """``vector``: all weights in one array (by default small random ones, no effect of the context); ``shares``: as from ``digit_shares``."""
+
+    def __init__(self, vector: np.ndarray | None = None, shares: list[np.ndarray] | None = None):
         if vector is None:
             vector = np.random.default_rng(SEED).normal(0, 0.1, SIZE)
+            at = sum(int(np.prod(SHAPES[n])) for n in ("embed", "mix", "shift"))
+            vector[at: at + int(np.prod(SHAPES["head"])) + int(np.prod(SHAPES["bias"]))] = 0
+        self.shares = digit_shares(np.zeros(CODES)) if shares is None else shares
         self.vector = vector.astype(np.float32)
         self.parts, at = {}, 0
         for name, shape in SHAPES.items():
@@ -74,7 +103,7 @@ class Network:
         state, log_p, steps = hidden, np.zeros(len(code)), []
         for d in range(DIGITS):
             digit = code // RADIX ** (DIGITS - 1 - d) % RADIX
-            z = state @ p["head"][d] + p["bias"][d]
+            z = state @ p["head"][d] + p["bias"][d] + self.shares[d][code // RADIX ** (DIGITS - d)]
             z -= z.max(axis=1, keepdims=True)
             e = np.exp(z)
             total = e.sum(axis=1, keepdims=True)
@@ -84,8 +113,8 @@ class Network:
                 state = state + p["digit"][d][digit]
         return log_p, inputs, hidden, steps
 
-    def train(self, around: np.ndarray, code: np.ndarray) -> None:
-        """One Adagrad step on the mean negative log-likelihood of a batch."""
+    def gradient(self, around: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Of the mean negative log-likelihood of a batch, by all weights."""
         p, n = self.parts, len(code)
         _, inputs, hidden, steps = self.forward(around, code)
         grad = np.zeros(SIZE, dtype=np.float32)
@@ -112,13 +141,19 @@ class Network:
         flat = around.ravel()
         for j in range(WIDTH):
             g["embed"][:, j] = np.bincount(flat, weights=to_inputs[:, j], minlength=CODES + 1)
+        return grad
+
+    def train(self, around: np.ndarray, code: np.ndarray) -> None:
+        """One Adagrad step on a batch."""
+        grad = self.gradient(around, code)
         self.squares += grad * grad
         self.vector -= RATE * grad / np.sqrt(self.squares)
 
 
-def _train(vector: np.ndarray | None):
+def _train(vector: np.ndarray | None, shares: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = Network(vector), 0
+        from pyspark import TaskContext
+        net, seen = Network(vector, shares), 0
         for batch in batches:
             data, offsets = A.text_arrays(batch.column("text"))
             for a, b in A.pieces(offsets):
@@ -127,10 +162,17 @@ def _train(vector: np.ndarray | None):
                     net.train(around[i: i + BATCH], code[i: i + BATCH])
                 seen += len(code)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.vector.tolist()], pa.list_(pa.float32()))], names=["words", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() // GROUP], pa.int32()), pa.array([seen]), pa.array([(net.vector.astype(np.float64) * seen).tobytes()], pa.binary())],
+                                             names=["part", "words", "vector"])
     return run
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of a group's vectors, each already times its words."""
+    total = sum(np.frombuffer(v.as_buffer(), np.float64) for v in table.column("vector").combine_chunks())
+    return pa.table({"words": pa.array([sum(table.column("words").to_pylist())], pa.int64()), "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+
 def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(symbol, word, times) of the distinct words of some texts."""
     w = A.Words(data, offsets)
@@ -174,24 +216,25 @@ def _code_shares(counts: DataFrame) -> np.ndarray:
     return np.stack([seen, kept, np.maximum(kept, once * (once - 1) / (2 * (twice + 1)))])
 
 
-def fit(docs: DataFrame, rounds: int = 1, text_col: str = "text") -> Model:
-    """The network after ``rounds`` passes over all texts, and the counts of all words.
+def fit(docs: DataFrame, rounds: int = ROUNDS, passes: int = 1, text_col: str = "text") -> Model:
+    """The counts of all words, and the network after ``passes`` passes over all texts, each in ``rounds`` synchronised rounds.
 
-    Each round every partition trains on all of its texts, and the copies are
-    averaged by number of words.  Without any word: the start weights.
-    ``SIZE`` weights and three numbers for each code come to the driver, the
-    counts stay a table.
+    Every text is in one round of a pass, by a hash of the text.  Without any
+    word: the start weights.  ``SIZE`` weights and three numbers for each code
+    come to the driver, the counts stay a table.
     """
-    texts, vector = docs.select(F.col(text_col).cast("string").alias("text")), None
-    for _ in range(rounds):
-        copies = texts.mapInArrow(_train(vector), "words long, vector array<float>")
-        mean = (copies.select("words", F.posexplode("vector").alias("at", "value"))
-                .groupBy("at").agg((F.sum(F.col("value") * F.col("words")) / F.sum("words")).alias("value")))
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    counts = materialize(texts.mapInArrow(_counted, "word binary, code int, times long").groupBy("word").agg(F.min("code").alias("code"), F.sum("times").alias("times")))
+    codes, vector = _code_shares(counts), None
+    shares = digit_shares(codes[0])
+    for step in range(rounds * passes):
+        dealt = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == step % rounds) if rounds > 1 else texts
+        copies = dealt.mapInArrow(_train(vector, shares), "part int, words long, vector binary").groupBy("part").applyInArrow(_added, "words long, vector array<double>")
+        mean = copies.select("words", F.posexplode("vector").alias("at", "value")).groupBy("at").agg((F.sum("value") / F.sum("words")).alias("value"))
         got = {r["at"]: r["value"] for r in mean.collect()}
         if got:
             vector = np.array([got[i] for i in range(SIZE)])
-    counts = materialize(texts.mapInArrow(_counted, "word binary, code int, times long").groupBy("word").agg(F.min("code").alias("code"), F.sum("times").alias("times")))
-    return Model(Network(vector).vector, counts, _code_shares(counts))
+    return Model(Network(vector).vector, counts, codes)
 
 
 def _asked(table: pa.Table) -> pa.Table:
@@ -208,7 +251,7 @@ def _asked(table: pa.Table) -> pa.Table:
 
 def _score(vector: np.ndarray, codes: np.ndarray, result: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        net = Network(vector)
+        net = Network(vector, digit_shares(codes[0]))
         symbol, times = answers.column("symbol").to_numpy().view(np.uint64), answers.column("times").to_numpy()
         order = np.argsort(symbol)
         symbol, times = symbol[order], times[order]
@@ -217,7 +260,7 @@ def _score(vector: np.ndarray, codes: np.ndarray, result: pa.Schema):
         for a, b in A.pieces(offsets):
             w = A.Words(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             around, code = windows(w)
-            log_p = np.concatenate([net.forward(around[i: i + BATCH], code[i: i + BATCH])[0] for i in range(0, len(code), BATCH)] or [np.zeros(0)])
+            log_p = np.concatenate([net.forward(around[i: i + SCORED], code[i: i + SCORED])[0] for i in range(0, len(code), SCORED)] or [np.zeros(0)])
             if len(code):
                 log_p = log_p + log_share(codes, times[np.searchsorted(symbol, w.symbol)], code)
             total = np.concatenate([[0.0], np.cumsum(log_p)])
