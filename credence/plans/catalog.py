@@ -23,8 +23,9 @@ from credence.operators import evaluate as V
 from credence.operators import profile as P
 from credence.operators import sampling as M
 from credence.operators import tfidf as X
+from credence.operators import vectors as VF
 from credence.plans import sql as S
-from credence.session import materialize, reuse
+from credence.session import materialize
 from credence.sources.tables import CORPUS_SQL, corpus, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -334,11 +335,9 @@ def q_bigram_counts(spark, sf_dir):
 
 
 def _detector_tf(spark, sf_dir, fit_langs=None):
-    """Corpus, its term counts (kept for reuse by every later fitting action
-    and the final query), the rows to fit on and their count."""
+    """Corpus, its term counts, those of the rows to fit on and the number of these rows."""
     c = corpus(spark, sf_dir, by_doc=True)
-    tf = reuse(X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")),
-                                  keep=("is_fake", "lang")))
+    tf = X.term_frequencies(X.detector_terms(c, keep=("is_fake", "lang")), keep=("is_fake", "lang"))
     fit = c if fit_langs is None else c.filter(F.col("lang").isin(*fit_langs))
     fit_tf = tf if fit_langs is None else tf.filter(F.col("lang").isin(*fit_langs))
     return c, tf, fit_tf, fit.count()
@@ -347,8 +346,9 @@ def _detector_tf(spark, sf_dir, fit_langs=None):
 def _fitted(spark, sf_dir, fit_langs=None):
     c, tf, fit_tf, n = _detector_tf(spark, sf_dir, fit_langs)
     vocab = X.fit_vocabulary(fit_tf, n, X.DETECTOR_MAX_FEATURES, X.DETECTOR_MIN_DF)
-    weights = reuse(X.tfidf_weights(tf, vocab.to_df(spark), keep=("is_fake",)))
-    return c, vocab, weights, n
+    # Sparse rows are small and written once; the uni+bigram table is never kept.
+    sparse = materialize(VF.sparse_counts(X.detector_terms(c, keep=("is_fake",)), vocab))
+    return c, vocab, VF.long_weights(sparse, vocab, ("is_fake",)), n
 
 
 @register("term_freq", "WITH " + S.detector_ctes().strip() + """
