@@ -103,14 +103,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op13_grammar_repair")
+@query("op13_grammar_repair", sql.REPAIR)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.repair import damaged, repair_conversations
     conversations = table(spark, sf_dir, "conversations")
     return repair_conversations(damaged(conversations), conversations.select(F.col("conv_id").cast("long").alias("conv_id")))
 
 
-@query("op11_turn_matrix_trie")
+@query("op11_turn_matrix_trie", sql.TRIE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from credence.llm.trie import panels, prefix_trie, rebuilt
     return prefix_trie(panels(*rebuilt(table(spark, sf_dir, "conversations"))))

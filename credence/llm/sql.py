@@ -105,3 +105,94 @@ fit AS (SELECT page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, leng
         FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
 SELECT p.page_id, host, path, fit.rule, coalesce(fit.verdict, 'allow') AS verdict FROM p LEFT JOIN fit ON fit.page_id = p.page_id
 """
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text; needs the column ``crc_table`` in scope."""
+    return (f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), "
+            f"lambda crc, b: xor(crc >> 8, crc_table[(xor(crc, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)")
+
+
+TRIE = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n)) AS crc_table),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, turn, substr(sha256(length(role) || ':' || role || text), 1, 32) AS id, CAST(strlen(text) AS BIGINT) AS bytes FROM t),
+o AS (SELECT conv_id, id, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM i),
+s AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS base FROM s, crc),
+m AS (SELECT h.*, least(h.h, coalesce(b.n, 0)) AS taken FROM h LEFT JOIN s b ON b.conv_id = h.base),
+cells AS (SELECT m.conv_id, o.pos + taken - h AS place, id, bytes FROM o JOIN m ON o.conv_id = m.conv_id WHERE pos >= h
+          UNION ALL SELECT m.conv_id, o.pos, id, bytes FROM m JOIN o ON o.conv_id = m.base WHERE o.pos < taken),
+paths AS MATERIALIZED (
+  SELECT conv_id, place + 1 AS d, md5(string_agg(id, '') OVER (PARTITION BY conv_id ORDER BY place)) AS k, bytes FROM cells
+  UNION ALL SELECT conv_id, 0, '', 0 FROM m),
+nodes AS MATERIALIZED (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM paths GROUP BY d, k),
+up AS (SELECT n.d, n.k, p.k AS above FROM nodes n JOIN paths p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+below AS (SELECT d - 1 AS d, above AS k, count(*) AS n_children FROM up GROUP BY d, above),
+own AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN below b ON b.d = n.d AND b.k = n.k),
+subtree AS (SELECT a.d, a.k, CAST(sum(CASE WHEN n.n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.bytes) AS BIGINT) AS saved_tokens
+            FROM own n JOIN paths a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.d, a.k),
+ends AS (SELECT p.d, p.k, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS ends_sha256
+         FROM paths p JOIN (SELECT conv_id, max(d) AS d FROM paths GROUP BY conv_id) f ON f.conv_id = p.conv_id AND f.d = p.d GROUP BY p.d, p.k)
+SELECT n.conv_id, n.d AS depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM own n JOIN subtree s ON s.d = n.d AND s.k = n.k LEFT JOIN ends e ON e.d = n.d AND e.k = n.k
+LEFT JOIN up u ON u.d = n.d AND u.k = n.k LEFT JOIN nodes a ON a.d = u.d - 1 AND a.k = u.above
+"""
+
+
+def _edit(entry: str, cost: str, letter: str) -> str:
+    """An entry (nine digits of cost, then the audit; ``~`` is none and sorts last) after one more edit."""
+    return f"CASE WHEN {entry} = '~' THEN '~' ELSE lpad(CAST(CAST(substr({entry}, 1, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({entry}, 10) || {letter} END"
+
+
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _with_inserts(entries: str) -> str:
+    """The entries of the four states (nothing, s, u, a) after any useful inserts."""
+    user = "least(e[3], " + _edit("least(e[1], e[2], e[4])", "2", "'I'") + ")"
+    return _bound(entries, "e", _bound(user, "u", f"[e[1], e[2], u, least(e[4], {_edit('u', '2', chr(39) + 'I' + chr(39))})]"))
+
+
+def _row(entries: str, symbol: str) -> str:
+    """The entries after one row: deleted, kept or reroled, then inserts."""
+    extra, kind = f"CASE WHEN substr({symbol}, 2, 1) = 't' THEN 1 ELSE 0 END", f"substr({symbol}, 1, 1)"
+
+    def named(role: str, before: str) -> str:
+        return _edit(before, f"({extra} + CASE WHEN {kind} = '{role}' THEN 0 ELSE 2 END)", f"CASE WHEN {kind} = '{role}' THEN 'K' ELSE 'R' END")
+    gone = [_edit(f"b[{i}]", "3", "'D'") for i in range(1, 5)]
+    kept = [gone[0], f"least({gone[1]}, CASE WHEN {kind} = 's' THEN {_edit('b[1]', extra, chr(39) + 'K' + chr(39))} ELSE '~' END)",
+            f"least({gone[2]}, {named('u', 'least(b[1], b[2], b[4])')})", f"least({gone[3]}, {named('a', 'b[3]')})"]
+    return _bound(entries, "b", _with_inserts(f"CASE WHEN {symbol} = 'x' THEN [{', '.join(gone)}] ELSE [{', '.join(kept)}] END"))
+
+
+REPAIR = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, n)) AS crc_table),
+z AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+d AS MATERIALIZED (SELECT conv_id, turn, role, text, substr(sha256(length(role) || ':' || role || text), 1, 32) AS tie, {crc32_sql("name")} % 20 AS deal FROM z, crc),
+r AS (SELECT conv_id, turn, tie, unnest(CASE WHEN deal = 3 THEN [0, 1] ELSE [0] END) AS again, CASE WHEN deal = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN deal = 1 THEN '' WHEN deal = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM d WHERE deal <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie, again) AS pos FROM r),
+f AS (SELECT *, CASE WHEN substr(role, 1, 1) IN ('s', 'u', 'a') THEN substr(role, 1, 1) ELSE 'o' END AS initial,
+             CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd'
+                  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 't' ELSE '.' END AS fault FROM p),
+c AS (SELECT conv_id, count(*) AS n, list(CASE WHEN fault IN ('b', 'd') THEN 'x' ELSE initial || fault END ORDER BY pos) AS symbols,
+             list(initial ORDER BY pos) AS initials, list(role ORDER BY pos) AS roles, list(text ORDER BY pos) AS texts,
+             coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, CAST(count_if(fault = 'b') AS BIGINT) AS blank, CAST(count_if(fault = 'd') AS BIGINT) AS duplicate, CAST(count_if(fault = 't') AS BIGINT) AS truncated
+      FROM f GROUP BY conv_id),
+best AS MATERIALIZED (SELECT *, list_transform([string_split(list_reduce(symbols, lambda a, x: array_to_string({_row("string_split(a, '|')", "x")}, '|'),
+                        array_to_string({_with_inserts("['000000000', '~', '~', '~']")}, '|')), '|')], lambda e: least(e[1], e[4]))[1] AS entry FROM c),
+audits AS (SELECT *, CAST(substr(entry, 1, 9) AS BIGINT) AS cost, substr(entry, 10) AS audit, length(substr(entry, 10)) - length(ltrim(substr(entry, 10), 'D')) + 1 AS opening FROM best),
+ruled AS (SELECT *, substr(audit, opening, 1) = 'K' AND initials[opening] = 's' AS systemic FROM audits),
+done AS (SELECT *, array_to_string(list_transform(list_filter(range(1, length(audit) + 1), lambda i: substr(audit, i, 1) <> 'D'), lambda i:
+           CASE WHEN substr(audit, i, 1) = 'K' THEN roles[length(replace(substr(audit, 1, i), 'I', ''))]
+                WHEN (length(replace(substr(audit, 1, i), 'D', '')) + CASE WHEN systemic THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+           || ':' || CASE WHEN substr(audit, i, 1) = 'I' THEN '' ELSE texts[length(replace(substr(audit, 1, i), 'I', ''))] END), chr(10)) AS repaired FROM ruled)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(CAST(len(list_filter(range(1, n), lambda i: NOT (initials[i] || initials[i + 1]) IN ('su', 'ua', 'au'))) AS BIGINT), 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN done ON k.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
