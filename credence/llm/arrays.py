@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18          # temporaries of a few MB stay in a core's cache
 
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(20240607).integers(1, 1 << 63, size=256, dtype=np.uint64)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from credence.llm import arrays as A
 
 U = np.uint64
+PIECE = 1 << 20           # bytes of texts whose repeated words are encoded once
 MEMO = 250_000            # pre-tokens whose ids a worker remembers; a cache only
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
@@ -198,7 +199,7 @@ def _encode(path: str, pattern: str, outputs: tuple[str, ...]):
         c = codec(path, pattern)
         for batch in batches:
             data, offsets = A.text_arrays(batch.column("text"))
-            for a, b in A.pieces(offsets):
+            for a, b in A.pieces(offsets, PIECE):
                 ids, first = c.encode(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 made = {"n_tokens": lambda: pa.array(np.diff(first)),
                         "ids": lambda: pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids)),

@@ -26,6 +26,7 @@ from credence.llm import arrays as A
 from credence.llm.blocks import materialize, shuffle_width
 
 LIMIT, END_ID = 2048, 0
+PIECE = 1 << 20           # bytes of texts whose repeated words are encoded once
 MEMO = 250_000            # words whose ids a worker remembers; a cache only
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -128,7 +129,7 @@ def _pieces(path: str, limit: int, end_id: int, with_ids: bool):
         words = encoder(path)
         for batch in batches:
             data, offsets = A.text_arrays(batch.column("text"))
-            for a, b in A.pieces(offsets):
+            for a, b in A.pieces(offsets, PIECE):
                 ids, first = words.ids(data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
                 size = np.diff(first) + 1
                 bounds = np.concatenate([[0], np.cumsum(size)])

@@ -302,6 +302,8 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         single, lowest = _join(singles.column("window"), U), _join(singles.column("value"), np.int64)
         order = np.argsort(single, kind="stable")
         single, lowest = single[order], lowest[order]
+        marked = np.zeros(1 << 20, dtype=bool)
+        marked[(single >> U(8)) & U(len(marked) - 1)] = True
         seg, runs, value, length = (_join(answers.column(c), t) for c, t in (("seg", U), ("runs", np.int32), ("value", np.int64), ("length", np.int32)))
         order = np.argsort(seg, kind="stable")
         sorted_seg, first_run = seg[order], (np.cumsum(runs, dtype=np.int64) - runs)[order]
@@ -314,6 +316,8 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
                 count = np.maximum(np.diff(u.first) - window + 1, 0)
                 start, text = A.ranges(u.first[:-1], count), np.repeat(np.arange(len(count)), count)
                 own = A.gram_hash(u.symbol, window)[start] if len(start) else np.zeros(0, U)
+                likely = np.flatnonzero(marked[(own >> U(8)) & U(len(marked) - 1)])        # few windows are in hot keys
+                start, text, own = start[likely], text[likely], own[likely]
                 j = np.minimum(np.searchsorted(single, own), len(single) - 1)
                 start = start[(single[j] == own) & (lowest[j] < ids[a + text])]
                 mask = A.covered(start, start + window, len(u.symbol))
