@@ -24,7 +24,8 @@ from credence.llm.repeats import LAST_ID, Units, binary_column, count_by_text, r
 
 WINDOW, GRAM = 50, 18
 STEPS = 3                                # bytes moved by one pass
-SHARD_BYTES = 1 << 18
+SHARD_BYTES = 1 << 17
+GROUP_BYTES = 1 << 19                    # segments merged at once; a key's segments are never parted
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -76,11 +77,12 @@ def _before(codes: np.ndarray, steps: int) -> np.ndarray:
     value = np.zeros(len(codes), dtype=np.int64)
     for j in range(steps):
         value[steps:] = value[steps:] * radix + codes[j: len(codes) - steps + j]
-    if radix ** steps >= 1 << 16:                       # dense numbers: few of the possible symbols occur
-        present = np.unique(value)
-        value, top = np.searchsorted(present, value), len(present)
-    else:
-        top = radix ** steps
+    top = radix ** steps
+    if top >= 1 << 16:                                  # dense numbers: few of the possible symbols occur
+        number = np.zeros(top, dtype=np.int32)
+        number[value] = 1
+        number = np.cumsum(number, dtype=np.int32) - 1
+        value, top = number[value], int(number[-1]) + 1
     return value.astype(np.uint16 if top < 1 << 16 else np.uint32)
 
 
@@ -98,7 +100,7 @@ def merged_intervals(data: np.ndarray, place: np.ndarray, windows: np.ndarray, c
     order = np.concatenate([a + suffix_order(data[a:b], window) for a, b in zip(cuts[:-1], cuts[1:])])
     used = np.bincount(data, minlength=256) > 0
     codes = (np.cumsum(used) - 1).astype(np.int16)[data]
-    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint16)      # of the entries in the shards' orders
+    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint8 if len(cuts) <= 256 else np.uint16)      # of the entries in the shards' orders
     past, ahead = place[order].astype(np.int32), windows[order].astype(np.int32)
 
     def leads(rest: int) -> np.ndarray:
@@ -125,27 +127,44 @@ def merged_intervals(data: np.ndarray, place: np.ndarray, windows: np.ndarray, c
     return merged, interval
 
 
-def match_by_merge(window: int, shard_bytes: int = SHARD_BYTES):
+def _merged_least(body: np.ndarray, size: np.ndarray, low: np.ndarray, window: int, shard_bytes: int) -> np.ndarray:
+    """The smallest ``low`` of each window of some segments, by one merge."""
+    windows = size - window + 1
+    # each segment followed by its pad
+    padded = np.cumsum(size + 1) - (size + 1)
+    n = int((size + 1).sum())
+    data = np.zeros(n, dtype=np.uint8)
+    data[A.ranges(padded, size)] = body
+    seg = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(n) - padded[seg]
+    bounds = np.append(padded, n)
+    shards = np.unique(np.searchsorted(bounds, np.arange(0, n, shard_bytes)))
+    cuts = np.unique(np.append(bounds[shards], n))
+    merged, interval = merged_intervals(data, place, windows[seg], cuts, window)
+    start, end = A.runs_of(interval)
+    smallest = np.minimum.reduceat(low[seg[merged]], start)
+    least = np.full(n, LAST_ID)
+    least[merged] = np.repeat(smallest, end - start)
+    return least[A.ranges(padded, windows)]
+
+
+def match_by_merge(window: int, shard_bytes: int = SHARD_BYTES, gram: int = GRAM, group_bytes: int = GROUP_BYTES):
+    """Segments are merged in groups by their window key (equal windows have equal keys), so a merge works within a core's cache."""
     def match(body: np.ndarray, offsets: np.ndarray, low: np.ndarray):
         size = np.diff(offsets)
         windows = size - window + 1
         of = np.repeat(np.arange(len(size)), windows)
-        # each segment followed by its pad
-        padded = np.cumsum(size + 1) - (size + 1)
-        n = int((size + 1).sum())
-        data = np.zeros(n, dtype=np.uint8)
-        data[A.ranges(padded, size)] = body
-        seg = np.repeat(np.arange(len(size)), size + 1)
-        place = np.arange(n) - padded[seg]
-        bounds = np.append(padded, n)
-        shards = np.unique(np.searchsorted(bounds, np.arange(0, n, shard_bytes)))
-        cuts = np.unique(np.append(bounds[shards], n))
-        merged, interval = merged_intervals(data, place, windows[seg], cuts, window)
-        start, end = A.runs_of(interval)
-        smallest = np.minimum.reduceat(low[seg[merged]], start)
-        least = np.full(n, LAST_ID)
-        least[merged] = np.repeat(smallest, end - start)
-        return of, least[A.ranges(padded, windows)]
+        key = np.concatenate([np.minimum.reduceat(A.gram_hash(A.byte_symbols(body[offsets[a]: offsets[b]]), gram)[A.ranges(offsets[a:b] - offsets[a], size[a:b] - gram + 1)],
+                                                  np.cumsum(size[a:b] - gram + 1) - (size[a:b] - gram + 1)) for a, b in A.pieces(offsets)])
+        order = np.argsort(key, kind="stable")
+        start, end = A.runs_of(key[order])
+        held = np.cumsum(size[order])[end - 1]
+        _, last = np.unique(held // group_bytes, return_index=True)       # first key of each group
+        least, at = np.empty(len(of), dtype=np.int64), np.cumsum(windows) - windows
+        for a, b in zip(start[last], np.append(start[last[1:]], len(order))):
+            one = order[a:b]
+            least[A.ranges(at[one], windows[one])] = _merged_least(body[A.ranges(offsets[one], size[one])], size[one], low[one], window, shard_bytes)
+        return of, least
     return match
 
 
@@ -174,5 +193,5 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     not earlier than each other; a null doc_id comes after all others.  An
     empty table gives an empty result.  Other columns are not read.
     """
-    return repeated_windows(docs, "byte", window, gram, match_by_merge(window), _finish,
+    return repeated_windows(docs, "byte", window, gram, match_by_merge(window, gram=gram), _finish,
                             "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary", id_col, text_col, keep)

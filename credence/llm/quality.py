@@ -88,7 +88,7 @@ def js_distance(p: Column, q: Column) -> Column:
     def part(a: Column, b: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
     terms = F.zip_with(p, q, lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
+    return F.when(p.isNotNull() & q.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))))
 
 
 def references(measured: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def references(measured: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", class_limit: float = CLASS_LIMIT,
-                  word_limit: float = WORD_LIMIT, word_guard: int = WORD_GUARD) -> DataFrame:
+                  word_limit: float = WORD_LIMIT, word_guard: int = WORD_GUARD, refs: DataFrame | None = None) -> DataFrame:
     """Base counts, the two distances and the verdict of every row.
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -109,6 +109,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``class_limit`` from those of the language, or, for texts of at least
     ``word_guard`` words, the common words farther than ``word_limit``.
 
+    ``refs``: references as from ``references(measures(..))`` of texts that are
+    known to be good.  By default they are the means of the judged table
+    itself, so a language whose rows are mostly bad defines its own reference.
+
     A null or empty text has no words and fails the base rules.  Rows with a
     null or unknown lang (or without such a column) are a group with a
     reference of its own; a group in which no row passes has null distances.
@@ -116,7 +120,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Columns other than the three are not read.
     """
     measured = materialize(measures(docs, id_col, text_col, lang_col))
-    refs = materialize(references(measured))
+    refs = materialize(references(measured) if refs is None else refs.select("lang", "class_ref", "common_ref"))
     refs = F.broadcast(refs) if refs.count() <= FEW else refs
     both = measured.alias("m").join(refs.alias("r"), F.col("m.lang").eqNullSafe(F.col("r.lang")), "left").select("m.*", "class_ref", "common_ref")
     judged = both.select("*", js_distance(_shares("classes"), F.col("class_ref")).alias("class_distance"), js_distance(_shares("common"), F.col("common_ref")).alias("word_distance"))

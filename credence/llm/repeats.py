@@ -20,16 +20,17 @@ of documents, about 4 MB) and buckets (hash groups of keys):
 A passage copied into many different surroundings gives as many distinct
 segments of one key.  Blocks therefore tell in step 1 how many distinct
 segments they have of each key; a key with more than ``HOT`` is answered as
-hot in step 2.  Its class is refined to the end: step 3 cuts its segments into
-single windows, each distinct window of a block once, and deals them to
-buckets by the digest of the whole window, where they are matched like any
-other segments.
+hot in step 2, and its windows are sent one by one in step 3, each distinct
+window of a block once, to buckets by the digest of the window.  (Sent as
+texts to be matched like segments, the windows of op2 took more than 3000 MB
+of an executor in the check; a digest takes 8 bytes.)
 
 Whatever is frequent (a passage in a third of all documents) is sent once for
 each block, so no group grows with the number of its copies in a block, and no
 pairs are made.  The documents are shuffled once; the three uses share the
 exchange.  Keys and digests have 64 bits and are compared within one bucket
-only; the matching itself compares units.
+only; the matching of segments itself compares units, windows of hot keys are
+told apart by their digests.
 """
 
 from __future__ import annotations
@@ -201,39 +202,38 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             pick = wanted[place] == key
             many = pick & hot[place]
             at = A.ranges(first[many], windows[many])
-            s, e = u.byte_span(at, at + window)
-            single.append((A.gram_hash(u.symbol, window)[at] if len(at) else np.zeros(0, U), ids[a + np.repeat(text[many], windows[many])], s + offsets[a], e + offsets[a]))
+            single.append(_lowest(A.gram_hash(u.symbol, window)[at] if len(at) else np.zeros(0, U), *[ids[a + np.repeat(text[many], windows[many])]] * 2))
             pick &= ~many
             text, first, windows, key = text[pick], first[pick], windows[pick], key[pick]
             end = first + windows + window - 1
             seg = u.digest(first, end)
             s, e = u.byte_span(first, end)
             got.append((seg, key, ids[a + text], s + offsets[a], e + offsets[a]))
-        def sent_cells(identity: np.ndarray, deal: np.ndarray, owner: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-            """Each identity once, in cells by bucket: (buckets, identities by cell, cells of low, high, size, body)."""
-            order = np.argsort(identity, kind="stable")
-            start, _ = A.runs_of(identity[order])
-            one = order[start]
-            low, high = ((f.reduceat(owner[order], start) if len(start) else owner) for f in (np.minimum, np.maximum))
-            bucket = _buckets(deal[one], n)
-            order = np.argsort(bucket, kind="stable")
-            one, low, high, bucket = one[order], low[order], high[order], bucket[order]
-            size = e[one] - s[one]
-            body = data[A.ranges(s[one], size)]
-            if unit == "word":
-                body[A.SPACE[body]] = 0x20
-            bs, _ = A.runs_of(bucket)
-            cuts = np.append(bs, len(bucket))
-            bytes_at = np.concatenate([[0], np.cumsum(size)])[cuts]
-            cells = [_split(x, cuts) for x in (low, high, size.astype(np.int32))] + [_split(body, bytes_at)]
-            return bucket[bs], _split(identity[one], cuts), cells
-
         seg, key, owner, s, e = (np.concatenate(x) for x in zip(*got))
-        bucket, _, columns = sent_cells(seg, key, owner, s, e)
-        digest, owner, s, e = (np.concatenate(x) for x in zip(*single))
-        of, windows_, more = sent_cells(digest, digest, owner, s, e)
-        columns = [x + y for x, y in zip(columns, more)] + [[None] * len(bucket) + windows_]
-        bucket = np.append(bucket, of)
+        order = np.argsort(seg, kind="stable")
+        start, _ = A.runs_of(seg[order])
+        one = order[start]
+        low, high = ((f.reduceat(owner[order], start) if len(start) else owner) for f in (np.minimum, np.maximum))
+        bucket = _buckets(key[one], n)
+        order = np.argsort(bucket, kind="stable")
+        one, low, high, bucket = one[order], low[order], high[order], bucket[order]
+        size = e[one] - s[one]
+        body = data[A.ranges(s[one], size)]
+        if unit == "word":
+            body[A.SPACE[body]] = 0x20
+        bs, _ = A.runs_of(bucket)
+        cuts = np.append(bs, len(bucket))
+        bytes_at = np.concatenate([[0], np.cumsum(size)])[cuts]
+        columns = [_split(x, cuts) for x in (low, high, size.astype(np.int32))] + [_split(body, bytes_at), [None] * len(bs)]
+        digest, low, high = _lowest(*(np.concatenate(x) for x in zip(*single)))
+        of = _buckets(digest, n)
+        order = np.argsort(of, kind="stable")
+        digest, low, high, of = digest[order], low[order], high[order], of[order]
+        ws, _ = A.runs_of(of)
+        cuts = np.append(ws, len(of))
+        for c, more in zip(columns, (_split(low, cuts), _split(high, cuts), [None] * len(ws), [None] * len(ws), _split(digest, cuts))):
+            c += more
+        bucket = np.append(bucket[bs], of[ws])
         return pa.table([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), block, np.int32)), *[pa.array(c, pa.binary()) for c in columns]], names=names)
 
     def matched(table: pa.Table) -> pa.Table:
@@ -242,18 +242,11 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         return pa.concat_tables(parts)
 
     def matched_windows(table: pa.Table) -> pa.Table:
-        """The smallest doc_id of each window of hot keys, matched as a segment of one window."""
+        """The smallest doc_id of each window of hot keys."""
         per_block = _sizes(table.column("low"), 8)
-        digest, low, high, size = (_join(table.column(c), t) for c, t in (("window", U), ("low", np.int64), ("high", np.int64), ("size", np.int32)))
-        body = _join(table.column("body"), np.uint8)
-        at = np.cumsum(size, dtype=np.int64) - size
-        order = np.argsort(digest, kind="stable")
-        start, end = A.runs_of(digest[order])
-        one = order[start]
-        own = size[one].astype(np.int64)
-        _, least = match(body[A.ranges(at[one], own)], np.concatenate([[0], np.cumsum(own)]), np.minimum.reduceat(low[order], start))
-        value = np.empty(len(digest), dtype=np.int64)
-        value[order] = np.repeat(least, end - start)
+        digest, low, high = (_join(table.column(c), t) for c, t in (("window", U), ("low", np.int64), ("high", np.int64)))
+        found, smallest, _ = _lowest(digest, low, high)
+        value = smallest[np.searchsorted(found, digest)]
         cuts, need = np.concatenate([[0], np.cumsum(per_block)]), value < high
         spans = list(zip(cuts[:-1], cuts[1:]))
         sent_ = {"window": [digest[a:b][need[a:b]].tobytes() for a, b in spans], "value": [value[a:b][need[a:b]].tobytes() for a, b in spans]}
@@ -352,6 +345,14 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
     return blocks.cogroup(answers.groupBy(BLOCK)).applyInArrow(removed, result_schema)
 
 
+def _lowest(digest: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct digests in order, with the smallest ``low`` and the largest ``high`` of each."""
+    order = np.argsort(digest, kind="stable")
+    digest, low, high = digest[order], low[order], high[order]
+    start, _ = A.runs_of(digest)
+    return (digest[start], np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)) if len(start) else (digest, low, high)
+
+
 def digests(unit: str, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The digest of each segment's units, as its block computed it."""
     out = []

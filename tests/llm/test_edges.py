@@ -86,6 +86,17 @@ def test_op1(odd):
     assert bag(found) == Counter(want)
 
 
+def test_op1_takes_references_of_other_texts(spark, odd):
+    from credence.llm.quality import measures, quality_rules, references
+    good = spark.createDataFrame([(i, " ".join(f"plain{j} word the of" for j in range(i, i + 40)), "en") for i in range(8)], "doc_id long, text string, lang string")
+    refs = references(measures(good))
+    own = {r.doc_id: r.class_distance for r in quality_rules(good).collect()}
+    given = {r.doc_id: r.class_distance for r in quality_rules(good, refs=refs).collect()}
+    assert own == given
+    none = quality_rules(odd.where("lang is null"), refs=refs).collect()
+    assert none and all(r.class_distance is None and r.kept == (not r.base_failed) for r in none)
+
+
 def test_op2(odd):
     from credence.llm.seed_extend import remove_repeated_passages
     units = [WORD.findall(t or "") for _, t in TEXTS]
