@@ -125,7 +125,7 @@ def test_suffix_merge_equals_sorting():
         for s, m in zip(segs, low):
             for i in range(len(s) - window + 1):
                 best[s[i: i + window]] = min(best.get(s[i: i + window], m), m)
-        of, least = match_by_merge(window, shard, min(window, 5), 700)(np.frombuffer(b"".join(segs), np.uint8), offsets, low)
+        of, least = match_by_merge(window, shard, min(window, 5), 1 << 30)(np.frombuffer(b"".join(segs), np.uint8), offsets, low)
         assert least.tolist() == [best[s[i: i + window]] for s in segs for i in range(len(s) - window + 1)]
         assert of.tolist() == [k for k, s in enumerate(segs) for _ in range(len(s) - window + 1)]
 
