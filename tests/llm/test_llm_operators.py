@@ -130,6 +130,51 @@ def test_suffix_merge_equals_sorting():
         assert of.tolist() == [k for k, s in enumerate(segs) for _ in range(len(s) - window + 1)]
 
 
+def test_groups_of_keys_merge_like_all_segments_together():
+    from credence.llm import arrays as A
+    from credence.llm.bwt import GRAM, WINDOW, match_by_merge
+    from credence.llm.repeats import Units, segments
+    parts = [bytes(RNG.integers(97, 101, 300).astype(np.uint8)) for _ in range(30)]
+    data = np.frombuffer(b"".join(parts[i] for i in RNG.integers(0, 30, 200)), np.uint8)
+    u = Units("byte", data, np.array([0, len(data)]))
+    _, first, windows, _ = segments(u, WINDOW, GRAM)
+    size = windows + WINDOW - 1
+    body, offsets, low = data[A.ranges(first, size)], np.concatenate([[0], np.cumsum(size)]), RNG.integers(0, 10_000, len(size))
+    answers = [match_by_merge(WINDOW, shard, GRAM, group) for shard, group in ((1 << 17, 1 << 30), (3000, 10_000), (500, 2000), (1 << 17, 1))]
+    of, least = answers[0](body, offsets, low)
+    best = {}
+    raw, starts = body.tobytes(), A.ranges(offsets[:-1], windows)
+    for i, s in zip(of, starts.tolist()):
+        best[raw[s: s + WINDOW]] = min(best.get(raw[s: s + WINDOW], 1 << 60), low[i])
+    assert least.tolist() == [best[raw[s: s + WINDOW]] for s in starts.tolist()]
+    for other in answers[1:]:
+        assert (other(body, offsets, low)[1] == least).all()
+
+
+def test_colliding_polynomials_do_not_collide_here():
+    """Thue-Morse strings and their complements, as spans, words and grams; unequal contents of equal hashes stay apart."""
+    from credence.llm import arrays as A
+    text = ["".join("ab"[bin(i).count("1") % 2 ^ k] for i in range(n)) for n in (64, 1024, 4096) for k in (0, 1)]
+    data = np.frombuffer("".join(text).encode(), np.uint8)
+    end = np.cumsum([len(t) for t in text])
+    start = end - [len(t) for t in text]
+    assert len(set(A.SpanHash(data)(start, end).tolist())) == 6
+    symbols = A.byte_symbols(data)
+    assert len(set(A.SpanHash(symbols)(start, end).tolist())) == 6
+    assert len({A.gram_hash(A.byte_symbols(np.frombuffer(t.encode(), np.uint8)), 1024)[0] for t in text[2:4]}) == 2
+
+
+def test_contents_of_equal_hashes_stay_apart(monkeypatch):
+    from credence.llm import arrays as A
+    monkeypatch.setattr(A.SpanHash, "__call__", lambda self, start, end: np.zeros(len(start), np.uint64))
+    data = np.frombuffer(b"abcabcxyzab", np.uint8)
+    start, end = np.array([0, 3, 6, 9, 0]), np.array([3, 6, 9, 11, 0])
+    one, which = A.distinct_spans(data, start, end)
+    raw = data.tobytes()
+    assert [raw[start[one[w]]: end[one[w]]] for w in which] == [b"abc", b"abc", b"xyz", b"ab", b""]
+    assert len({raw[start[i]: end[i]] for i in one[np.unique(which)]}) == 4
+
+
 def test_null_and_repeated_ids_are_not_earlier(spark):
     from credence.llm.seed_extend import remove_repeated_passages
     from credence.llm.setsketch import near_duplicates
