@@ -65,12 +65,18 @@ class SpanHash:
         for i in np.flatnonzero(size > self.LONG * self._width).tolist():
             h[i] = int.from_bytes(blake2b(self._symbols[start[i]: end[i]].tobytes(), digest_size=8).digest(), "little")
         at = np.flatnonzero((size > 0) & (size <= self.LONG * self._width))
-        place, left = start[at], size[at]
+        place, left, x = start[at], size[at], h[at]
         while len(at):
-            h[at] = mix(h[at] * _BASE + mix(self._lane(place, left) ^ U(0xA0761D6478BD642F)))
+            x ^= self._lane(place, left)
+            x *= _BASE
+            x ^= x >> U(32)                      # what a product keeps in its high half enters the next round
             on = left > self._width
-            at, place, left = at[on], place[on] + self._width, left[on] - self._width
-        return h
+            if not on.all():
+                h[at[~on]] = x[~on]
+                at, place, left, x = at[on], place[on], left[on], x[on]
+            place = place + self._width
+            left = left - self._width
+        return mix(h)
 
 
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

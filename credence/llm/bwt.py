@@ -24,8 +24,8 @@ from credence.llm.repeats import LAST_ID, Units, binary_column, count_by_text, r
 
 WINDOW, GRAM = 50, 18
 STEPS = 3                                # bytes moved by one pass
-SHARD_BYTES = 1 << 17
-GROUP_BYTES = 1 << 19                    # segments merged at once; a key's segments are never parted
+SHARD_BYTES = 1 << 16
+GROUP_BYTES = 1 << 18                    # segments merged at once; a key's segments are never parted
 
 
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
@@ -101,21 +101,22 @@ def merged_intervals(data: np.ndarray, place: np.ndarray, windows: np.ndarray, c
     used = np.bincount(data, minlength=256) > 0
     codes = (np.cumsum(used) - 1).astype(np.int16)[data]
     shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)).astype(np.uint8 if len(cuts) <= 256 else np.uint16)      # of the entries in the shards' orders
-    past, ahead = place[order].astype(np.int32), windows[order].astype(np.int32)
+    short = np.int16 if int(place.max(initial=0)) < 1 << 14 else np.int32
+    past, after = place[order].astype(short), (place - windows)[order].astype(short)
 
     def leads(rest: int) -> np.ndarray:
-        return (past >= rest) & (past - rest < ahead)
+        return (past >= rest) & (after < rest)
 
-    rest, made = window, {}
+    rest, transforms = window, {}                        # symbols before each entry, in the shards' orders
     now = leads(rest)
     z = shard[now]
     interval, new = np.zeros(len(z), dtype=np.int32), np.ones(len(z), dtype=np.int32)
     while rest:
         steps = rest % STEPS or STEPS
-        if steps not in made:
-            made[steps] = _before(codes, steps)
-        symbol = np.empty(len(z), dtype=made[steps].dtype)
-        symbol[np.argsort(z, kind="stable")] = made[steps][order[now]]
+        if steps not in transforms:
+            transforms[steps] = _before(codes, steps)[order]
+        symbol = np.empty(len(z), dtype=transforms[steps].dtype)
+        symbol[np.argsort(z, kind="stable")] = transforms[steps][now]
         dealt = np.argsort(symbol, kind="stable")
         s, i = symbol[dealt], interval[dealt]
         new[1:] = (s[1:] != s[:-1]) | (i[1:] != i[:-1])
