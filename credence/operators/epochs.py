@@ -16,7 +16,6 @@ block, so a step reads its own rows only.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +29,7 @@ from credence.functions import labels as L
 from credence.functions.text import optional_title_text, stringify, unicode_tokens
 from credence.operators import evaluate as V
 from credence.operators import sampling as M
-from credence.session import checkpoint_dir, check_broadcast_size
+from credence.session import check_broadcast_size, scratch_folder
 
 # The training loop's settings.
 EPOCHS, NUM_LABELS, EVAL_BATCH = 3, 2, 8
@@ -256,12 +255,14 @@ def fit_epochs(train: DataFrame, val: DataFrame | None = None, label_col: str =
         return (df.where(label.between(0, num_labels - 1))
                 .select("doc_id", label.alias("label"), token_buckets(document_text(df, title_col, text_col), buckets, max_tokens).alias("ids")))
 
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/epochs-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "epochs")
     block = F.conv(F.substring(M.hash_key(f"{seed}:block"), 1, 8), 16, 10).cast("long") % steps
     encoded(train).withColumn("block", block.cast("int")).write.partitionBy("block").parquet(f"{folder}/train")
     encoded(val).write.parquet(f"{folder}/val")
-    rows = spark.read.schema("doc_id bigint, label int, ids array<int>, block int").parquet(f"{folder}/train")
-    idf = bucket_idf(rows, rows.count(), buckets)
+    rows = spark.read.schema(f"doc_id {dict(train.dtypes)['doc_id']}, label int, ids array<int>, block int").parquet(f"{folder}/train")
+    if (n_train := rows.count()) == 0 or spark.read.parquet(f"{folder}/val").isEmpty():
+        raise ValueError("no labelled rows to train on, or none to validate on")
+    idf = bucket_idf(rows, n_train, buckets)
 
     weights, bias = np.zeros((buckets, num_labels)), np.zeros(num_labels)
     optimiser, kept, losses = AdamW(epochs * steps, rate), [], []

@@ -11,7 +11,6 @@ after their number was checked.
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +26,7 @@ from credence.operators import sampling as M
 from credence.operators import tfidf as X
 from credence.operators import vectors as VF
 from credence.operators.epochs import ADDED, document_text
-from credence.session import check_broadcast_size, checkpoint_dir
+from credence.session import check_broadcast_size, scratch_folder
 
 # Forest settings.
 TREES, SEED = 100, 42
@@ -192,7 +191,7 @@ def fit_forest(train: DataFrame, label_col: str = "label_id", title_col: str | N
     rows = train.where(F.col(label_col).isin(0, 1))
     terms = rows.select("doc_id", F.col(label_col).cast("int").alias("label"), unicode_tokens(document_text(train, title_col, text_col)).alias("terms"))
     vocab = X.fit_vocabulary(X.term_frequencies(terms), rows.count(), max_features, X.FOREST_MIN_DF)
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "forest")
     VF.sparse_counts(terms, vocab).write.parquet(f"{folder}/features")
     sample = M.sample_exact(spark.read.parquet(f"{folder}/features"), train_rows)
     if (n := min(train_rows, rows.count())) * len(vocab) > MATRIX_CELLS:

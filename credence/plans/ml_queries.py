@@ -7,8 +7,6 @@ of every tree and of every article's score.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from credence.functions import labels as L
@@ -22,17 +20,13 @@ from credence.operators import tfidf as X
 from credence.plans import sql as S
 from credence.plans.catalog import ENCODE_LEN, ENCODE_SQL, SCORES_SELECT, SCORES_SQL, encoded_corpus, r6, register, rounded_scores
 from credence.plans.detector import SCORE_COLUMNS, ClusterDetector
-from credence.session import checkpoint_dir
+from credence.session import scratch_folder
 from credence.sources.csv import read_articles, read_checked, read_first_available
 from credence.sources.examples import PLAIN, SENSATIONAL, example_articles
 from credence.sources.tables import CORPUS_SQL, corpus, table
 from credence.streaming import scoring as ST
 
 
-def _folder(spark, what: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def _labelled(spark, sf_dir):
     return corpus(spark, sf_dir, by_doc=True).withColumn("label_id", F.col("is_fake").cast("int"))
 
@@ -89,7 +83,7 @@ def q_forest_scores(spark, sf_dir):
     """Scores of every article by the fitted forest and by the saved and loaded one, and whether they keep their rules."""
     data = _labelled(spark, sf_dir)
     forest = K.fit_forest(M.split_exact(data)[0])
-    path = _folder(spark, "forest")
+    path = scratch_folder(spark, "forest")
     forest.save(path, spark)
     again = K.Forest.load(spark, path).classify(data).select("doc_id", F.col("p_fake").alias("p_again"))
     p = F.col("p_fake")
@@ -132,7 +126,7 @@ def q_text_classifier_scores(spark, sf_dir):
 def q_classifier_saved_scores(spark, sf_dir):
     """Fitted, saved, loaded again: the loaded classifier gives the same scores."""
     data = _labelled(spark, sf_dir)
-    path = _folder(spark, "classifier")
+    path = scratch_folder(spark, "classifier")
     E.fit_epochs(data)[0].save(path, spark)
     return _classified(E.SoftmaxClassifier.load(spark, path).classify(data))
 
@@ -164,7 +158,7 @@ def q_stream_scores(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     stream = ST.article_stream(spark, f"{sf_dir.rstrip('/')}/documents.parque[t]", schema)
     stream = stream.withColumn("title", synth_title("text"))
-    base = _folder(spark, "stream")
+    base = scratch_folder(spark, "stream")
     ST.score_stream_to_table(model, stream, f"{base}/out", f"{base}/ckpt")
     return rounded_scores(spark.read.parquet(f"{base}/out").select(*SCORE_COLUMNS))
 
@@ -173,7 +167,7 @@ def q_stream_scores(spark, sf_dir):
 def q_detector_saved_scores(spark, sf_dir):
     """Fitted, saved, loaded again; the loaded detector scores the corpus in long form."""
     articles = corpus(spark, sf_dir, by_doc=True)
-    path = _folder(spark, "detector")
+    path = scratch_folder(spark, "detector")
     ClusterDetector.fit(articles, class_means=True)[0].save(path, spark)
     return rounded_scores(ClusterDetector.load(spark, path).score(articles))
 
@@ -191,7 +185,7 @@ def q_detector_stream_scores(spark, sf_dir):
     """The corpus as a stream of files, scored batch by batch."""
     articles = corpus(spark, sf_dir, by_doc=True)
     model, _ = ClusterDetector.fit(articles, class_means=True)
-    base = _folder(spark, "stream")
+    base = scratch_folder(spark, "stream")
     articles.select("doc_id", "title", "text").write.parquet(f"{base}/in")
     stream = ST.article_stream(spark, f"{base}/in", "doc_id bigint, title string, text string")
     ST.score_stream_to_table(model, stream, f"{base}/out", f"{base}/ckpt")
@@ -202,7 +196,7 @@ _CSV_ORACLE = "SELECT doc_id, sha256(text) AS text_sha256, lang, source, n_chars
 
 
 def _csv_copy(spark, sf_dir, sep: str) -> str:
-    path = f"{_folder(spark, 'csv')}/documents"
+    path = f"{scratch_folder(spark, 'csv')}/documents"
     (table(spark, sf_dir, "documents").select("source", "text", "n_chars", "lang", "doc_id")
      .write.option("header", True).option("sep", sep).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
@@ -231,7 +225,7 @@ _CHECKED = "doc_id bigint, source string, lang string, n_chars bigint, text stri
 
 def _faulty_csv(spark, sf_dir) -> str:
     """documents as CSV files in which rows lack their text, have a field too many, a word for a number, no id, or an unknown language."""
-    path = f"{_folder(spark, 'csv')}/faulty"
+    path = f"{scratch_folder(spark, 'csv')}/faulty"
     quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     fault = F.col("doc_id") % 10
     parts = [F.when(fault == 8, "").otherwise(F.col("doc_id").cast("string")), F.col("source"), F.when(fault == 9, "xx").otherwise(F.col("lang")),

@@ -155,6 +155,22 @@ def test_three_labels_learn_and_load(spark, tmpdir_path):
     assert all(abs(sum(r["probabilities"]) - 1) < 1e-12 for r in out.values())
 
 
+def test_training_needs_labelled_rows(spark):
+    rows = spark.createDataFrame([(f"id{i}", f"word{i} common", i % 2) for i in range(30)], "doc_id string, text string, label_id int")
+    clf, _ = E.fit_epochs(rows, epochs=1, steps=2, buckets=64)                 # ids of any type
+    assert clf.classify(rows).count() == 30
+    with pytest.raises(ValueError, match="labelled"):
+        E.fit_epochs(rows.withColumn("label_id", F.lit(9)), buckets=64)
+
+
+def test_scratch_folders_go_with_the_application(spark):
+    import os
+
+    from credence.session import scratch_folder
+    a, b = scratch_folder(spark, "x"), scratch_folder(spark, "x")
+    assert a != b and os.path.isdir(a.removeprefix("file:")) and a.startswith(spark.sparkContext.getCheckpointDir())
+
+
 # --- forest
 
 def test_split_is_the_best_of_all():
