@@ -28,7 +28,7 @@ of an executor in the check; a digest takes 8 bytes.)
 Whatever is frequent (a passage in a third of all documents) is sent once for
 each block, so no group grows with the number of its copies in a block, and no
 pairs are made.  The documents are shuffled once; the three uses share the
-exchange.  Keys and digests have 64 bits and are compared within one bucket
+exchange.  Keys have 48 and digests 64 bits and are compared within one bucket
 only; the matching of segments itself compares units, windows of hot keys are
 told apart by their digests.
 """
@@ -75,8 +75,24 @@ def gram_keys(symbols: np.ndarray, gram: int) -> np.ndarray:
 
 
 def key_of(smallest: np.ndarray) -> np.ndarray:
-    """Minima crowd near zero; mixed again they spread over the buckets."""
-    return A.mix(smallest ^ U(0xA5A5A5A5A5A5A5A5))
+    """Minima crowd near zero; mixed again they spread over the buckets.  48 bits, the upper ones: two keys that
+    are equal by chance only cost a comparison."""
+    return A.mix(smallest ^ U(0xA5A5A5A5A5A5A5A5)) & ~U(0xFFFF)
+
+
+KEY_BYTES = 6
+
+
+def _sent_keys(key: np.ndarray) -> np.ndarray:
+    """Six bytes of each key."""
+    return np.ascontiguousarray(key.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, 2:].ravel()
+
+
+def _got_keys(column) -> np.ndarray:
+    six = _join(column, np.uint8).reshape(-1, KEY_BYTES)
+    key = np.zeros((len(six), 8), dtype=np.uint8)
+    key[:, 2:] = six
+    return key.view("<u8").ravel().astype(U)
 
 
 def segments(u: Units, window: int, gram: int):
@@ -167,12 +183,12 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
         s, e = A.runs_of(bucket)
         cuts = np.append(s, len(bucket))
         return pa.table({BUCKET: pa.array(bucket[s], pa.int32()), BLOCK: pa.array(np.full(len(s), block, np.int32)),
-                         "key": pa.array(_split(key, cuts), pa.binary()), "multi": pa.array(_split(multi.astype(np.uint8), cuts), pa.binary()),
+                         "key": pa.array(_split(_sent_keys(key), cuts * KEY_BYTES), pa.binary()), "multi": pa.array(_split(multi.astype(np.uint8), cuts), pa.binary()),
                          "count": pa.array(_split(count, cuts), pa.binary())})
 
     def shared_keys(table: pa.Table) -> pa.Table:
-        size = _sizes(table.column("key"), 8)
-        key, multi, count = _join(table.column("key"), U), _join(table.column("multi"), np.uint8).astype(bool), _join(table.column("count"), np.int32)
+        size = _sizes(table.column("key"), KEY_BYTES)
+        key, multi, count = _got_keys(table.column("key")), _join(table.column("multi"), np.uint8).astype(bool), _join(table.column("count"), np.int32)
         order = np.argsort(key, kind="stable")
         start, end = A.runs_of(key[order])
         hit, hot = np.zeros((2, len(key)), dtype=bool)
@@ -181,13 +197,13 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
             hit[order] = np.repeat(several, end - start)
             hot[order] = np.repeat(np.add.reduceat(count[order], start, dtype=np.int64) > HOT, end - start)
         cuts = np.concatenate([[0], np.cumsum(size)])
-        found = [key[a:b][hit[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        found = [_sent_keys(key[a:b][hit[a:b]]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         many = [hot[a:b][hit[a:b]].astype(np.uint8).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
         return pa.table({BLOCK: table.column(BLOCK).cast(pa.int32()), "key": pa.array(found, pa.binary()), "hot": pa.array(many, pa.binary())}).filter(pa.array([len(f) > 0 for f in found], pa.bool_()))
 
     def distinct_segments(docs_: pa.Table, shared: pa.Table) -> pa.Table:
         names = (BUCKET, BLOCK, "low", "high", "size", "body", "window")
-        wanted = _join(shared.column("key"), U) if shared.num_rows else np.zeros(0, U)
+        wanted = _got_keys(shared.column("key")) if shared.num_rows else np.zeros(0, U)
         if not docs_.num_rows or not len(wanted):
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 5)], names=names)
         wanted, at = np.unique(wanted, return_index=True)
