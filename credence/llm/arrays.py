@@ -81,13 +81,18 @@ class SpanHash:
 
 def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one span of each content, number of its content for every span); contents are compared, not only hashes."""
-    _, one, which = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-    size = end - start
+    spans = SpanHash(data)
+    _, one, which = np.unique(spans(start, end), return_index=True, return_inverse=True)
+    size, first = end - start, start[one][which]
     other = size != size[one][which]
-    size = np.where(other, 0, size)
-    unlike = data[ranges(start, size)] != data[ranges(start[one][which], size)]
-    if unlike.any():
-        other[np.repeat(np.arange(len(size)), size)[unlike]] = True
+    for i in np.flatnonzero((size > 8 * SpanHash.LONG) & (start != first) & ~other).tolist():
+        other[i] = data[start[i]: end[i]].tobytes() != data[first[i]: first[i] + size[i]].tobytes()
+    at = np.flatnonzero((size <= 8 * SpanHash.LONG) & (size > 0) & (start != first) & ~other)
+    mine, its, left = start[at], first[at], size[at]
+    while len(at):                               # eight bytes a round
+        other[at[spans._lane(mine, left) != spans._lane(its, left)]] = True
+        on = left > 8
+        at, mine, its, left = at[on], mine[on] + 8, its[on] + 8, left[on] - 8
     if other.any():                              # hashes that are equal by chance
         raw, known, extra = data.tobytes(), {}, []
         which = which.copy()
