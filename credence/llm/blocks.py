@@ -29,7 +29,8 @@ def import_on_workers(spark: SparkSession) -> None:
     """Let Python workers of a local session import this package from where the driver did.
 
     On a cluster the package is installed or sent with ``--py-files``; a path
-    that does not exist there is ignored.
+    that does not exist there is ignored.  Workers use one thread for linear
+    algebra unless the session says otherwise: the tasks already fill the cores.
     """
     import os
     from pathlib import Path
@@ -39,6 +40,7 @@ def import_on_workers(spark: SparkSession) -> None:
     paths = [p for p in (env.get("PYTHONPATH") or "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    env.setdefault("OMP_NUM_THREADS", "1")
 
 
 BROADCAST_IDS = 250_000     # at most 2 MB of ids

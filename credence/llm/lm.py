@@ -39,7 +39,7 @@ from credence.llm.repeats import BLOCK, binary_column
 
 SIDE, WIDTH, HIDDEN, DIGITS, RADIX = 2, 8, 16, 3, 16
 CODES = RADIX ** DIGITS
-BATCH, RATE, SEED = 512, 0.3, 7
+BATCH, RATE, SEED = 1024, 0.3, 7
 SCORED = 4096                           # words scored at once
 ROUNDS = 3
 GROUP = 64                              # copies that are added up together
@@ -79,6 +79,12 @@ def digit_shares(seen: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _summed(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
+    """The sum of the rows of ``values`` that belong to each row number."""
+    width = values.shape[1]
+    return np.bincount((row[:, None] * width + np.arange(width)).ravel(), weights=values.ravel(), minlength=rows * width).reshape(rows, width)
+
+
 class Network:
     """``vector``: all weights in one array (by default small random ones, no effect of the context); ``shares``: as from ``digit_shares``."""
 
@@ -96,8 +102,9 @@ class Network:
             at += n
         self.squares = np.full(SIZE, 1e-2, dtype=np.float32)
 
-    def forward(self, around: np.ndarray, code: np.ndarray):
-        p = self.parts
+    def forward(self, around: np.ndarray, code: np.ndarray, train: bool = False):
+        """log P(code) of every word, and for training what the gradient needs."""
+        p, row = self.parts, np.arange(len(code))
         inputs = p["embed"][around].reshape(len(code), -1)
         hidden = np.tanh(inputs @ p["mix"] + p["shift"])
         state, log_p, steps = hidden, np.zeros(len(code)), []
@@ -107,8 +114,9 @@ class Network:
             z -= z.max(axis=1, keepdims=True)
             e = np.exp(z)
             total = e.sum(axis=1, keepdims=True)
-            log_p += z[np.arange(len(code)), digit] - np.log(total[:, 0])
-            steps.append((state, e / total, digit))
+            log_p += z[row, digit] - np.log(total[:, 0])
+            if train:
+                steps.append((state, e / total, digit))
             if d < DIGITS - 1:
                 state = state + p["digit"][d][digit]
         return log_p, inputs, hidden, steps
@@ -116,7 +124,7 @@ class Network:
     def gradient(self, around: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Of the mean negative log-likelihood of a batch, by all weights."""
         p, n = self.parts, len(code)
-        _, inputs, hidden, steps = self.forward(around, code)
+        _, inputs, hidden, steps = self.forward(around, code, train=True)
         grad = np.zeros(SIZE, dtype=np.float32)
         g, at = {}, 0
         for name, shape in SHAPES.items():
@@ -127,8 +135,7 @@ class Network:
         for d in range(DIGITS - 1, -1, -1):
             state, q, digit = steps[d]
             if d < DIGITS - 1:
-                for j in range(HIDDEN):
-                    g["digit"][d][:, j] = np.bincount(digit, weights=back[:, j], minlength=RADIX)
+                g["digit"][d] = _summed(digit, back, RADIX)
             q[np.arange(n), digit] -= 1
             q /= n
             g["head"][d] = state.T @ q
@@ -138,9 +145,7 @@ class Network:
         g["mix"][...] = inputs.T @ back
         g["shift"][...] = back.sum(axis=0)
         to_inputs = (back @ p["mix"].T).reshape(-1, WIDTH)
-        flat = around.ravel()
-        for j in range(WIDTH):
-            g["embed"][:, j] = np.bincount(flat, weights=to_inputs[:, j], minlength=CODES + 1)
+        g["embed"][...] = _summed(around.ravel(), to_inputs, CODES + 1)
         return grad
 
     def train(self, around: np.ndarray, code: np.ndarray) -> None:
