@@ -16,6 +16,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from credence.llm.blocks import materialize, shuffle_width
 
 LIMIT, END_ID = 2048, 0
 PIECE = 1 << 20           # bytes of texts whose repeated words are encoded once
-MEMO = 250_000            # words whose ids a worker remembers; a cache only
+MEMO = 500_000            # words whose ids a worker remembers; a cache only
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _ALNUM = np.zeros(256, dtype=bool)
@@ -38,22 +39,24 @@ _encoders: dict[str, "WordEncoder"] = {}
 
 
 class Pool:
-    """Growing integer lists in one array."""
+    """Lists of ids one after another in a growing array."""
 
     def __init__(self):
-        self.values, self.bounds = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 12, dtype=np.int64)
-        self.lists = 0
-
-    def add(self, ids: list[int]) -> int:
-        at, k = int(self.bounds[self.lists]), self.lists
-        while at + len(ids) > len(self.values):
+        self.values, self.bounds, self.lists = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), 0
+
+    def extend(self, lists: list[list[int]]) -> int:
+        """Append ``lists``; the number of the first of them."""
+        sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        ends = self.bounds[self.lists] + np.cumsum(sizes)
+        end, first = int(ends[-1]), self.lists
+        while end > len(self.values):
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        if k + 2 > len(self.bounds):
+        while first + len(lists) + 1 > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.values[at: at + len(ids)] = ids
-        self.bounds[k + 1] = at + len(ids)
-        self.lists += 1
-        return k
+        self.values[end - int(sizes.sum()): end] = np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
+        self.bounds[first + 1: first + 1 + len(lists)] = ends
+        self.lists += len(lists)
+        return first
 
 
 class WordEncoder:
@@ -94,12 +97,14 @@ class WordEncoder:
             self.clear()
         raw = data.tobytes()
         words = [raw[a:b] for a, b in zip(w.start[one].tolist(), w.end[one].tolist())]
-        fresh = [x for x in words if x not in self.index]
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i: i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
-                self.index[word] = self.pool.add(e.ids)
-        at = np.fromiter((self.index[x] for x in words), dtype=np.int64, count=len(words))
+        known = list(map(self.index.get, words))
+        fresh = [i for i, k in enumerate(known) if k is None]
+        for a in range(0, len(fresh), 4096):
+            part = fresh[a: a + 4096]
+            made = self.tokenizer.encode_batch_fast([words[i].decode("utf-8", "replace") for i in part], add_special_tokens=False)
+            for k, i in enumerate(part, self.pool.extend([e.ids for e in made])):
+                known[i] = self.index[words[i]] = k
+        at = np.array(known, dtype=np.int64)
         start = self.pool.bounds[at]
         start, count = start[which], (self.pool.bounds[at + 1] - start)[which]
         total = np.concatenate([[0], np.cumsum(count)])
