@@ -56,27 +56,11 @@ def codes_of(symbol: np.ndarray) -> np.ndarray:
 def windows(w: A.Words) -> tuple[np.ndarray, np.ndarray]:
     """(context codes, code) of each word; places beyond a text hold the code ``CODES``."""
     code = codes_of(w.symbol)
-    text = np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.first))
-    around = np.full((len(code), 2 * SIDE), CODES, dtype=np.int64)
-    for j, step in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
-        here = np.arange(max(0, -step), len(code) - max(0, step))
-        here = here[text[here] == text[here + step]]
-        around[here, j] = code[here + step]
-    return around, code
-
-
-def digit_shares(seen: np.ndarray) -> list[np.ndarray]:
-    """log share of each digit among the words with the digits before it, from the words counted of each code.
-
-    One table a digit, a row for each run of digits before it; every code has
-    one word more than were counted, so no share is 0.
-    """
-    held = (np.asarray(seen, float) + 1.0).reshape((RADIX,) * DIGITS)
-    out = []
-    for d in range(DIGITS):
-        level = held.sum(axis=tuple(range(d + 1, DIGITS))) if d < DIGITS - 1 else held
-        out.append(np.log(level / level.sum(axis=-1, keepdims=True)).reshape(-1, RADIX).astype(np.float32))
-    return out
+    # The codes of all texts in one line, with SIDE places that hold no word before each text and after the last.
+    at = np.arange(len(code)) + SIDE * (1 + np.repeat(np.arange(len(w.offsets) - 1), np.diff(w.first)))
+    line = np.full(len(code) + SIDE * len(w.offsets), CODES, dtype=np.int64)
+    line[at] = code
+    return np.stack([line[at + step] for step in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1), code
 
 
 def _summed(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
@@ -209,8 +193,8 @@ class Model:
 
 def log_share(codes: np.ndarray, times: np.ndarray, code: np.ndarray) -> np.ndarray:
     """log P(word | code) of words counted ``times`` times; 0 is an unseen word."""
-    seen, kept, unseen = codes[:, code]
-    return np.log(np.where(times > 0, times, kept / unseen)) - np.log(seen + kept)
+    seen, kept, unseen = codes
+    return np.where(times > 0, np.log(np.maximum(times, 1)), np.log(kept / unseen)[code]) - np.log(seen + kept)[code]
 
 
 def _code_shares(counts: DataFrame) -> np.ndarray:
@@ -267,7 +251,8 @@ def _score(vector: np.ndarray, codes: np.ndarray, result: pa.Schema):
             around, code = windows(w)
             log_p = np.concatenate([net.forward(around[i: i + SCORED], code[i: i + SCORED])[0] for i in range(0, len(code), SCORED)] or [np.zeros(0)])
             if len(code):
-                log_p = log_p + log_share(codes, times[np.searchsorted(symbol, w.symbol)], code)
+                distinct, which = np.unique(w.symbol, return_inverse=True)          # looked up in order, each once
+                log_p = log_p + log_share(codes, times[np.searchsorted(symbol, distinct)][which], code)
             total = np.concatenate([[0.0], np.cumsum(log_p)])
             sizes.append(np.diff(w.first))
             sums.append(total[w.first[1:]] - total[w.first[:-1]])
