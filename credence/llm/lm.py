@@ -39,7 +39,7 @@ from credence.llm.repeats import BLOCK, binary_column
 
 SIDE, WIDTH, HIDDEN, DIGITS, RADIX = 2, 8, 16, 3, 16
 CODES = RADIX ** DIGITS
-BATCH, RATE, SEED = 1024, 0.3, 7
+BATCH, RATE, SEED = 2048, 0.3, 7
 SCORED = 4096                           # words scored at once
 ROUNDS = 3
 GROUP = 64                              # copies that are added up together
