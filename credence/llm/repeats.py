@@ -19,7 +19,11 @@ of documents, about 4 MB) and buckets (hash groups of keys):
 
 A passage copied into many different surroundings gives as many distinct
 segments of one key.  Blocks therefore tell in step 1 how many distinct
-segments they have of each key; a key with more than ``HOT`` is answered as
+segments they have of each key, in ordinary ones: a gram stands in at most
+``window - gram + 1`` windows, but where it recurs (one word or line repeated
+over and over) a segment is as long as the text and counts as often as its
+windows make up ordinary segments, since what matching takes grows with the
+windows.  A key with more than ``HOT`` is answered as
 hot in step 2, and its windows are sent one by one in step 3, each distinct
 window of a block once, to buckets by the digest of the window.  (Sent as
 texts to be matched like segments, the windows of op2 took more than 3000 MB
@@ -49,7 +53,7 @@ from credence.llm.blocks import block_count
 U = np.uint64
 LAST_ID = np.iinfo(np.int64).max        # stands for a null doc_id: after all others
 BLOCK, BUCKET = "__block", "__bucket"
-HOT = 2000                              # distinct segments of a key, added up over blocks, that one bucket matches together
+HOT = 2000                              # distinct ordinary segments of a key, added up over blocks, that one bucket matches together
 
 
 class Units:
@@ -159,21 +163,22 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, match:
     def distinct_keys(table: pa.Table) -> pa.Table:
         block = table.column(BLOCK)[0].as_py()
         data, offsets, ids = _sorted_text(table)
-        keys, owner, segs = [], [], []
+        keys, owner, segs, loads = [], [], [], []
         for a, b in A.pieces(offsets):
             u = Units(unit, data[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             text, first, windows, key = segments(u, window, gram)
             keys.append(key)
             owner.append(ids[a + text])
             segs.append(u.digest(first, first + windows + window - 1))
-        key, owner, seg = np.concatenate(keys), np.concatenate(owner), np.concatenate(segs)
+            loads.append(-(-windows // (window - gram + 1)))     # 1, but for periodic texts
+        key, owner, seg, load = (np.concatenate(x) for x in (keys, owner, segs, loads))
         order = np.lexsort((seg, key))
-        key, owner, seg = key[order], owner[order], seg[order]
+        key, owner, seg, load = key[order], owner[order], seg[order], load[order]
         start, _ = A.runs_of(key)
         if len(key):
             multi = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
             new = np.append(True, (key[1:] != key[:-1]) | (seg[1:] != seg[:-1]))
-            count = np.add.reduceat(new, start, dtype=np.int64).astype(np.int32)
+            count = np.add.reduceat(np.where(new, load, 0), start).astype(np.int32)
             key = key[start]
         else:
             multi, count = np.zeros(0, bool), np.zeros(0, np.int32)

@@ -115,6 +115,36 @@ def test_one_passage_in_many_surroundings(spark, monkeypatch, unit):
         assert (r.kept_text == " ".join(kept)) if unit == "word" else (bytes(r.kept) == bytes(kept))
 
 
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_few_long_segments_of_one_key(spark, monkeypatch, unit):
+    """Texts that repeat one word pair: few segments, each with many windows of one key."""
+    from credence.llm import bwt, repeats, seed_extend
+    monkeypatch.setattr(repeats, "HOT", 20)
+
+    def bounded(make):
+        def with_limits(*sizes, **more):
+            inner = make(*sizes, **more)
+
+            def match(body, offsets, low):
+                of, least = inner(body, offsets, low)
+                if len(of) > 20 * 40:
+                    raise AssertionError(f"{len(of)} windows of {len(low)} segments in one bucket")
+                return of, least
+            return match
+        return with_limits
+    monkeypatch.setattr(seed_extend, "match_by_extension", bounded(seed_extend.match_by_extension))
+    monkeypatch.setattr(bwt, "match_by_merge", bounded(bwt.match_by_merge))
+    texts = {i: f"own{i} " + "la vile. " * (150 + i) + f"after{i}" for i in range(12)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    units = {d: WORD.findall(t) if unit == "word" else t.encode() for d, t in texts.items()}
+    gone = removed_brute(units, list(texts), 50)
+    rows = (seed_extend.remove_repeated_passages if unit == "word" else bwt.remove_repeated_bytes)(df).collect()
+    assert len(rows) == 12 and {r.doc_id: r.n_removed for r in rows} == {d: g.sum() for d, g in gone.items()}
+    for r in rows:
+        kept = [x for x, g in zip(units[r.doc_id], gone[r.doc_id]) if not g]
+        assert (r.kept_text == " ".join(kept)) if unit == "word" else (bytes(r.kept) == bytes(kept))
+
+
 def test_suffix_merge_equals_sorting():
     from credence.llm.bwt import match_by_merge
     segs = [bytes(RNG.integers(97, 99, 60).astype(np.uint8)) for _ in range(40)] + [b"ab" * 40, b"a" * 70]
