@@ -2,7 +2,9 @@
 
 Pre-tokens that are in the vocabulary as a whole are found by a minimal
 perfect hash (levels of bit arrays, the index is the number of bits before);
-the others are merged pair by pair with a heap over linked bytes.  Texts are
+the others are merged pair by pair: those of up to ``SHORT`` bytes side by
+side, a matrix of the parts of all that have the same number of parts left,
+longer ones with a heap over linked bytes.  Texts are
 first cut where a pre-token cannot cross (before white space that follows a
 certain non-space), equal cuts of a piece are resolved once.
 """
@@ -13,6 +15,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from credence.llm import arrays as A
 
 U = np.uint64
 PIECE = 1 << 20           # bytes of texts whose repeated words are encoded once
-MEMO = 250_000            # pre-tokens whose ids a worker remembers; a cache only
+SHORT = 64                # bytes of a pre-token up to which a round over all its pairs is cheaper than a heap
+NONE = np.iinfo(np.int32).max
+MEMO = 250_000            # cuts of texts whose ids a worker remembers; a cache only
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -64,6 +69,45 @@ class PerfectHash:
         return np.where((at >= 0) & (self.stored[at] == keys), at, -1)
 
 
+class PairRanks:
+    """The rank of the token that two tokens make together, by open addressing; ``NONE`` if they make none."""
+
+    def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
+        self.shift = U(64 - max(6, (4 * len(rank)).bit_length()))
+        self.keys = np.zeros(1 << (64 - int(self.shift)), dtype=U)           # 0: free
+        self.values = np.full(len(self.keys), NONE, dtype=np.int32)
+        key, left_out = self._key(left, right), np.arange(len(rank))
+        at = self._slot(key)
+        while len(left_out):                         # of those that want a free slot one gets it, the others go on
+            free = left_out[self.keys[at[left_out]] == 0]
+            self.keys[at[free]] = key[free]
+            got = free[self.keys[at[free]] == key[free]]
+            self.values[at[got]] = rank[got]
+            left_out = left_out[self.keys[at[left_out]] != key[left_out]]
+            at[left_out] = (at[left_out] + 1) % len(self.keys)
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return (left.astype(U) << U(32) | right.astype(U)) + U(1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (((key ^ (key >> U(29))) * U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = self._key(left, right)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.values[at], NONE)
+        open_ = np.flatnonzero((found != key) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.keys)
+            found = self.keys[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (found != 0)]
+        return out
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -75,8 +119,10 @@ class Codec:
         self.tokens = [tokens.get(i, b"") for i in range(max(tokens) + 1)]
         self.ranks = {t: i for i, t in tokens.items()}
         self.pattern = regex.compile(pattern)
-        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        halves = [(self.ranks.get(t[:k]), self.ranks.get(t[k:]), i) for t, i in self.ranks.items() for k in range(1, len(t))]
+        self.pair = PairRanks(*np.array([h for h in halves if None not in h], dtype=np.int64).reshape(-1, 3).T)
+        self.byte_pair = self.pair(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
         size = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.token_bytes, self.token_end = np.frombuffer(b"".join(self.tokens), np.uint8), np.cumsum(size)
         self.token_size = size
@@ -91,7 +137,7 @@ class Codec:
         self.clear()
 
     def clear(self):
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, token: bytes) -> tuple[int, ...]:
         """The pair of lowest rank first, the leftmost of equal ones: a heap of pairs over linked parts."""
@@ -126,15 +172,63 @@ class Codec:
             i = end[i]
         return tuple(out)
 
-    def learn(self, fresh: list[str]) -> None:
-        """Resolve pre-tokens: first all by the perfect hash, then the misses by merging."""
+    def merge_short(self, tokens: list[bytes]) -> list[tuple[int, ...]]:
+        """``merge`` of many pre-tokens side by side.
+
+        In a round each one merges its pair of lowest rank (the leftmost), so
+        each has one part less: all that have n parts, whatever they had at
+        first, are the rows of one matrix.  Those without a pair are done.
+        """
+        size = np.array([len(t) for t in tokens], dtype=np.int64)
+        first, data = np.cumsum(size) - size, np.frombuffer(b"".join(tokens), np.uint8)
+        out: list[tuple[int, ...]] = [()] * len(tokens)
+        n = int(size.max(initial=0))
+        which, parts, ranks = np.zeros(0, np.int64), np.zeros((0, n), np.int32), np.zeros((0, max(n - 1, 0)), np.int32)
+        for n in range(n, 0, -1):
+            new = np.flatnonzero(size == n)
+            own = data[first[new][:, None] + np.arange(n)]
+            which, parts = np.concatenate([which, new]), np.concatenate([parts, self.byte_ids[own]])
+            ranks = np.concatenate([ranks, self.byte_pair[own[:, :-1], own[:, 1:]]])
+            row = np.arange(len(which))
+            best = ranks.argmin(axis=1) if n > 1 else np.zeros(len(which), np.int64)
+            low = ranks[row, best] if n > 1 else np.full(len(which), NONE)
+            done = low == NONE
+            for i, ids in zip(which[done].tolist(), parts[done].tolist()):
+                out[i] = tuple(ids)
+            if n == 1:
+                break
+            which, parts, ranks, best, low = (x[~done] for x in (which, parts, ranks, best, low))
+            row = row[:len(which)]
+            parts[row, best] = low
+            held = np.ones(parts.shape, dtype=bool)
+            held[row, best + 1] = False
+            parts = parts[held].reshape(len(row), n - 1)
+            held = np.ones(ranks.shape, dtype=bool)
+            held[row, best] = False
+            ranks = ranks[held].reshape(len(row), n - 2)
+            r = np.flatnonzero(best > 0)
+            ranks[r, best[r] - 1] = self.pair(parts[r, best[r] - 1], parts[r, best[r]])
+            r = np.flatnonzero(best < n - 2)
+            ranks[r, best[r]] = self.pair(parts[r, best[r]], parts[r, best[r] + 1])
+        return out
+
+    def learn(self, fresh: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of pre-tokens: first of all that the perfect hash finds, then of the misses by merging."""
         raw = [t.encode("utf-8") for t in fresh]
         size = np.array([len(r) for r in raw], dtype=np.int64)
         end = np.cumsum(size)
         at = self.whole.find(A.SpanHash(np.frombuffer(b"".join(raw), np.uint8))(end - size, end))
         rank = np.where(at >= 0, self.rank_at[at], -1).tolist()
+        known, short = {}, {}
         for t, r, i in zip(fresh, raw, rank):
-            self.memo[t] = (i,) if i >= 0 and self.tokens[i] == r else self.merge(r)
+            if i >= 0 and self.tokens[i] == r:
+                known[t] = (i,)
+            elif len(r) > SHORT:
+                known[t] = self.merge(r)
+            else:
+                short[t] = r
+        known.update(zip(short, self.merge_short(list(short.values()))))
+        return known
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets of the texts)."""
@@ -144,20 +238,19 @@ class Codec:
         end = np.append(start[1:], len(data))
         one, which = A.distinct_spans(data, start, end)
         raw, find, memo = data.tobytes(), self.pattern.findall, self.memo
-        parts = [find(raw[a:b].decode("utf-8")) for a, b in zip(start[one].tolist(), end[one].tolist())]
-        fresh = list({t for p in parts for t in p if t not in memo})
-        if fresh:
-            self.learn(fresh)
-        ids, count = [], np.empty(len(parts), dtype=np.int64)
-        for k, p in enumerate(parts):
-            n = len(ids)
-            for t in p:
-                ids.extend(memo[t])
-            count[k] = len(ids) - n
+        spans = [raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())]
+        new = [s for s in spans if s not in memo]
+        parts = [find(s.decode("utf-8")) for s in new]
+        known = self.learn(list({t for p in parts for t in p}))
+        fresh = {s: known[p[0]] if len(p) == 1 else tuple([i for t in p for i in known[t]]) for s, p in zip(new, parts)}
+        found = [fresh[s] if s in fresh else memo[s] for s in spans]
+        memo.update((s, ids) for s, ids in fresh.items() if len(s) <= SHORT)
+        count = np.array([len(ids) for ids in found], dtype=np.int64)
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(count.sum()))
         first = np.cumsum(count) - count
         size = count[which]
         total = np.concatenate([[0], np.cumsum(size)])
-        return np.array(ids, dtype=np.int32)[A.ranges(first[which], size)], total[np.searchsorted(start, offsets)]
+        return ids[A.ranges(first[which], size)], total[np.searchsorted(start, offsets)]
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self._spelled(ids, first, self.token_bytes, self.token_end, self.token_size)

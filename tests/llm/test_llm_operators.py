@@ -255,6 +255,22 @@ def test_likelihood_follows_jaccard():
         assert abs(j - shared / (shared + 2 * own)) < 0.18
 
 
+def test_short_merges_side_by_side(monkeypatch):
+    """Short pre-tokens are merged together as the heap merges each; the heap gets the long ones only."""
+    P = pytest.importorskip("public_tokenizers")
+    from credence.llm.bpe import SHORT, Codec
+    c = Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    letters = "etaoinshr dlu\u00e9\u00df\u4e2d0".encode()
+    tokens = [RNG.choice(list(letters), n).astype(np.uint8).tobytes() for n in RNG.integers(1, SHORT + 1, 3000)] + [b"a" * 64, b"ab" * 20, bytes(range(256))[:60], b"\xff"]
+    assert c.merge_short(tokens) == [c.merge(t) for t in tokens]
+    assert c.merge_short([]) == []
+    heaped, merge = [], c.merge
+    monkeypatch.setattr(c, "merge", lambda token: heaped.append(len(token)) or merge(token))
+    text = ("qzxv jkwpq zzyxq " * 3 + "xqz" * 50).encode()
+    ids, first = c.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert b"".join(c.tokens[i] for i in ids) == text and heaped == [151]
+
+
 def test_bpe_like_the_library(docs, empty):
     import public_tokenizers as P
     import tiktoken
