@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -169,3 +170,30 @@ def test_scores_keep_articles_of_memberless_clusters(spark):
     stats = spark.createDataFrame([(0, 1.0, 0.5, 0.25)], "cluster int, mean double, std double, fake_ratio double")
     out = {r["doc_id"]: r for r in C.score_assigned(assigned, stats).collect()}
     assert set(out) == {1, 2} and out[2]["fake_score"] is None and out[1]["z_score"] == 0.0
+
+
+def test_row_sums_by_batch(spark):
+    """Sums of a row's terms, made for whole batches: the same numbers as term by term, and no lambda a term."""
+    from credence.operators import vectors as VF
+    rows = [(1, [0, 2], [1.0, 3.0]), (2, [], []), (3, [1], [2.0]), (4, [0, 1, 2], [0.1, 0.2, 0.7])]
+    df = spark.createDataFrame(rows, "doc_id long, _ids array<int>, _counts array<double>").repartition(2)
+    once, twice = [0.5, 0.25, 1.0 / 3], [1.5, 0.1, 0.7]
+    got = {r[0]: r[1] for r in df.select("doc_id", VF.row_sums(once, twice, squared=(1,)).alias("s")).collect()}
+    assert got == {d: [sum((c * once[i] for i, c in zip(ids, counts)), 0.0), sum((c * c * twice[i] for i, c in zip(ids, counts)), 0.0)] for d, ids, counts in rows}
+    assert df.where("false").select(VF.row_sums(once)).collect() == []
+
+
+def test_means_read_the_rows_once(spark, monkeypatch):
+    from credence.operators import kmeans as KM
+    from credence.operators import tfidf as X
+    from credence.operators.clusters import Centroids
+    rows = [(1, [0, 1], [1.0, 2.0], 0), (2, [1], [3.0], 0), (3, [0], [1.0], 1), (4, [], [], 1)]
+    df = spark.createDataFrame(rows, "doc_id long, _ids array<int>, _counts array<double>, cluster int")
+    vocab, scaler = X.Vocabulary(("a", "b"), (2, 2), (2, 5), 4), X.Scaler((0.0, 0.0), (1.0, 1.0), (0.5, 2.0))
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    means = KM.means(df, vocab, scaler, Centroids(((9.0, 9.0), (9.0, 9.0), (7.0, 8.0))))
+    assert len(plans) == 1 and "Union" not in plans[0]
+    vector = {r[0]: KM._vector({"_ids": r[1], "_counts": r[2]}, vocab, scaler) if r[1] else (0.0, 0.0) for r in rows}
+    want = [[(vector[a][i] + vector[b][i]) / 2 for i in (0, 1)] for a, b in ((1, 2), (3, 4))] + [[7.0, 8.0]]
+    assert [pytest.approx(w) for w in want] == [list(v) for v in means.values]
